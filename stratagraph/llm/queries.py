@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, token_files
+from . import bpe, exact_dedup, mixing, near_dedup, quality, token_files
 
 
 def queries() -> dict:
     return {
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op4_quality": quality.op4_quality,
         "op5_token_files": token_files.op5_token_files,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_bpe": bpe.op8_bpe,
