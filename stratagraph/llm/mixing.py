@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, table, text_col
 
 #: Documents in a slice of a source's shuffled order.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
