@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, token_files
+from . import bpe, chunk_dedup, exact_dedup, mixing, near_dedup, quality, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_chunk_dedup": chunk_dedup.op2_chunk_dedup,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_quality": quality.op4_quality,
         "op5_token_files": token_files.op5_token_files,
