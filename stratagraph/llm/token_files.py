@@ -145,10 +145,10 @@ class CachedEncoder:
         self.model = self.lib.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(r"[^\x00-ԯ -⁯₠-₿←-⏿ぁ-ゖァ-ヺ一-龥가-힣]").search
-        self.double = regex.compile(r"[\s\x1c-\x1f] ").search
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.bytes = {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
+        self.coded = [struct.pack("<I", k) for k in range(self.lib.get_vocab_size())]
         self.matches: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -157,36 +157,35 @@ class CachedEncoder:
         if got is None:
             if len(self.matches) >= self.MOST:
                 self.matches.clear()
-            tokens = self.model.tokenize(m.encode().decode("latin1").translate(self.bytes))
-            got = np.array([t.id for t in tokens], "<u4").tobytes()
+            coded = self.coded
+            got = b"".join([coded[t.id] for t in self.model.tokenize(m.encode().decode("latin1").translate(self.bytes))])
             if len(m) < 64:
                 self.matches[m] = got
         return got
 
     def _part(self, part: str) -> bytes:
-        return b"".join(map(self._match, self.split(part)))
+        found = self.split(part)
+        return self._match(found[0]) if len(found) == 1 else b"".join(map(self._match, found))
 
     def __call__(self, text: str) -> bytes:
         if self.odd(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.double(text):
-            return self._part(text)
         first, *rest = text.split(" ")
-        out = [self._part(first)]
-        try:
-            out += map(self.parts.__getitem__, rest)
-        except KeyError:
-            out = out[:1]
-            for p in rest:
-                got = self.parts.get(p)
-                if got is None:
-                    if len(self.parts) >= self.MOST:
-                        self.parts.clear()
-                    got = self._part(" " + p)
-                    if len(p) < 64:
-                        self.parts[p] = got
-                out.append(got)
-        return b"".join(out)
+        if first[-1:].isspace():
+            return self._part(text)
+        parts = self.parts
+        if len(parts) >= self.MOST:
+            parts.clear()
+        # Parts are seldom new, so a text's new ones are found in one set operation. One that is empty or ends in white space
+        # is never held, as the space after it may belong to the same match.
+        for p in set(rest).difference(parts):
+            if not p or p[-1].isspace():
+                return self._part(text)
+            parts[p] = self._part(" " + p)
+        out = self._part(first) + b"".join(map(parts.__getitem__, rest))
+        if len(text) > 1 << 20:
+            parts.clear()  # a very long text may have brought very long parts
+        return out
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
