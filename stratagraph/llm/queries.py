@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chunk_dedup, exact_dedup, mixing, near_dedup, pii, quality, scaled_sketch, token_files
+from . import bpe, chunk_dedup, exact_dedup, mixing, near_dedup, pii, pitman_yor, quality, scaled_sketch, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_pitman_yor": pitman_yor.op1_pitman_yor,
         "op2_chunk_dedup": chunk_dedup.op2_chunk_dedup,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_quality": quality.op4_quality,
