@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import queries_graph, queries_relations
+
+_PARTS = (queries_graph, queries_relations)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.S.items()}
