@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -39,15 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "stratagraph-shared")
     os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: Spark removes them when the driver has collected what named them, which
+    a driver with little garbage of its own may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
@@ -73,6 +80,7 @@ class Scratch:
         """df as a Parquet table that survives the loss of executors, read again."""
         where = self.path(name)
         df.write.option("compression", "zstd").parquet(where)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self) -> None:
