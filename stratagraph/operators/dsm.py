@@ -21,13 +21,13 @@ def dsm(nodes: DataFrame, edges: DataFrame, weight: str = "call_count") -> tuple
 
 
 def summary(order: DataFrame, cells: DataFrame) -> DataFrame:
-    return order.agg(F.count("*").alias("modules"), F.count_distinct("grp").alias("groups")).crossJoin(cells.agg(F.count("*").alias("cells"), F.count_if("row > col").alias("back_edges"), F.count_if("g1 <> g2").alias("cross_group")))
+    return order.agg(F.count("*").alias("modules"), F.count_distinct("grp").alias("groups")).crossJoin(cells.agg(F.count("*").alias("cells"), F.count_if(F.expr("row > col")).alias("back_edges"), F.count_if(F.expr("g1 <> g2")).alias("cross_group")))
 
 
 def signals(order: DataFrame, cells: DataFrame) -> DataFrame:
     """feedback: share of cells above the order; bandwidth: mean distance from the diagonal; inside: share within groups."""
     n = F.count("*")
-    return cells.agg(F.try_divide(F.count_if("row > col"), n).alias("feedback"), F.avg(F.abs(F.col("row") - F.col("col"))).alias("bandwidth"), F.try_divide(F.count_if("g1 = g2"), n).alias("inside"))
+    return cells.agg(F.try_divide(F.count_if(F.expr("row > col")), n).alias("feedback"), F.avg(F.abs(F.col("row") - F.col("col"))).alias("bandwidth"), F.try_divide(F.count_if(F.expr("g1 = g2")), n).alias("inside"))
 
 
 def topological_groups(sccs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut
+from . import small
+from .small import MOST, MOST_REACH
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -44,10 +46,17 @@ def gini(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     return a.select(*by, F.coalesce(F.try_divide(F.col("r") - (F.col("n") + 1) * F.col("s"), F.col("n") * F.col("s")), F.lit(0.0)).alias("gini"))
 
 
-def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """src, dst of all pairs with a path of one edge or more, by doubling paths: about log2 of the longest path rounds."""
+def _kind(df: DataFrame, col: str) -> str:
+    return dict(df.dtypes)[col]
+
+
+def closure(edges: DataFrame, max_rounds: int = 40, most: int = MOST_REACH) -> DataFrame:
+    """src, dst of all pairs with a path of one edge or more, by doubling paths: about log2 of the longest path rounds. Graphs
+    of at most `most` edges are closed in one task."""
     reach = cut(edges.select("src", "dst").distinct())
     n = reach.count()
+    if n <= most:
+        return small.run(reach, None, small.closure, f"src {_kind(edges, 'src')}, dst {_kind(edges, 'dst')}")
     for _ in range(max_rounds):
         on = reach.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
         step = reach.join(on, reach["dst"] == on["mid"]).select("src", F.col("far").alias("dst"))
@@ -59,9 +68,12 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise ValueError("the closure did not settle")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int | None = None, most: int = MOST) -> DataFrame:
     """node, dist from the nearest of seeds (node), seeds at 0: semi-naive breadth-first search, cut off at depth."""
     e = edges.select(F.col("dst" if reverse else "src").alias("a"), F.col("src" if reverse else "dst").alias("b")).distinct()
+    e = cut(e)
+    if small.fits(e, seeds, most):
+        return small.run(e.select(F.col("a").alias("src"), F.col("b").alias("dst")), seeds, small.bfs(depth), f"node {_kind(edges, 'src')}, dist int")
     seen = cut(seeds.select("node").distinct().withColumn("dist", F.lit(0)))
     front, k = seen, 0
     while depth is None or k < depth:
@@ -75,9 +87,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth:
     return seen
 
 
-def shortest_chains(edges: DataFrame, seeds: DataFrame, reverse: bool = True) -> DataFrame:
+def shortest_chains(edges: DataFrame, seeds: DataFrame, reverse: bool = True, most: int = MOST) -> DataFrame:
     """node, dist, root, chain: for each node reached from seeds the least of its shortest chains, nodes in order from the seed."""
     e = edges.select(F.col("dst" if reverse else "src").alias("a"), F.col("src" if reverse else "dst").alias("b")).distinct()
+    e = cut(e)
+    if small.fits(e, seeds, most):
+        k = _kind(edges, "src")
+        return small.run(e.select(F.col("a").alias("src"), F.col("b").alias("dst")), seeds, small.chains, f"node {k}, dist int, root {k}, chain array<{k}>")
     seen = cut(seeds.select("node", F.lit(0).alias("dist"), F.col("node").alias("root"), F.array("node").alias("chain")).distinct())
     front = seen
     while not front.isEmpty():
@@ -97,10 +113,10 @@ def propagation(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     return j.select("node", (F.coalesce("n", F.lit(0)) + 1).alias("reached_by"), ((F.coalesce("n", F.lit(0)) + 1) / F.col("total")).alias("propagation"))
 
 
-def scc(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def scc(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """node, scc (its least member), cyclic (more than one member or a self-loop).
 
-    With a closure: mutual reachability. Without: nodes without edges in or out are trimmed, then colours (the greatest
+    Graphs of at most `most` edges: depth-first search in one task. With a closure: mutual reachability. Without: nodes without edges in or out are trimmed, then colours (the greatest
     label that reaches a node) split the rest, and of each colour the nodes that also reach its root are one component.
     """
     if reach is not None:
@@ -108,8 +124,12 @@ def scc(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> D
         mutual = reach.join(back, (reach["src"] == back["d2"]) & (reach["dst"] == back["s2"])).groupBy(F.col("src").alias("s")).agg(F.min("dst").alias("low"))
         j = nodes.select("node").join(mutual, F.col("node") == mutual["s"], "left")
         return j.select("node", F.coalesce(F.least("low", "node"), "node").alias("scc"), F.col("low").isNotNull().alias("cyclic"))
+    edges = cut(edges.select("src", "dst").distinct())
+    if small.fits(edges, nodes, most):
+        k = _kind(edges, "src")
+        return small.run(edges, nodes, small.scc, f"node {k}, scc {k}, cyclic boolean")
     loops = edges.where("src = dst").select(F.col("src").alias("l")).distinct()
-    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    e = edges.where("src <> dst")
     done = None
     while True:
         while True:  # trim
@@ -124,7 +144,7 @@ def scc(nodes: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> D
         a, b = colour.select(F.col("node").alias("n1"), F.col("c").alias("c1")), colour.select(F.col("node").alias("n2"), F.col("c").alias("c2"))
         same = e.join(a, e["src"] == a["n1"]).join(b, e["dst"] == b["n2"]).where("c1 = c2").select("src", "dst", F.col("c1").alias("c"))
         roots = colour.where("node = c").select("node")
-        member = reachable(same, roots, reverse=True).select("node")
+        member = reachable(same, roots, reverse=True, most=most).select("node")
         found = cut(member.join(colour.select(F.col("node").alias("m"), "c"), F.col("node") == F.col("m")).select("node", "c"))
         done = found if done is None else done.unionByName(found)
         gone = found.select(F.col("node").alias("g"))
@@ -153,8 +173,12 @@ def _spread(edges: DataFrame, labels: DataFrame, greatest: bool) -> DataFrame:
             return labels
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     """node, component: the least node connected to it, directions ignored."""
+    edges = cut(edges.select("src", "dst").distinct())
+    if small.fits(edges, nodes, most):
+        k = _kind(edges, "src")
+        return small.run(edges, nodes, small.weak, f"node {k}, component {k}")
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     return _spread(both, nodes.select("node", F.col("node").alias("c")), greatest=False).select("node", F.col("c").alias("component"))
 
@@ -173,8 +197,11 @@ def condensation(sccs: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, edges["src"] == a["n1"]).join(b, edges["dst"] == b["n2"]).where("s1 <> s2").select(F.col("s1").alias("src"), F.col("s2").alias("dst")).distinct()
 
 
-def depths(nodes: DataFrame, dag: DataFrame) -> DataFrame:
+def depths(nodes: DataFrame, dag: DataFrame, most: int = MOST) -> DataFrame:
     """node, depth: the longest path that ends at the node of an acyclic graph, by relaxation of the changed nodes."""
+    dag = cut(dag.select("src", "dst").distinct())
+    if small.fits(dag, nodes, most):
+        return small.run(dag, nodes, small.depths, f"node {_kind(dag, 'src')}, depth int")
     best = cut(nodes.select("node", F.lit(0).alias("depth")))
     front = best
     while True:
@@ -187,11 +214,14 @@ def depths(nodes: DataFrame, dag: DataFrame) -> DataFrame:
             return best
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tol: float = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tol: float = 1e-6, every: int = 5, most: int = MOST) -> DataFrame:
     """node, rank: power iteration with the mass of nodes without edges out spread evenly; stops when the summed change is under N * tol."""
     n = nodes.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("rank")).limit(0)
+    edges = cut(edges.select("src", "dst"))
+    if small.fits(edges, nodes, most):
+        return small.run(edges, nodes, small.pagerank(damping, iterations, tol), f"node {_kind(edges, 'src')}, rank double")
     out = edges.groupBy(F.col("src").alias("o")).agg(F.count("*").alias("k"))
     e = cut(edges.join(out, edges["src"] == out["o"]).select("src", "dst", (1.0 / F.col("k")).alias("w")))
     dangling = cut(nodes.select("node").join(out, F.col("node") == out["o"], "left_anti").select(F.col("node").alias("x")))
@@ -263,7 +293,7 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, weighted: bool = Fals
 
     w = (F.greatest("call_count", F.lit(1)) if weighted else F.lit(1)).cast("double")
     rows = edges.select("src", "dst", w.alias("w")).unionByName(nodes.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w")))
-    return rows.groupBy(F.lit(1)).applyInPandas(merge, f"node {kind}, community {kind}")
+    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(merge, f"node {kind}, community {kind}")
 
 
 def edit_risk(nodes: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:

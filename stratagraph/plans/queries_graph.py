@@ -66,10 +66,20 @@ def _(s, d):
 
 
 @q("g8_scc_colouring", SCC + " SELECT * FROM sc")
+def _(s, d):
+    return g.scc(x.suppliers(s, d), x.supplier_graph(s, d), most=0)
+
+
+@q("g8_scc", SCC + " SELECT * FROM sc")
 def _(s, d):
     return g.scc(x.suppliers(s, d), x.supplier_graph(s, d))
 
 
+@q("g4_closure_doubling", x.CLOSURE + " SELECT src, dst FROM clo")
+def _(s, d):
+    return g.closure(x.supplier_graph(s, d), most=0)
+
+
 @q("g8_cycles", SCC + ", e AS (SELECT s1.scc, count(*) AS n_edges FROM sup JOIN sc s1 ON src = s1.node JOIN sc s2 ON dst = s2.node WHERE s1.scc = s2.scc GROUP BY 1) SELECT sc.scc, string_agg(node::VARCHAR, ',' ORDER BY node) AS members, count(*) AS size, max(n_edges) AS n_edges FROM sc JOIN e ON sc.scc = e.scc WHERE cyclic GROUP BY 1")
 def _(s, d):
     e = x.supplier_graph(s, d)
@@ -125,7 +135,7 @@ def _(s, d):
 def _(s, d):
     n = x.suppliers(s, d)
     hit = g.reachable(x.supplier_graph(s, d), n.where("node IN (1, 2)"), reverse=True)
-    return hit.agg(F.count_if("dist = 0").alias("changed"), F.count_if("dist > 0").alias("impacted")).crossJoin(n.agg(F.count("*").alias("n"))).select("changed", "impacted", r6((F.col("changed") + F.col("impacted")) / F.col("n")).alias("propagation_cost"))
+    return hit.agg(F.count_if(F.expr("dist = 0")).alias("changed"), F.count_if(F.expr("dist > 0")).alias("impacted")).crossJoin(n.agg(F.count("*").alias("n"))).select("changed", "impacted", r6((F.col("changed") + F.col("impacted")) / F.col("n")).alias("propagation_cost"))
 
 
 @q("g16_edit_risk", x.CLOSURE + f""", n AS ({NODES}), a AS (SELECT dst, count(*) AS k FROM clo WHERE src <> dst GROUP BY 1), o AS (SELECT src, count(*) AS ce FROM sup GROUP BY 1), i AS (SELECT dst, count(*) AS ca FROM sup GROUP BY 1)
@@ -149,6 +159,11 @@ def _(s, d):
     return g.pagerank(x.nations(s, d), x.trade_graph(s, d), iterations=10, tol=0.0).select("node", r6("rank").alias("rank"))
 
 
+@q("g17_pagerank_rounds", PR)
+def _(s, d):
+    return g.pagerank(x.nations(s, d), x.trade_graph(s, d), iterations=10, tol=0.0, most=0).select("node", r6("rank").alias("rank"))
+
+
 MOD = "a AS (SELECT p.grp AS g1, q.grp AS g2, {w} AS w FROM {e} JOIN n p ON src = p.node JOIN n q ON dst = q.node), t AS (SELECT sum(w) AS m, sum(w) FILTER (g1 = g2) AS s FROM a), o AS (SELECT g1, sum(w) AS w FROM a GROUP BY 1), i AS (SELECT g2, sum(w) AS w FROM a GROUP BY 1), z AS (SELECT coalesce(s, 0) / m - (SELECT coalesce(sum(o.w * i.w), 0) FROM o JOIN i ON g1 = g2) / (m * m) AS q FROM t) SELECT round(q, 6) AS q, round(greatest(0, least(1, (q + 0.5) / 1.5)), 6) AS score FROM z"
 
 
@@ -172,6 +187,21 @@ def _(s, d):
     return g.weak_components(x.suppliers(s, d), x.supplier_dag(s, d).where("call_count % 3 = 0"))
 
 
+@q("g33_components_spread", S["g33_components"])
+def _(s, d):
+    return g.weak_components(x.suppliers(s, d), x.supplier_dag(s, d).where("call_count % 3 = 0"), most=0)
+
+
+@q("g11_depths_relaxed", S["g11_depths"])
+def _(s, d):
+    return g.depths(x.suppliers(s, d), x.supplier_dag(s, d), most=0)
+
+
+@q("g6_ancestors_rounds", S["g6_bounded_ancestors"])
+def _(s, d):
+    return g.reachable(x.supplier_graph(s, d), x.suppliers(s, d).where("node = 1"), reverse=True, depth=5, most=0)
+
+
 @q("g21_score", SCC + f""", co AS (SELECT DISTINCT a.scc AS src, b.scc AS dst FROM sup JOIN sc a ON src = a.node JOIN sc b ON dst = b.node WHERE a.scc <> b.scc),
 p AS (SELECT DISTINCT scc AS node, 0 AS depth FROM sc UNION SELECT co.dst, depth + 1 FROM p JOIN co ON co.src = p.node),
 od AS (SELECT s_suppkey, (SELECT count(*) FROM sup WHERE src = s_suppkey) AS v FROM supplier), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM od),
@@ -268,7 +298,7 @@ def _(s, d):
 @q("t14_scc_metrics", SCC + ", z AS (SELECT scc, count(*) AS n FROM sc GROUP BY 1) SELECT max(n) AS largest, count(*) AS components, count(*) FILTER (n > 1) AS tangles FROM z")
 def _(s, d):
     z = g.scc(x.suppliers(s, d), x.supplier_graph(s, d)).groupBy("scc").agg(F.count("*").alias("n"))
-    return z.agg(F.max("n").alias("largest"), F.count("*").alias("components"), F.count_if("n > 1").alias("tangles"))
+    return z.agg(F.max("n").alias("largest"), F.count("*").alias("components"), F.count_if(F.expr("n > 1")).alias("tangles"))
 
 
 @q("t16_partition_coverage", f"WITH {x.F1} SELECT round(count(*) FILTER (a.n_regionkey = b.n_regionkey) / count(*), 6) AS inside FROM trade JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey")
@@ -289,5 +319,5 @@ def _(s, d):
 @q("g23_summary", f"WITH {x.F1} SELECT (SELECT count(*) FROM nation) AS modules, count(*) AS edges, count(DISTINCT dst) AS targets, (SELECT count(*) FROM (SELECT dst FROM trade GROUP BY 1 HAVING count(*) >= 3)) AS hubs, max(call_count) AS most_calls FROM trade")
 def _(s, d):
     e = x.trade_graph(s, d)
-    hubs = e.groupBy("dst").agg(F.count("*").alias("n")).agg(F.count_if("n >= 3").alias("hubs"))
+    hubs = e.groupBy("dst").agg(F.count("*").alias("n")).agg(F.count_if(F.expr("n >= 3")).alias("hubs"))
     return x.nations(s, d).agg(F.count("*").alias("modules")).crossJoin(e.agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"), F.max("call_count").alias("most_calls"))).crossJoin(hubs).select("modules", "edges", "targets", "hubs", "most_calls")

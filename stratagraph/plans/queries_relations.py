@@ -168,7 +168,7 @@ def _(s, d):
 
 @q("j9_interval_join", "SELECT a.event_id, count(*) AS near FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 3600 AND a.event_type = 'error' GROUP BY 1")
 def _(s, d):
-    e = t(s, d, "events").select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("u"))
+    e = t(s, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("u"))
     hour, w = F.floor(F.col("u") / 3_600_000_000), 3_600_000_000
     a = e.where("event_type = 'error'").select("event_id", "user_id", "u", F.explode(F.array(hour - 1, hour, hour + 1)).alias("h"))
     o = e.select(F.col("user_id").alias("u2"), F.col("u").alias("t2"), hour.alias("h2"))
@@ -179,7 +179,7 @@ def _(s, d):
 def _(s, d):
     e = t(s, d, "events")
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    k = e.where("event_type IN ('error', 'click')").select("event_id", "user_id", F.unix_micros("ts").alias("ts"), "event_type")
+    k = e.where("event_type IN ('error', 'click')").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type")
     click = F.when(F.col("event_type") == "click", F.struct("ts", "event_id"))
     return k.withColumn("last", F.max(click).over(w)).where("event_type = 'error'").select("event_id", F.col("last.event_id").alias("last_click"))
 
@@ -414,7 +414,7 @@ WILSON = "round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n
 
 @q("t3_wilson", f"SELECT p_brand, k, n, {WILSON} FROM (SELECT p_brand, count(*) FILTER (p_size > 25) AS k, count(*) AS n, count(*) FILTER (p_size > 25) / count(*) AS p, 1.959963984540054 AS z FROM part GROUP BY 1)")
 def _(s, d):
-    c = t(s, d, "part").groupBy("p_brand").agg(F.count_if("p_size > 25").alias("k"), F.count("*").alias("n"))
+    c = t(s, d, "part").groupBy("p_brand").agg(F.count_if(F.expr("p_size > 25")).alias("k"), F.count("*").alias("n"))
     lo, hi = stats.wilson(F.col("k"), F.col("n"))
     return c.select("p_brand", "k", "n", r6(lo).alias("low"), r6(hi).alias("high"))
 
@@ -494,4 +494,4 @@ def _(s, d):
 def _(s, d):
     from ..streaming.debounce import sessions
 
-    return sessions(t(s, d, "events"), "user_id", "2 hours").select("user_id", F.unix_micros("started").alias("started"), "n")
+    return sessions(t(s, d, "events"), "user_id", "2 hours").select("user_id", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), "n")
