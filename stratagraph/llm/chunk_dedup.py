@@ -66,7 +66,7 @@ def chunked(docs: DataFrame, text: str = "text", **sizes) -> DataFrame:
             for doc_id, t in zip(ids, batch.column(1), strict=True):
                 b = t.as_py().encode()
                 ends = cuts(b, **sizes)
-                starts = [0, *ends[:-1]]
+                starts = [0, *ends[:-1]] if ends else []
                 digest = b"".join([xxhash.xxh3_128_digest(b[s:e]) for s, e in zip(starts, ends, strict=True)])
                 hashes = np.frombuffer(digest, "<i8")[::2]
                 rows.append({"doc_id": doc_id, "hashes": hashes, "digests": digest, "ends": ends})

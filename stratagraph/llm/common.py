@@ -65,16 +65,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables that cut lineage. They go when the DataFrame that reads them goes, or at drop()."""
+    """Tables that cut lineage. Those that a result reads stay until the application ends, as frames derived from it may be
+    read at any time; the others go once the result is made, all of them at drop()."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = ship(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.n, self.made = 0, []
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
     def path(self, name: str) -> str:
         self.n += 1
-        return f"{self.root}/{self.n:02d}-{name}"
+        self.made.append(f"{self.n:02d}-{name}")
+        return f"{self.root}/{self.made[-1]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a Parquet table that survives the loss of executors, read again."""
@@ -91,9 +95,11 @@ class Scratch:
             _remove(self.spark, f.rsplit("/", 1)[0])
 
     def tied_to(self, df: DataFrame) -> DataFrame:
-        """df, whose end in this process also removes the tables."""
-        weakref.finalize(df, _remove, self.spark, self.root).atexit = False
-        df._scratch = self
+        """df, with only those of the tables left that it reads."""
+        read = {f.split("/")[-2] for f in df.inputFiles() if self.root.rsplit("/", 1)[-1] in f}
+        for name in self.made:
+            if name not in read:
+                _remove(self.spark, f"{self.root}/{name}")
         return df
 
 

@@ -18,9 +18,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", broadcast_rows: int =
     collision of the 64-bit hash cannot merge two texts.
 
     Of equal texts the row with the smallest doc_id stays; of repeated rows with that same doc_id all are marked kept and
-    each counts in group_size. Null text counts as empty, and all empty texts are one group. An empty table gives an empty
-    result. Other columns of docs are ignored, whatever their names. broadcast_rows bounds the number of suspects' ids that are sent to all executors; beyond it the
-    suspects are found by a shuffled join.
+    each counts in group_size. A null doc_id comes after all others. Null text counts as empty, and all empty texts are one
+    group. An empty table gives an empty result. Other columns of docs are ignored, whatever their names. broadcast_rows
+    bounds the number of suspects' ids that are sent to all executors; beyond it the suspects are found by a shuffled join.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -30,9 +30,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", broadcast_rows: int =
     n = prints.count()
     owners = owners_for(n, shuffle_partitions(spark))
     flagged = repeated(prints.select("block", "doc_id", F.array("h").alias("hashes")), owners)
-    suspects = scratch.write(flagged.where(F.col("hits")[0]).select("doc_id").distinct(), "suspects")
+    suspects = scratch.write(flagged.where(F.col("hits")[0]).select(F.col("doc_id").alias("suspect")).distinct(), "suspects")
     ids = F.broadcast(suspects) if suspects.count() <= broadcast_rows else suspects
-    same = source.join(ids, "doc_id", "left_semi").withColumn("text_sha256", F.sha2("norm", 256))
+    same = source.join(ids, source["doc_id"].eqNullSafe(ids["suspect"]), "left_semi").withColumn("text_sha256", F.sha2("norm", 256))
     # The grouping key holds the bytes themselves; partial sums leave one row per text and task before the shuffle.
     groups = same.groupBy("text_sha256", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.where("group_size > 1").select("text_sha256", "keep_id", "group_size")
@@ -40,7 +40,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", broadcast_rows: int =
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id") == F.coalesce("keep_id", "doc_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
         "text_sha256",
     )
     return scratch.tied_to(out)
@@ -56,14 +56,13 @@ def drop_exact_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000) -> D
     n_twice = twice.count()
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
     sha = F.sha2(F.regexp_replace(text_col(docs), SPACE, " "), 256)
-    on = lambda x: (docs["doc_id"] == x["__id"]) & (sha == x["__sha"])
+    on = lambda x: docs["doc_id"].eqNullSafe(x["__id"]) & (sha == x["__sha"])
     gone = small(gone, gone.count())
     out = docs.join(gone, on(gone), "left_anti")
     if n_twice:
         twice = small(twice, n_twice)
         one = docs.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "text"])
         out = docs.join(gone, on(gone), "left_anti").join(twice, on(twice), "left_anti").unionByName(one)
-    out._marks = marks
     return out
 
 

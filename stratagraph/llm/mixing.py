@@ -79,12 +79,11 @@ def fair_queue(docs: DataFrame, text: str = "text", weights: tuple[float, ...] =
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them, in the order of virtual finish time: each document as often as it is taken, all columns as
-    they were. Documents without words are never taken."""
+    they were. Documents without words are never taken. Rows that repeat a doc_id come as often as the one that is taken most."""
     queue = fair_queue(docs, **how)
     picks = queue.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("__times"), F.min("finish").alias("__finish"), F.max(F.try_divide("source_size", "target")).alias("__lap"))
     picks = picks.select(F.col("doc_id").alias("__id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("__times") - 1), lambda c: F.col("__finish") + c * F.col("__lap"))).alias("__at"))
-    out = docs.join(picks, docs["doc_id"] == picks["__id"]).orderBy("__at", "__id").select(*[docs[c] for c in docs.columns])
-    out._queue = queue
+    out = docs.join(picks, docs["doc_id"].eqNullSafe(picks["__id"])).orderBy(picks["__at"], picks["__id"]).select(*[docs[c] for c in docs.columns])
     return out
 
 

@@ -112,7 +112,7 @@ class Ranker:
 
 
 def held_out(doc_id, mod: int = 3, rest: int = 1):
-    return F.crc32(doc_id.cast("string").cast("binary")) % mod == rest
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Ranker:
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     y = labels.where(labels[label].isin(0, 1) & ~held_out(labels["doc_id"])).groupBy(labels["doc_id"].cast("long").alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     # At most sample_rows rows of two numbers.
     y = F.broadcast(y.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    rows = docs.join(y, docs["doc_id"] == y["__id"]).select(F.col("__id"), text_col(docs, text).alias("text"), F.col("__y").cast("long"))
+    rows = docs.join(y, docs["doc_id"] == y["__id"]).select(y["__id"], text_col(docs, text).alias("text"), y["__y"].cast("long").alias("__y"))
 
     def run(batches):
         for batch in batches:
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def quality_scores(docs: DataFrame, ranker: Ranker, text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs. Null and empty texts are scored as texts of no words;
-    repeated rows get the same score; other columns are ignored; an empty table gives an empty result."""
+    repeated rows get the same score; a null doc_id is not held out; other columns are ignored; an empty table gives an empty
+    result."""
 
     def run(batches):
         for batch in batches:

@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, ship, shuffle_partitions, table, text_col
 
@@ -201,8 +202,8 @@ def encoder(path: str) -> CachedEncoder:
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, text: str = "text", shards: int | None = None) -> DataFrame:
     """Encodes every whole text and writes shards of ids to folder, which all executors reach by the same URI.
 
-    Rows are range-partitioned and sorted by doc_id (then text, for repeated ids); null text counts as empty and gives
-    end_id alone. Each task streams one shard to a name of its own attempt and then renames it, so a lost executor's shard
+    Rows are range-partitioned and sorted by doc_id (then text, for repeated ids); a null doc_id is written as -1, null text
+    counts as empty and gives end_id alone. Each task streams one shard to a name of its own attempt and then renames it, so a lost executor's shard
     is written again. Returns the manifest: shard, path, n_docs, start (ids before it), n_tokens; it has one row a shard and
     is kept beside the shards. An empty table gives an empty manifest.
     """
@@ -233,7 +234,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             fs.move(draft, name)
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": name, "n_docs": n_docs, "n_tokens": n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("doc_id"), text_col(docs, text).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     made = sorted(rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long").collect())
     start, listed = 0, []
@@ -276,4 +277,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
     folder = scratch.path("ids")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
-    return scratch.tied_to(read_token_files(manifest, folder, with_ids=False))
+    return read_token_files(manifest, folder, with_ids=False)
