@@ -18,17 +18,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the smallest doc_id."""
-    return _select(exact_dedup.drop_exact_duplicates(docs))
+    return exact_dedup.drop_exact_duplicates(docs).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return _select(near_dedup.drop_near_duplicates(docs))
+    return near_dedup.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the fair queue takes them, some twice, some not at all, in order of virtual finish time."""
-    return _select(mixing.mix(docs))
+    return mixing.mix(docs).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,6 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs)
 
 
-def _select(df: DataFrame) -> DataFrame:
-    """The columns of documents; df is held too, as its scratch tables go with it."""
-    out = df.select(*COLUMNS)
-    out._from = df
-    return out
-
-
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
