@@ -93,21 +93,20 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
     def run(batches):
-        schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64())), ("symbols", pa.list_(pa.int32()))])
+        schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
-            ids, sets, sigs, held = [], [], [], 0
+            ids, sets, held = [], [], 0
             for doc_id, s in _sets(batch, k):
                 ids.append(doc_id)
                 sets.append(s.view(np.int64))
-                sigs.append(signature(s).astype(np.int32))
                 held += len(s)
                 if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, schema[1].type), pa.array(sigs, schema[2].type)], schema=schema)
-                    ids, sets, sigs, held = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, schema[1].type)], schema=schema)
+                    ids, sets, held = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, schema[1].type), pa.array(sigs, schema[2].type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, schema[1].type)], schema=schema)
 
-    return _source(docs, text).mapInArrow(run, "rep long, shingles array<long>, symbols array<int>")
+    return _source(docs, text).mapInArrow(run, "rep long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str = "text", pivot_rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -117,14 +116,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     component_id is the smallest doc_id reachable over links, kept marks the row that has it as doc_id.
 
     Candidates are those whose 60-symbol signatures agree in a chunk of five symbols up to one error, which by pigeonhole
-    are all pairs within RADIUS differing symbols. Equal sets are one class first. Within a key no list of all pairs is
-    made: a pivot for each key is compared with its members and confirmed links join components; keys whose members are one
-    component by then are done. What is left after pivot_rounds pivots is compared in full across components, so no
-    candidate pair between different components goes unconfirmed.
+    are all pairs within RADIUS differing symbols. Equal sets are one class first.
+
+    A set's own shingles, those that no other candidate has, bound its similarity to any other: of sizes n, m with u, v own
+    shingles the intersection is at most min(n - u, m - v) and the union at least max(n + v, m + u). Sets and pairs that
+    can't reach percent by that go. Within a key no list of all pairs is made: a pivot for each key is compared with its
+    members and confirmed links join components; keys whose members are one component by then are done. The first pivot is
+    the member that shares most keys with most others, which of a group of edits is the text they were made from. What is
+    left after pivot_rounds pivots is compared across components as far as the bound allows a link, so no candidate pair
+    between different components goes unconfirmed.
 
     Null, empty and word-less texts have an empty set and are linked with nothing. A text of fewer than k words is one
-    shingle. Rows that repeat a doc_id with different texts are linked through that id. An empty table gives an empty
-    result; other columns are ignored.
+    shingle. Rows that repeat a doc_id with different texts are linked through that id. A row without a doc_id joins the
+    component of an equal set, if there is one, and is else linked with nothing. An empty table gives an empty result; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -133,8 +138,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     classes = sigs.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = scratch.write(classes, "classes")
     keys = _keys(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"))
-    rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).select("key", "rep", "n").distinct(), "rows")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"), "members")
+    rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members")), "rows")
     involved = rows.select(F.col("rep").alias("id")).distinct()
     involved = scratch.write(involved, "involved")
     n_involved = involved.count()
@@ -142,57 +147,62 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     sets = _full_sets(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), k, text)
     # A doc_id may be repeated: one row of each is enough, as a class is known by its members' equal sets.
     sets = scratch.write(sets.dropDuplicates(["rep"]) , "sets")
-    comp = scratch.write(involved.select("id", F.col("id").alias("comp")), "comp")
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    own = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("rep").alias("owner")).where("holders = 1").groupBy("owner").agg(F.count("*").alias("u"))
+    worth = rows.groupBy("rep").agg(F.sum("members").alias("worth")).withColumnRenamed("rep", "w_rep")
+    marked = sets.select(F.col("rep").alias("id"), F.size("shingles").cast("long").alias("n")).join(own, F.col("id") == own["owner"], "left").join(worth, F.col("id") == worth["w_rep"])
+    marked = marked.select("id", "n", F.coalesce("u", F.lit(0)).alias("u"), "worth").where(f"100 * (n - u) >= {percent} * n")
+    marked = scratch.write(marked, "marked")
+    live_rows = rows.join(marked, rows["rep"] == marked["id"]).select("key", "rep", "n", "u", "worth")
+    rows = scratch.write(live_rows, "live")
+    comp = scratch.write(marked.select("id", F.col("id").alias("comp")), "comp")
+    close = f"100 * least(n - u, m - v) >= {percent} * greatest(n + v, m + u)"
 
     def labelled() -> DataFrame:
-        return rows.join(comp, rows["rep"] == comp["id"]).select("key", "rep", "n", "comp")
+        return rows.join(comp, rows["rep"] == comp["id"]).select("key", "rep", "n", "u", "worth", "comp")
 
-    def confirmed(pairs: DataFrame, within: int | None) -> DataFrame:
-        a = sets.select(F.col("rep").alias("a_rep"), F.col("shingles").alias("a_set"), F.col("symbols").alias("a_sym"))
-        b = sets.select(F.col("rep").alias("b_rep"), F.col("shingles").alias("b_set"), F.col("symbols").alias("b_sym"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        a = sets.select(F.col("rep").alias("a_rep"), F.col("shingles").alias("a_set"))
+        b = sets.select(F.col("rep").alias("b_rep"), F.col("shingles").alias("b_set"))
         j = pairs.join(a, pairs["a"] == a["a_rep"]).join(b, pairs["b"] == b["b_rep"])
-        if within is not None:
-            j = j.where(F.aggregate(F.zip_with("a_sym", "b_sym", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x) <= within)
         j = j.withColumn("both", F.size(F.array_intersect("a_set", "b_set")))
         return j.where(f"100L * both >= {percent}L * (size(a_set) + size(b_set) - both)").select("a", "b", "a_comp", "b_comp")
 
     for r in range(pivot_rounds + 1):
         live = scratch.write(labelled(), f"labelled{r}")
-        open_keys = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(r))).alias("p")).where("lo < hi")
-        open_keys = open_keys.select(F.col("key").alias("k"), F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("b_comp"))
+        first = F.struct(-F.col("worth") if r == 0 else F.lit(0), F.xxhash64("rep", F.lit(r)))
+        open_keys = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "n", "u", "comp"), first).alias("p")).where("lo < hi")
+        open_keys = open_keys.select(F.col("key").alias("k"), F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.u").alias("v"), F.col("p.comp").alias("b_comp"))
         open_keys = scratch.write(open_keys, f"open{r}")
         if open_keys.isEmpty():
             break
         last = r == pivot_rounds
         left = live.join(open_keys, live["key"] == open_keys["k"])
         if last:
-            mine = scratch.write(left.select("key", "rep", "n", "comp"), "left")
-            other = mine.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("b_comp"))
+            mine = scratch.write(left.select("key", "rep", "n", "u", "comp"), "left")
+            other = mine.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("b_comp"))
             left = mine.join(other, (mine["key"] == other["k"]) & (mine["comp"] < other["b_comp"]))
         pairs = left.where(F.col("comp") != F.col("b_comp")).where(close).select(F.col("rep").alias("a"), "b", F.col("comp").alias("a_comp"), "b_comp").distinct()
         pairs = scratch.write(pairs, f"pairs{r}")
         scratch.drop_table(live)
         if pairs.isEmpty():
             continue  # nothing of a fitting size with these pivots
-        links = confirmed(pairs, RADIUS if last else None)
+        links = confirmed(pairs)
         joined = components(links.select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")), scratch)
         comp = scratch.write(comp.join(joined, comp["comp"] == joined["node"], "left").select("id", F.coalesce("component", "comp").alias("comp")), f"comp{r}")
     members = classes.join(comp, classes["rep"] == comp["id"], "left").select(*[F.col(c).alias(f"c_{c}") for c in alike], F.coalesce("comp", "rep").alias("comp"))
     out = sigs.join(members, [sigs[c] == members[f"c_{c}"] for c in alike], "left").select(
-        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("comp", "doc_id")).alias("kept")
+        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept")
     )
     return scratch.tied_to(out)
 
 
 def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> DataFrame:
-    """docs with one row of each component of near-duplicates, that of the smallest doc_id; all columns as they were."""
+    """docs with one row of each component of near-duplicates, that of the smallest doc_id; all columns as they were. Rows
+    without a doc_id stay."""
     marks = near_duplicates(docs, broadcast_rows=broadcast_rows, **how)
     gone = marks.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    out = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    out._marks = marks
-    return out
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def op3_near_dedup(spark, sf_dir):
