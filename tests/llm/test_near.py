@@ -100,3 +100,27 @@ def test_components_like_union_find(spark):
     want = {x: c for x, c in low.items() if any(a != b and x in (a, b) for a, b in edges)}
     assert {r.node: r.component for r in got} == want
     scratch.drop()
+
+
+def test_each_pair_has_one_first_slot(spark):
+    """Against a plain reading of the signatures: of the keys that two share, one is first, and only within the radius."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**16, 60, np.uint16)
+    sigs = []
+    for k in range(40):
+        s = base.copy()
+        hit = rng.choice(60, rng.integers(0, 26), replace=False)
+        s[hit] = rng.integers(0, 2**16, len(hit), np.uint16)
+        sigs.append(s)
+    classes = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "rep long, signature binary")
+    keys = near_dedup._keys(classes).join(near_dedup._planes(classes).withColumnRenamed("p_rep", "rep"), "rep")
+    other = keys.selectExpr("key AS k", "rep AS b", "planes AS b_planes")
+    got = keys.join(other, (keys["key"] == other["k"]) & (keys["rep"] < other["b"])).where(near_dedup._first_slot("slot", "planes", "b_planes")).select("rep", "b").collect()
+    want = set()
+    for a in range(40):
+        for b in range(a + 1, 40):
+            differ = (sigs[a] != sigs[b]).reshape(12, 5).sum(axis=1)
+            if differ.sum() <= near_dedup.RADIUS and differ.min() <= 1:
+                want.add((a, b))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert all((sigs[a] != sigs[b]).sum() > near_dedup.RADIUS for a in range(40) for b in range(a + 1, 40) if (a, b) not in want)
