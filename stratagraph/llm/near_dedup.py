@@ -71,24 +71,64 @@ def signatures(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, rep, n for each chunk with each of its symbols left out in turn: equal keys are chunks with one error at most."""
+    """key, rep, slot for each chunk with each of its symbols left out in turn: equal keys are chunks with one error at most.
+    slot is WIDTH * chunk + the symbol left out."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
-            rep, n, out = batch.column(0), batch.column(1), []
+            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+            rep, out = batch.column(0), []
             with np.errstate(over="ignore"):
                 for c in range(CHUNKS):
                     for left in range(WIDTH):
                         kept = [sig[:, c, w] for w in range(WIDTH) if w != left]
                         packed = kept[0] << np.uint64(48) | kept[1] << np.uint64(32) | kept[2] << np.uint64(16) | kept[3]
                         out.append(words.mix(packed ^ words.mix(np.array([c * WIDTH + left + 1], np.uint64))).view(np.int64))
-            for keys in out:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), rep, n], names=["key", "rep", "n"])
+            for slot, keys in enumerate(out):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), rep, pa.array(np.full(len(keys), slot, np.int32))], names=["key", "rep", "slot"])
 
-    return classes.select("rep", "n_shingles", "signature").mapInArrow(run, "key long, rep long, n long")
+    return classes.select("rep", "signature").mapInArrow(run, "key long, rep long, slot int")
+
+
+def _planes(classes: DataFrame) -> DataFrame:
+    """p_rep, planes: the signature's symbols as 16 planes of bits, symbol w of chunk c at bit CHUNKS * w + c, so that the
+    symbols in which two signatures differ are the bits of plane-wise xor, or-ed."""
+
+    def run(batches):
+        weight = np.uint64(1) << np.arange(_SYMBOLS, dtype=np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(-1, CHUNKS, WIDTH).transpose(0, 2, 1).reshape(-1, _SYMBOLS)
+                planes = np.stack([((sig >> np.uint16(j)) & np.uint16(1)).astype(np.uint64) @ weight for j in range(16)], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(planes), pa.list_(pa.int64()))], names=["p_rep", "planes"])
+
+    return classes.select("rep", "signature").mapInArrow(run, "p_rep long, planes array<long>")
+
+
+def _first_slot(slot: str, a: str, b: str):
+    """Whether slot is the first in which signatures of planes a and b share a key, and they are within RADIUS: of all the
+    keys that two signatures share, one gives the pair."""
+    every = (1 << CHUNKS) - 1
+
+    def told(mask):
+        by_symbol = [F.shiftrightunsigned(mask, CHUNKS * w).bitwiseAND(F.lit(every)) for w in range(WIDTH)]
+        one, two = by_symbol[0], None
+        for x in by_symbol[1:]:
+            both = one.bitwiseAND(x)
+            two = both if two is None else two.bitwiseOR(both)
+            one = one.bitwiseOR(x)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.col(slot) / WIDTH).cast("int"))
+        # Chunks of two errors or more are no match; this one is the first match if all before it are such.
+        first = (bit - 1).bitwiseAND(F.bitwise_not(two)) == 0
+        left = F.col(slot) % WIDTH
+        gone = F.coalesce(*[F.when(left == w, by_symbol[w]) for w in range(WIDTH)]).bitwiseAND(bit) != 0
+        none = one.bitwiseAND(bit) == 0
+        return (F.bit_count(mask) <= RADIUS) & first & (gone | (none & (left == 0)))
+
+    mask = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.get(F.transform(F.array(mask), told), F.lit(0))
 
 
 def _full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
@@ -123,8 +163,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     can't reach percent by that go. Within a key no list of all pairs is made: a pivot for each key is compared with its
     members and confirmed links join components; keys whose members are one component by then are done. The first pivot is
     the member that shares most keys with most others, which of a group of edits is the text they were made from. What is
-    left after pivot_rounds pivots is compared across components as far as the bound allows a link, so no candidate pair
-    between different components goes unconfirmed.
+    left after pivot_rounds pivots is compared across components as far as the bound allows a link, each pair at the first of
+    the keys that it shares, so no candidate pair between different components goes unconfirmed.
 
     Null, empty and word-less texts have an empty set and are linked with nothing. A text of fewer than k words is one
     shingle. Rows that repeat a doc_id with different texts are linked through that id. A row without a doc_id joins the
@@ -139,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     classes = scratch.write(classes, "classes")
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"), "members")
-    rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members")), "rows")
+    rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members"), F.min("slot").alias("slot")), "rows")
     involved = rows.select(F.col("rep").alias("id")).distinct()
     involved = scratch.write(involved, "involved")
     n_involved = involved.count()
@@ -152,13 +192,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     marked = sets.select(F.col("rep").alias("id"), F.size("shingles").cast("long").alias("n")).join(own, F.col("id") == own["owner"], "left").join(worth, F.col("id") == worth["w_rep"])
     marked = marked.select("id", "n", F.coalesce("u", F.lit(0)).alias("u"), "worth").where(f"100 * (n - u) >= {percent} * n")
     marked = scratch.write(marked, "marked")
-    live_rows = rows.join(marked, rows["rep"] == marked["id"]).select("key", "rep", "n", "u", "worth")
+    live_rows = rows.join(marked, rows["rep"] == marked["id"]).select("key", "slot", "rep", "n", "u", "worth")
     rows = scratch.write(live_rows, "live")
     comp = scratch.write(marked.select("id", F.col("id").alias("comp")), "comp")
     close = f"100 * least(n - u, m - v) >= {percent} * greatest(n + v, m + u)"
 
     def labelled() -> DataFrame:
-        return rows.join(comp, rows["rep"] == comp["id"]).select("key", "rep", "n", "u", "worth", "comp")
+        return rows.join(comp, rows["rep"] == comp["id"]).select("key", "slot", "rep", "n", "u", "worth", "comp")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("rep").alias("a_rep"), F.col("shingles").alias("a_set"))
@@ -178,9 +218,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
         last = r == pivot_rounds
         left = live.join(open_keys, live["key"] == open_keys["k"])
         if last:
-            mine = scratch.write(left.select("key", "rep", "n", "u", "comp"), "left")
-            other = mine.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("b_comp"))
-            left = mine.join(other, (mine["key"] == other["k"]) & (mine["comp"] < other["b_comp"]))
+            planes = _planes(classes.join(marked, classes["rep"] == marked["id"], "left_semi"))
+            mine = left.select("key", "slot", "rep", "n", "u", "comp").join(planes, F.col("rep") == planes["p_rep"])
+            mine = scratch.write(mine.drop("p_rep"), "left")
+            other = mine.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("b_comp"), F.col("planes").alias("b_planes"))
+            left = mine.join(other, (mine["key"] == other["k"]) & (mine["comp"] < other["b_comp"])).where(_first_slot("slot", "planes", "b_planes"))
         pairs = left.where(F.col("comp") != F.col("b_comp")).where(close).select(F.col("rep").alias("a"), "b", F.col("comp").alias("a_comp"), "b_comp").distinct()
         pairs = scratch.write(pairs, f"pairs{r}")
         scratch.drop_table(live)
