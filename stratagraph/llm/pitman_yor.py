@@ -23,11 +23,19 @@ END = np.uint64(0xE2D5E2D5E2D5E2D5)
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """a compressed. Whole numbers go byte plane by byte plane, as small ones leave the upper planes empty."""
+    a = np.ascontiguousarray(a)
+    if a.dtype.kind != "f":
+        a = a.view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
 
 def unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    if np.dtype(kind).kind == "f":
+        return np.frombuffer(raw, kind)
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _owner_edges(values: np.ndarray, owners: int) -> np.ndarray:
@@ -49,8 +57,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def block():
             tokens = np.concatenate([x[3] for x in held])
-            vocab, ids = np.unique(tokens, return_inverse=True)
-            row = {"block": at + k, "docs": pack(np.concatenate([x[0] for x in held])), "sizes": pack(np.concatenate([x[1] for x in held])), "train": pack(np.concatenate([x[2] for x in held])), "vocab": pack(vocab), "ids": pack(ids.astype(np.int32))}
+            vocab, ids, n_of = np.unique(tokens, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers.
+            order = np.argsort(-n_of, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            vocab, ids = vocab[order], place[ids]
+            row = {"block": at + k, "docs": pack(np.concatenate([x[0] for x in held])), "sizes": pack(np.concatenate([x[1] for x in held])), "train": pack(np.concatenate([x[2] for x in held])), "vocab": pack(vocab), "ids": pack(ids)}
             return _arrow([row], schema)
 
         for batch in batches:
@@ -85,7 +98,8 @@ def _word_owners(blocks: DataFrame, owners: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 _, train, vocab, ids = _tokens(row)
-                c = np.bincount(ids[train], minlength=len(vocab))
+                order = np.argsort(vocab)
+                vocab, c = vocab[order], np.bincount(ids[train], minlength=len(vocab))[order]
                 at = _owner_edges(vocab, owners)
                 yield _arrow([{"owner": o, "block": row["block"], "vocab": pack(vocab[i:j]), "counts": pack(c[i:j])} for o, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i], schema)
 
@@ -107,10 +121,11 @@ def _pairs(row, told: pd.DataFrame, n_tokens: int, buckets: int):
     """A block's counts by word, its distinct pairs in order of their owners, where owners begin and each token's pair."""
     sizes, train, vocab, ids = _tokens(row)
     told = told.sort_values("owner")
-    counts = np.concatenate([unpack(x, np.int64) for x in told["counts"]])
-    number = np.concatenate([unpack(x, np.int64) for x in told["numbers"]])
+    by_hash, counts, number = np.argsort(vocab), np.empty(len(vocab), np.int64), np.empty(len(vocab), np.int64)
+    counts[by_hash] = np.concatenate([unpack(x, np.int64) for x in told["counts"]])
+    number[by_hash] = np.concatenate([unpack(x, np.int64) for x in told["numbers"]])
     before = np.empty(len(ids), np.int64)
-    before[0], before[1:] = np.searchsorted(vocab, END), ids[:-1]
+    before[0], before[1:] = np.flatnonzero(vocab == END)[0], ids[:-1]
     keys, inverse = np.unique(before << 32 | ids, return_inverse=True)
     u, w = keys >> 32, keys & 0xFFFFFFFF
     hot = counts[u] > n_tokens / (4 * buckets)
@@ -175,13 +190,18 @@ def first_seats(c: np.ndarray, new: np.ndarray, rng) -> np.ndarray:
     return z.astype(np.int32)
 
 
-_STATE = "bucket int, ulist binary, cu binary, hot binary, wlist binary, pu binary, pw binary, c binary, z binary, total binary"
+_STATE = "bucket int, ulist binary, cu binary, hot binary, wlist binary, pu binary, pw binary, c binary, z binary, total binary, tables long"
+
+
+def _column(pdf: pd.DataFrame, name: str, kind) -> np.ndarray:
+    return np.concatenate([unpack(x, kind) for x in pdf[name]])
 
 
 def _gather(pdf: pd.DataFrame) -> dict:
-    u, w = (np.concatenate([unpack(x, np.int64) for x in pdf[k]]) for k in ("u", "w"))
-    ulist, first, pu = np.unique(u, return_index=True, return_inverse=True)
-    wlist, pw = np.unique(w, return_inverse=True)
+    """A bucket's contexts, words and distinct pairs out of the blocks' parts, where u comes once a run of n pairs."""
+    ulist, first, of = np.unique(_column(pdf, "u", np.int64), return_index=True, return_inverse=True)
+    pu = of.repeat(_column(pdf, "n", np.int32))
+    wlist, pw = np.unique(_column(pdf, "w", np.int64), return_inverse=True)
     keys, inverse = np.unique(pu.astype(np.int64) << 32 | pw, return_inverse=True)
     return {"ulist": ulist, "first": first, "wlist": wlist, "keys": keys, "inverse": inverse}
 
@@ -191,10 +211,10 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
 
     Texts are lower-cased (A-Z), cut into words and closed by one end token, which is also the context of a text's first
     word. Rows whose crc32 of doc_id modulo 7 is 2 are held out of training. score is the log10 probability of the text,
-    each token's probability averaged over `samples` sweeps of the seating after `burn_in` sweeps; perplexity is that of the
-    text by token. A sweep moves up to `moves` random customers of every dish of every restaurant; all counts are used.
+    each token's probability averaged over the `samples` seatings that follow `burn_in` sweeps, a sweep apart; perplexity is
+    that of the text by token. A sweep moves up to `moves` random customers of every dish of every restaurant; all counts are used.
 
-    Null and empty texts are one end token. Repeated rows are trained on and scored each. With no training rows every token
+    Null and empty texts are one end token. A null doc_id is given as 0 and trained on. Repeated rows are trained on and scored each. With no training rows every token
     is unknown (N = V = 0). An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -209,23 +229,27 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
 
     def ask(key, mine: pd.DataFrame, words_of: pd.DataFrame) -> pd.DataFrame:
         p = _pairs(mine.iloc[0], words_of, tokens, buckets)
-        rows = [(k, key[0], *(pack(p[x][i:j]) for x in ("u", "w", "c", "cu", "hot"))) for k, (i, j) in enumerate(zip(p["at"][:-1], p["at"][1:], strict=True)) if j > i]
-        return pd.DataFrame(rows, columns=["bucket", "block", "u", "w", "c", "cu", "hot"])
+        rows = []
+        for k, (i, j) in enumerate(zip(p["at"][:-1], p["at"][1:], strict=True)):
+            if j > i:  # pairs of one context stand together
+                runs = i + np.concatenate([[0], np.flatnonzero(np.diff(p["u"][i:j])) + 1])
+                rows.append((k, key[0], pack(p["u"][runs]), pack(np.diff(runs, append=j).astype(np.int32)), pack(p["w"][i:j]), pack(p["c"][i:j]), pack(p["cu"][runs]), pack(p["hot"][runs])))
+        return pd.DataFrame(rows, columns=["bucket", "block", "u", "n", "w", "c", "cu", "hot"])
 
     small = blocks.select("block", "sizes", "train", "vocab", "ids")
-    asked = scratch.write(small.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, "bucket int, block long, u binary, w binary, c binary, cu binary, hot binary"), "pairs")
+    asked = scratch.write(small.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask, "bucket int, block long, u binary, n binary, w binary, c binary, cu binary, hot binary"), "pairs")
 
     def begin(key, pdf: pd.DataFrame) -> pd.DataFrame:
         g = _gather(pdf)
-        cat = lambda k, t: np.concatenate([unpack(x, t) for x in pdf[k]])
-        c = np.bincount(g["inverse"], cat("c", np.int64), len(g["keys"])).astype(np.int64)
-        row = {"bucket": key[0], "ulist": g["ulist"], "cu": cat("cu", np.int64)[g["first"]], "hot": cat("hot", np.uint8)[g["first"]], "wlist": g["wlist"], "pu": (g["keys"] >> 32).astype(np.int32), "pw": (g["keys"] & 0xFFFFFFFF).astype(np.int32), "c": c, "z": np.zeros(0, np.int32), "total": np.zeros(0, np.float32)}
-        return pd.DataFrame([{k: v if k == "bucket" else pack(v) for k, v in row.items()}])
+        c = np.bincount(g["inverse"], _column(pdf, "c", np.int64), len(g["keys"])).astype(np.int64)
+        per_u = np.bincount(g["keys"] >> 32, minlength=len(g["ulist"])).astype(np.int32)
+        row = {"bucket": key[0], "ulist": g["ulist"], "cu": _column(pdf, "cu", np.int64)[g["first"]], "hot": _column(pdf, "hot", np.uint8)[g["first"]], "wlist": g["wlist"], "pu": per_u, "pw": (g["keys"] & 0xFFFFFFFF).astype(np.int32), "c": c, "z": np.zeros(0, np.int32), "total": np.zeros(0, np.float32)}
+        return pd.DataFrame([{k: v if k == "bucket" else pack(v) for k, v in row.items()} | {"tables": int((c > 0).sum())}])
 
     state = scratch.write(asked.groupBy("bucket").applyInPandas(begin, _STATE), "state")
 
-    def parents(state: DataFrame, sweep: int, root_tables: int, customers: int) -> DataFrame:
-        """bucket, owner, prob, root_tables, customers: the parent's probability of each of a bucket's words."""
+    def parents(state: DataFrame, sweep: int, root_tables: int) -> DataFrame:
+        """bucket, owner, rest, root_tables: what the parent's tables leave to each of a bucket's words."""
 
         def ask_parent(batches):
             schema = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("w", pa.binary()), ("t", pa.binary())])
@@ -248,7 +272,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
             parts = [unpack(x, np.int64) for x in pdf["w"]]
             w, inverse = np.unique(np.concatenate(parts), return_inverse=True)
             c = np.bincount(inverse, np.concatenate([unpack(x, np.int64) for x in pdf["t"]]), len(w)).astype(np.int64)
-            n, new = customers or int(c.sum()) * owners, (root_strength + root_d * (root_tables or (c > 0).sum() * owners)) * floor
+            new = (root_strength + root_d * root_tables) * floor
             # Only dishes of a few customers can change their tables in a few moves; others have one, so that no task holds
             # a frequent word's customers one by one.
             few = np.flatnonzero((c > 1) & (c <= 4 * moves))
@@ -258,58 +282,64 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
                 t[few] = seat(z, np.cumsum(c[few]) - c[few], c[few], np.full(len(few), new), root_d, moves, rng)
             big = c > 4 * moves
             t[big] = np.minimum(1 + rng.poisson(new * np.log1p(c[big] / max(new, 1e-9))), c[big])
-            prob = (c - root_d * t + new) / (root_strength + max(n, 1))
+            rest = c - root_d * t
             cut = np.cumsum([len(p) for p in parts])[:-1]
             first = np.arange(len(parts)) == 0
-            return pd.DataFrame({"bucket": pdf["bucket"], "owner": key[0], "prob": [pack(x) for x in np.split(prob[inverse], cut)], "root_tables": np.where(first, t.sum(), 0), "customers": np.where(first, c.sum(), 0)})
+            return pd.DataFrame({"bucket": pdf["bucket"], "owner": key[0], "rest": [pack(x) for x in np.split(rest[inverse], cut)], "root_tables": np.where(first, t.sum(), 0)})
 
         asked = state.select("bucket", "wlist", "pw", "c", "z").mapInArrow(ask_parent, "owner int, bucket int, w binary, t binary")
-        return asked.groupBy("owner").applyInPandas(answer, "bucket int, owner int, prob binary, root_tables long, customers long")
+        return asked.groupBy("owner").applyInPandas(answer, "bucket int, owner int, rest binary, root_tables long")
 
-    def sweep_of(sweep: int, hot_tables: dict[int, int], count: bool):
+    def sweep_of(sweep: int, hot_tables: dict[int, int], root_tables: int, customers: int, count: bool, last: bool):
         def run(key, mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             row, rng = mine.iloc[0], np.random.default_rng([seed, sweep, key[0]])
             ulist, cu, wlist = unpack(row["ulist"], np.int64), unpack(row["cu"], np.int64), unpack(row["wlist"], np.int64)
-            pu, pw, c, hot = unpack(row["pu"], np.int32), unpack(row["pw"], np.int32), unpack(row["c"], np.int64), unpack(row["hot"], np.uint8).astype(bool)
+            pu, pw, c, hot = np.arange(len(ulist)).repeat(unpack(row["pu"], np.int32)), unpack(row["pw"], np.int32), unpack(row["c"], np.int64), unpack(row["hot"], np.uint8).astype(bool)
             prob, o = np.empty(len(wlist)), wlist % owners
-            for k, x in zip(told["owner"], told["prob"], strict=True):
+            for k, x in zip(told["owner"], told["rest"], strict=True):
                 prob[o == k] = unpack(x, np.float64)
+            prob = (prob + (root_strength + root_d * root_tables) * floor) / (root_strength + customers)
             many = np.flatnonzero(c > 1)
             n = c[many]
             at = np.cumsum(n) - n
-            z = unpack(row["z"], np.int32).copy()
+            z = unpack(row["z"], np.int32)
             t = (c > 0).astype(np.int64)
             if len(z):
                 t[many] = np.add.reduceat((np.bincount(at.repeat(n) + z, minlength=int(n.sum())) > 0).astype(np.int64), at)
             tu = np.bincount(pu, t, len(ulist))
             known = np.array([hot_tables.get(int(x), -1) for x in ulist[hot]], np.float64)
             tu[hot] = np.where(known >= 0, known, cu[hot] / 2)
-            new = (strength + d * tu[pu[many]]) * prob[pw[many]]
-            if not len(z) and len(many):
-                z = first_seats(n, new, rng)
-            if len(many):
-                t[many] = seat(z, at, n, new, d, moves, rng)
-            local = np.bincount(pu, t, len(ulist))
-            tu = np.where(hot, tu, local)
             total = unpack(row["total"], np.float32)
-            if count:
+            if count:  # of the seating as it is: its tables are the customers that the parents answered for
                 p = (np.maximum(c - d * t, 0) + (strength + d * tu[pu]) * prob[pw]) / (strength + cu[pu])
                 total = (total if len(total) else 0) + p.astype(np.float32)
-            out = {k: row[k] for k in ("ulist", "cu", "hot", "wlist", "pu", "pw", "c")} | {"bucket": key[0], "z": pack(z), "total": pack(total), "hot_u": ulist[hot].tolist(), "hot_t": local[hot].astype(np.int64).tolist()}
+            if len(many) and not last:
+                new = (strength + d * tu[pu[many]]) * prob[pw[many]]
+                if not len(z):
+                    z = first_seats(n, new, rng)
+                t[many] = seat(z, at, n, new, d, moves, rng)
+            local = np.bincount(pu, t, len(ulist))
+            # After the last sweep only the sums of probabilities are asked for.
+            kept = {k: b"" if last else row[k] for k in ("ulist", "cu", "hot", "wlist", "pu", "pw", "c")}
+            out = kept | {"bucket": key[0], "z": b"" if last else pack(z), "total": pack(total), "tables": int(t.sum()), "hot_u": ulist[hot].tolist(), "hot_t": local[hot].astype(np.int64).tolist()}
             return pd.DataFrame([out])
 
         return run
 
-    root_tables = customers = 0
+    root_tables = types
     hot_tables: dict[int, int] = {}
     for sweep in range(burn_in + samples):
-        up = scratch.write(parents(state, sweep, root_tables, customers), "parents")
-        root_tables, customers = (int(x or 0) for x in up.agg(F.sum("root_tables"), F.sum("customers")).first())
-        run = sweep_of(sweep, hot_tables, sweep >= burn_in)
-        after = scratch.write(state.groupBy("bucket").cogroup(up.select("bucket", "owner", "prob").groupBy("bucket")).applyInPandas(run, _STATE + ", hot_u array<long>, hot_t array<long>"), "state")
+        customers = int(state.agg(F.sum("tables")).first()[0] or 0)
+        up = scratch.write(parents(state, sweep, root_tables), "parents")
+        root_tables = int(up.agg(F.sum("root_tables")).first()[0] or 0)
+        last = sweep + 1 == burn_in + samples
+        run = sweep_of(sweep, hot_tables, root_tables, customers, sweep >= burn_in, last)
+        after = scratch.write(state.groupBy("bucket").cogroup(up.select("bucket", "owner", "rest").groupBy("bucket")).applyInPandas(run, _STATE + ", hot_u array<long>, hot_t array<long>"), "state")
         scratch.drop_table(state)
         scratch.drop_table(up)
         state = after
+        if last:
+            break
         # A context is hot when it has over 1/(4 * buckets) of all tokens, so there are at most 4 * buckets of them.
         tally = state.select(F.explode(F.arrays_zip("hot_u", "hot_t")).alias("x")).groupBy("x.hot_u").agg(F.sum("x.hot_t").alias("t"))
         hot_tables = {r[0]: r[1] for r in tally.collect()}
@@ -317,10 +347,14 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
     def reply(key, pairs: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         g, total = _gather(pairs), unpack(mine.iloc[0]["total"], np.float32)
         logp = np.log10(np.maximum(total / samples, 1e-37)).astype(np.float32)
-        cut = np.cumsum([len(unpack(x, np.int64)) for x in pairs["u"]])[:-1]
+        cut = np.cumsum([int(unpack(x, np.int32).sum()) for x in pairs["n"]])[:-1]
         return pd.DataFrame({"block": pairs["block"], "owner": key[0], "logp": [pack(x) for x in np.split(logp[g["inverse"]], cut)]})
 
-    replies = asked.select("bucket", "block", "u", "w").groupBy("bucket").cogroup(state.select("bucket", "total").groupBy("bucket")).applyInPandas(reply, "block long, owner int, logp binary")
+    replies = asked.select("bucket", "block", "u", "n", "w").groupBy("bucket").cogroup(state.select("bucket", "total").groupBy("bucket")).applyInPandas(reply, "block long, owner int, logp binary")
+    # The answers as a table: the pairs and the state are done with then.
+    replies = scratch.write(replies, "replies")
+    scratch.drop_table(asked)
+    scratch.drop_table(state)
     empty = F.lit(None).cast("binary")
     both = told.select("block", "owner", "counts", "numbers", empty.alias("logp")).unionByName(replies.select("block", "owner", empty.alias("counts"), empty.alias("numbers"), "logp"))
 
