@@ -214,7 +214,7 @@ def depths(nodes: DataFrame, dag: DataFrame, most: int = MOST) -> DataFrame:
             return best
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tol: float = 1e-6, every: int = 5, most: int = MOST) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, tol: float = 1e-6, every: int = 1, most: int = MOST) -> DataFrame:
     """node, rank: power iteration with the mass of nodes without edges out spread evenly; stops when the summed change is under N * tol."""
     n = nodes.count()
     if n == 0:

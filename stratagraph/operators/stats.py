@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """r, null where a side does not vary."""
-    ok = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return df.agg(F.when(ok, F.corr(x, y)).alias("r"))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return df.where(both).agg(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))
 
 
 def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
@@ -60,7 +60,8 @@ def sign_test(wins: int, losses: int) -> float:
 
 
 def ols_slope(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.coalesce(F.when(F.var_pop(x) > 0, F.regr_slope(y, x)), F.lit(0.0)).alias("slope"))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return df.where(both).agg(F.coalesce(F.try_divide(F.covar_pop(x, y), F.var_pop(x)), F.lit(0.0)).alias("slope"))
 
 
 def jaccard(a: Column, b: Column, empty: float | None = 1.0) -> Column:
