@@ -22,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return near_dedup.drop_near_duplicates(docs).select(*COLUMNS)
+    """One document of each group of near-duplicates (similarity of 0.8 or more), that of the smallest doc_id."""
+    return near_dedup.drop_near_duplicates(docs, percent=80).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,10 +19,27 @@ from .components import components
 CHUNKS, WIDTH = 12, 5
 RADIUS = 23
 _SYMBOLS = CHUNKS * WIDTH
+#: Most of the links at the threshold itself that may lie beyond the radius.
+MISSED = 1e-5
 _SEEDS = words.mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64))[:, None]
 _ODD = (words.mix(np.arange(1001, 1001 + _SYMBOLS, dtype=np.uint64)) | np.uint64(1))[:, None]
 
 
+def beyond(percent: int, radius: int) -> float:
+    """Probability that signatures of two sets of a similarity of percent differ in more than radius symbols."""
+    differ = 1 - percent / 100
+    return sum(comb(_SYMBOLS, k) * differ**k * (1 - differ) ** (_SYMBOLS - k) for k in range(radius + 1, _SYMBOLS + 1))
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """Chunks and their width for links of percent: the widest chunks whose radius, 2 * chunks - 1, at most MISSED of them exceed;
+    CHUNKS and WIDTH from 85 on, 15 chunks of 4 at 80."""
+    for width in range(WIDTH, 1, -1):
+        if _SYMBOLS % width == 0 and beyond(percent, 2 * (_SYMBOLS // width) - 1) <= MISSED:
+            return _SYMBOLS // width, width
+    return _SYMBOLS // 2, 2
+
+
 def signature(shingle_set: np.ndarray) -> np.ndarray:
     """60 symbols: 16 bits of the least of each of 60 hash functions over the set."""
     least = np.full(_SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
@@ -70,62 +89,64 @@ def signatures(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
     return _source(docs, text).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
     """key, rep, slot for each chunk with each of its symbols left out in turn: equal keys are chunks with one error at most.
-    slot is WIDTH * chunk + the symbol left out."""
+    slot is width * chunk + the symbol left out."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(-1, chunks, width).astype(np.uint64)
             rep, out = batch.column(0), []
             with np.errstate(over="ignore"):
-                for c in range(CHUNKS):
-                    for left in range(WIDTH):
-                        kept = [sig[:, c, w] for w in range(WIDTH) if w != left]
-                        packed = kept[0] << np.uint64(48) | kept[1] << np.uint64(32) | kept[2] << np.uint64(16) | kept[3]
-                        out.append(words.mix(packed ^ words.mix(np.array([c * WIDTH + left + 1], np.uint64))).view(np.int64))
+                for c in range(chunks):
+                    for left in range(width):
+                        packed = np.zeros(len(sig), np.uint64)
+                        for w in range(width):
+                            if w != left:
+                                packed = packed << np.uint64(16) | sig[:, c, w]
+                        out.append(words.mix(packed ^ words.mix(np.array([c * width + left + 1], np.uint64))).view(np.int64))
             for slot, keys in enumerate(out):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), rep, pa.array(np.full(len(keys), slot, np.int32))], names=["key", "rep", "slot"])
 
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long, slot int")
 
 
-def _planes(classes: DataFrame) -> DataFrame:
-    """p_rep, planes: the signature's symbols as 16 planes of bits, symbol w of chunk c at bit CHUNKS * w + c, so that the
+def _planes(classes: DataFrame, chunks: int = CHUNKS, width: int = WIDTH) -> DataFrame:
+    """p_rep, planes: the signature's symbols as 16 planes of bits, symbol w of chunk c at bit chunks * w + c, so that the
     symbols in which two signatures differ are the bits of plane-wise xor, or-ed."""
 
     def run(batches):
         weight = np.uint64(1) << np.arange(_SYMBOLS, dtype=np.uint64)
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(-1, CHUNKS, WIDTH).transpose(0, 2, 1).reshape(-1, _SYMBOLS)
+                sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint16).reshape(-1, chunks, width).transpose(0, 2, 1).reshape(-1, _SYMBOLS)
                 planes = np.stack([((sig >> np.uint16(j)) & np.uint16(1)).astype(np.uint64) @ weight for j in range(16)], axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(planes), pa.list_(pa.int64()))], names=["p_rep", "planes"])
 
     return classes.select("rep", "signature").mapInArrow(run, "p_rep long, planes array<long>")
 
 
-def _first_slot(slot: str, a: str, b: str):
-    """Whether slot is the first in which signatures of planes a and b share a key, and they are within RADIUS: of all the
+def _first_slot(slot: str, a: str, b: str, chunks: int = CHUNKS, width: int = WIDTH):
+    """Whether slot is the first in which signatures of planes a and b share a key, and they are within the radius: of all the
     keys that two signatures share, one gives the pair."""
-    every = (1 << CHUNKS) - 1
+    every = (1 << chunks) - 1
 
     def told(mask):
-        by_symbol = [F.shiftrightunsigned(mask, CHUNKS * w).bitwiseAND(F.lit(every)) for w in range(WIDTH)]
+        by_symbol = [F.shiftrightunsigned(mask, chunks * w).bitwiseAND(F.lit(every)) for w in range(width)]
         one, two = by_symbol[0], None
         for x in by_symbol[1:]:
             both = one.bitwiseAND(x)
             two = both if two is None else two.bitwiseOR(both)
             one = one.bitwiseOR(x)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.col(slot) / WIDTH).cast("int"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.col(slot) / width).cast("int"))
         # Chunks of two errors or more are no match; this one is the first match if all before it are such.
         first = (bit - 1).bitwiseAND(F.bitwise_not(two)) == 0
-        left = F.col(slot) % WIDTH
-        gone = F.coalesce(*[F.when(left == w, by_symbol[w]) for w in range(WIDTH)]).bitwiseAND(bit) != 0
+        left = F.col(slot) % width
+        gone = F.coalesce(*[F.when(left == w, by_symbol[w]) for w in range(width)]).bitwiseAND(bit) != 0
         none = one.bitwiseAND(bit) == 0
-        return (F.bit_count(mask) <= RADIUS) & first & (gone | (none & (left == 0)))
+        return (F.bit_count(mask) <= 2 * chunks - 1) & first & (gone | (none & (left == 0)))
 
     mask = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
     return F.get(F.transform(F.array(mask), told), F.lit(0))
@@ -155,8 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     Rows are linked when 100 * intersection >= percent * union of their sets of k-word shingles, confirmed on full sets;
     component_id is the smallest doc_id reachable over links, kept marks the row that has it as doc_id.
 
-    Candidates are those whose 60-symbol signatures agree in a chunk of five symbols up to one error, which by pigeonhole
-    are all pairs within RADIUS differing symbols. Equal sets are one class first.
+    Candidates are those whose 60-symbol signatures agree in a chunk up to one error, which by pigeonhole are all pairs
+    within 2 * chunks - 1 differing symbols; layout cuts the chunks for percent. Equal sets are one class first.
 
     A set's own shingles, those that no other candidate has, bound its similarity to any other: of sizes n, m with u, v own
     shingles the intersection is at most min(n - u, m - v) and the union at least max(n + v, m + u). Sets and pairs that
@@ -177,7 +198,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     alike = ["n_shingles", "set_a", "set_b"]
     classes = sigs.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = scratch.write(classes, "classes")
-    keys = _keys(classes)
+    cut = layout(percent)
+    keys = _keys(classes, *cut)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"), "members")
     rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members"), F.min("slot").alias("slot")), "rows")
     involved = rows.select(F.col("rep").alias("id")).distinct()
@@ -218,11 +240,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
         last = r == pivot_rounds
         left = live.join(open_keys, live["key"] == open_keys["k"])
         if last:
-            planes = _planes(classes.join(marked, classes["rep"] == marked["id"], "left_semi"))
+            planes = _planes(classes.join(marked, classes["rep"] == marked["id"], "left_semi"), *cut)
             mine = left.select("key", "slot", "rep", "n", "u", "comp").join(planes, F.col("rep") == planes["p_rep"])
             mine = scratch.write(mine.drop("p_rep"), "left")
             other = mine.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("b_comp"), F.col("planes").alias("b_planes"))
-            left = mine.join(other, (mine["key"] == other["k"]) & (mine["comp"] < other["b_comp"])).where(_first_slot("slot", "planes", "b_planes"))
+            left = mine.join(other, (mine["key"] == other["k"]) & (mine["comp"] < other["b_comp"])).where(_first_slot("slot", "planes", "b_planes", *cut))
         pairs = left.where(F.col("comp") != F.col("b_comp")).where(close).select(F.col("rep").alias("a"), "b", F.col("comp").alias("a_comp"), "b_comp").distinct()
         pairs = scratch.write(pairs, f"pairs{r}")
         scratch.drop_table(live)
