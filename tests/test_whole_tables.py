@@ -1,0 +1,25 @@
+"""Queries over whole tables against the SQL of those that read a part, with the part's filter taken out."""
+
+from __future__ import annotations
+
+import __spark_entry__ as entry
+
+from .oracle import connect, rows_of
+
+DIR = "/root/testdata/sf0.001"
+
+
+def like(spark, name, part, filters, folder=DIR):
+    """The query `name` gives what the SQL of `part` gives without its filters, which is more."""
+    cut = whole = entry.oracle_sql()[part]
+    for f in filters:
+        assert f in whole
+        whole = whole.replace(f, "")
+    con, df = connect(folder), entry.queries()[name](spark, folder)
+    rel = con.execute(whole)
+    want = rows_of([c[0] for c in rel.description], rel.fetchall())
+    assert rows_of(df.columns, df.collect()) == want != rows_of(sorted(df.columns), con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({cut})").fetchall())
+
+
+def test_bag_jaccard(spark):
+    like(spark, "a13_bag_jaccard_all", "a13_bag_jaccard", [" WHERE l_orderkey % 5 = 0"])
