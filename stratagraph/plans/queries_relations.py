@@ -157,6 +157,11 @@ def _(s, d):
     return b.band_pairs(t(s, d, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size")))
 
 
+@q("j5_band_join_all")
+def _(s, d):
+    return b.band_pairs(t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size")))
+
+
 @q("j2_anti_join", f"WITH {x.F1} SELECT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE NOT EXISTS (SELECT 1 FROM trade WHERE (src = a.n_nationkey AND dst = b.n_nationkey) OR (dst = a.n_nationkey AND src = b.n_nationkey))")
 def _(s, d):
     n = x.nations(s, d)
@@ -391,6 +396,12 @@ def _(s, d):
     return t(s, d, "events").where("user_id < 20").select("event_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
 
 
+@q("w10_carry_forward_all", "SELECT event_id, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")
+def _(s, d):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t(s, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
+
+
 @q("u4_pool_pairs", "WITH a AS (SELECT l_suppkey AS k, 'x' AS gen, l_quantity AS v FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_suppkey, 'y', l_quantity FROM lineitem WHERE l_returnflag = 'A') SELECT k, string_agg(DISTINCT gen, ',' ORDER BY gen) AS tags, max(v) AS best FROM a GROUP BY 1")
 def _(s, d):
     li = t(s, d, "lineitem")

@@ -23,3 +23,11 @@ def like(spark, name, part, filters, folder=DIR):
 
 def test_bag_jaccard(spark):
     like(spark, "a13_bag_jaccard_all", "a13_bag_jaccard", [" WHERE l_orderkey % 5 = 0"])
+
+
+def test_band_join(spark):
+    like(spark, "j5_band_join_all", "j5_band_join", ["u.p_partkey % 10 = 3 AND v.p_partkey % 10 = 3 AND "])
+
+
+def test_carry_forward(spark):
+    like(spark, "w10_carry_forward_all", "w10_carry_forward", [" WHERE user_id < 20"], "/root/testdata/sf0.01")
