@@ -192,6 +192,16 @@ def _(s, d):
     return g.weak_components(x.suppliers(s, d), x.supplier_dag(s, d).where("call_count % 3 = 0"), most=0)
 
 
+@q("g33_components_all", S["g33_components"].replace(" WHERE call_count % 3 = 0", ""))
+def _(s, d):
+    return g.weak_components(x.suppliers(s, d), x.supplier_dag(s, d))
+
+
+@q("g33_components_all_spread", S["g33_components_all"])
+def _(s, d):
+    return g.weak_components(x.suppliers(s, d), x.supplier_dag(s, d), most=0)
+
+
 @q("g11_depths_relaxed", S["g11_depths"])
 def _(s, d):
     return g.depths(x.suppliers(s, d), x.supplier_dag(s, d), most=0)

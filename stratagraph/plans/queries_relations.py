@@ -98,6 +98,17 @@ def _(s, d):
     return Q["b5_refactor"](s, d).groupBy("lens").agg(F.count("*").alias("n"))
 
 
+@q("b5_refactor_all", S["b5_refactor"].replace(" AND module % 3 = 0", "").replace(" WHERE p_partkey % 2 = 0", ""))
+def _(s, d):
+    r = t(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 100 / 100).alias("risk"))
+    return b.refactor_priorities(b.hotspots(x.churn(s, d)), r).withColumn("priority", r6("priority"))
+
+
+@q("b6_lens_counts_all", S["b6_lens_counts"].replace(" AND module % 3 = 0", "").replace(" WHERE p_partkey % 2 = 0", ""))
+def _(s, d):
+    return Q["b5_refactor_all"](s, d).groupBy("lens").agg(F.count("*").alias("n"))
+
+
 DUP = f"WITH {x.F8}, c AS (SELECT shape_hash, count(*) AS members, min(size) AS size, count(DISTINCT concrete_hash) = 1 AS exact, count(DISTINCT module) = 1 AS same_module FROM fn WHERE size >= 30 GROUP BY 1 HAVING count(*) >= 2)"
 
 

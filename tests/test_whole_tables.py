@@ -31,3 +31,19 @@ def test_band_join(spark):
 
 def test_carry_forward(spark):
     like(spark, "w10_carry_forward_all", "w10_carry_forward", [" WHERE user_id < 20"], "/root/testdata/sf0.01")
+
+
+PARTS = [" AND module % 3 = 0", " WHERE p_partkey % 2 = 0"]
+
+
+def test_refactor(spark):
+    like(spark, "b5_refactor_all", "b5_refactor", PARTS)
+
+
+def test_lens_counts(spark):
+    like(spark, "b6_lens_counts_all", "b6_lens_counts", PARTS)
+
+
+def test_components(spark):
+    for name in ("g33_components_all", "g33_components_all_spread"):
+        like(spark, name, "g33_components", [" WHERE call_count % 3 = 0"], "/root/testdata/sf0.01")
