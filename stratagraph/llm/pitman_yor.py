@@ -3,7 +3,13 @@
 Tokens go into blocks with a vocabulary each. Blocks ask the owners of word hashes for counts and word numbers, then the
 owners of contexts for the probability of each distinct pair of theirs. An owner seats the customers of its restaurants;
 tables are the customers of the parent restaurant, whose dishes are spread over owners by word. A hot context's dishes are
-spread over owners by (context, word).
+spread over as many owners as its share of the tokens asks for.
+
+A Gibbs sweep draws, each given the rest: an auxiliary number for the root, the tables of all its dishes, the root's shares of
+the words (gamma variates whose sum makes them a Dirichlet draw), an auxiliary number for each context and the tables of all
+its dishes (see seating.py). Given the root's shares the contexts are independent, so this holds however they are spread. All
+customers of all dishes are seated anew in every sweep. One thing is not drawn: of what the root leaves to new tables, each word
+gets the expected share.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import Scratch, shuffle_partitions, table, text_col
+from .seating import draw_tables
 
 BLOCK_TOKENS = 1_000_000
 END = np.uint64(0xE2D5E2D5E2D5E2D5)
@@ -48,7 +55,7 @@ def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "sizes", "train", "vocab", "ids")]])
+    schema = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "known", "sizes", "train", "vocab", "ids")]])
 
     def run(batches):
         from pyspark import TaskContext
@@ -63,17 +70,18 @@ def _blocks(docs: DataFrame) -> DataFrame:
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
             vocab, ids = vocab[order], place[ids]
-            row = {"block": at + k, "docs": pack(np.concatenate([x[0] for x in held])), "sizes": pack(np.concatenate([x[1] for x in held])), "train": pack(np.concatenate([x[2] for x in held])), "vocab": pack(vocab), "ids": pack(ids)}
+            row = {"block": at + k, "docs": pack(np.concatenate([x[0] for x in held])), "known": pack(np.concatenate([x[4] for x in held])), "sizes": pack(np.concatenate([x[1] for x in held])), "train": pack(np.concatenate([x[2] for x in held])), "vocab": pack(vocab), "ids": pack(ids)}
             return _arrow([row], schema)
 
         for batch in batches:
             off, raw = words.buffer_of(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             for i, j in words.slices(off, 2 << 20):
                 h, start = words.words(off[i : j + 1] - off[i], raw[off[i] : off[j]])
                 h = np.where(h == END, END + np.uint64(1), h)
-                held.append((ids[i:j], np.diff(start) + 1, train[i:j], np.insert(h, start[1:], END)))
+                held.append((ids[i:j], np.diff(start) + 1, train[i:j], np.insert(h, start[1:], END), known[i:j]))
                 n += len(held[-1][3])
                 if n >= BLOCK_TOKENS:
                     yield block()
@@ -81,7 +89,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield block()
 
-    return docs.mapInArrow(run, "block long, docs binary, sizes binary, train binary, vocab binary, ids binary")
+    return docs.mapInArrow(run, "block long, docs binary, known binary, sizes binary, train binary, vocab binary, ids binary")
 
 
 def _tokens(row):
@@ -128,9 +136,12 @@ def _pairs(row, told: pd.DataFrame, n_tokens: int, buckets: int):
     before[0], before[1:] = np.flatnonzero(vocab == END)[0], ids[:-1]
     keys, inverse = np.unique(before << 32 | ids, return_inverse=True)
     u, w = keys >> 32, keys & 0xFFFFFFFF
-    hot = counts[u] > n_tokens / (4 * buckets)
+    # A hot context has so many pieces that each holds about 1/(4 * buckets) of all tokens at most.
+    pieces = np.maximum(-(-counts[u] * 4 * buckets // max(n_tokens, 1)), 1)
+    hot = pieces > 1
     with np.errstate(over="ignore"):
-        mixed = words.mix(number[u].astype(np.uint64) + np.where(hot, (number[w] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)))
+        piece = words.mix(number[w].astype(np.uint64)) % pieces.astype(np.uint64)
+        mixed = words.mix(number[u].astype(np.uint64) + piece * np.uint64(0x9E3779B97F4A7C15))
     bucket = (mixed % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
@@ -139,58 +150,24 @@ def _pairs(row, told: pd.DataFrame, n_tokens: int, buckets: int):
     return {"sizes": sizes, "ids": ids, "counts": counts, "u": number[u][order], "w": number[w][order], "c": seen[order], "cu": counts[u][order], "hot": hot[order], "at": np.searchsorted(bucket[order], np.arange(buckets + 1)), "pair": rank[inverse]}
 
 
-def seat(z: np.ndarray, begin: np.ndarray, c: np.ndarray, new: np.ndarray, d: float, moves: int, rng) -> np.ndarray:
-    """Gibbs moves: up to `moves` random customers of each dish leave their table and sit down anew, at a table of n others
-    with weight n - d or at a new one with weight new. z: table of each customer, numbered within the dish; dish k has
-    customers begin[k] to begin[k] + c[k]. Returns tables by dish; z is changed in place."""
-    sizes = np.bincount(begin.repeat(c) + z, minlength=int(c.sum())).astype(np.int64)
-    t = np.add.reduceat((sizes > 0).astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    order = np.argsort(-c, kind="stable")
-    live = np.searchsorted(-c[order], -np.arange(1, moves + 1), "right")
-    for m in range(moves):
-        k = order[: live[m]]
-        if not len(k):
-            break
-        b, n = begin[k], c[k]
-        i = b + (rng.random(len(k)) * n).astype(np.int64)
-        old = b + z[i]
-        sizes[old] -= 1
-        t[k] -= sizes[old] == 0
-        fresh = rng.random(len(k)) * (new[k] + n - 1 - d * t[k]) < new[k]
-        z[i] = -1
-        todo = np.flatnonzero(fresh)
-        while len(todo):  # an empty table; there is one, as tables are numbered up to the customers
-            slot = (rng.random(len(todo)) * n[todo]).astype(np.int64)
-            free = sizes[b[todo] + slot] == 0
-            z[i[todo[free]]] = slot[free]
-            todo = todo[~free]
-        todo = np.flatnonzero(~fresh)
-        while len(todo):  # the table of another customer, kept with (size - d) / size
-            other = z[b[todo] + (rng.random(len(todo)) * n[todo]).astype(np.int64)]
-            size = sizes[b[todo] + np.maximum(other, 0)]
-            ok = (other >= 0) & (rng.random(len(todo)) * np.maximum(size, 1) < size - d)
-            z[i[todo[ok]]] = other[ok]
-            todo = todo[~ok]
-        at = b + z[i]
-        sizes[at] += 1
-        t[k] += sizes[at] == 1
-    return t
-
-
-def first_seats(c: np.ndarray, new: np.ndarray, rng) -> np.ndarray:
-    """Tables of all customers to begin with: about new * log(1 + c / new) tables, sizes by a Polya urn."""
-    begin = np.cumsum(c) - c
-    want = np.minimum(1 + rng.poisson(np.maximum(new, 1e-9) * np.log1p(c / np.maximum(new, 1e-9))), c)
-    within = np.arange(int(c.sum())) - begin.repeat(c)
-    head = within < want.repeat(c)
-    z = np.where(head, within, (rng.random(len(within)) * within).astype(np.int64))
-    base = begin.repeat(c)
-    while not head[base + z].all():
-        z = z[base + z]
-    return z.astype(np.int32)
-
-
-_STATE = "bucket int, ulist binary, cu binary, hot binary, wlist binary, pu binary, pw binary, c binary, z binary, total binary, tables long"
+def root_shares(c: np.ndarray, lam: float, d: float, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of the root's dishes, what these leave of their customers, and gamma variates of that."""
+    t = draw_tables(c, np.full(len(c), lam), d, rng)
+    rest = c - d * t
+    return t, rest, rng.standard_gamma(rest)
+
+
+def seat_contexts(c: np.ndarray, u: np.ndarray, parent: np.ndarray, aux: np.ndarray, d: float, rng) -> np.ndarray:
+    """Tables of each (context, dish): c customers in context u, aux by context, parent the root's drawn share of the dish."""
+    return draw_tables(c, aux[u] * parent, d, rng)
+
+
+def predictive(c: np.ndarray, t: np.ndarray, u: np.ndarray, tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, d: float, strength: float) -> np.ndarray:
+    """The probability of each (context, dish) under a seating."""
+    return (c - d * t + (strength + d * tables[u]) * parent) / (strength + customers[u])
+
+
+_STATE = "bucket int, ulist binary, cu binary, hot binary, wlist binary, pu binary, pw binary, c binary, t binary, total binary, tables long, hot_u array<long>, hot_t array<long>"
 
 
 def _column(pdf: pd.DataFrame, name: str, kind) -> np.ndarray:
@@ -206,21 +183,21 @@ def _gather(pdf: pd.DataFrame) -> dict:
     return {"ulist": ulist, "first": first, "wlist": wlist, "keys": keys, "inverse": inverse}
 
 
-def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strength: float = 20.0, root_d: float = 0.5, root_strength: float = 10.0, burn_in: int = 1, samples: int = 2, moves: int = 24, seed: int = 7, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strength: float = 20.0, root_d: float = 0.5, root_strength: float = 10.0, burn_in: int = 2, samples: int = 2, seed: int = 7, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs.
 
     Texts are lower-cased (A-Z), cut into words and closed by one end token, which is also the context of a text's first
     word. Rows whose crc32 of doc_id modulo 7 is 2 are held out of training. score is the log10 probability of the text,
     each token's probability averaged over the `samples` seatings that follow `burn_in` sweeps, a sweep apart; perplexity is
-    that of the text by token. A sweep moves up to `moves` random customers of every dish of every restaurant; all counts are used.
+    that of the text by token. A sweep seats all customers of every dish of every restaurant anew; all counts are used.
 
-    Null and empty texts are one end token. A null doc_id is given as 0 and trained on. Repeated rows are trained on and scored each. With no training rows every token
-    is unknown (N = V = 0). An empty table gives an empty result; other columns are ignored.
+    Null and empty texts are one end token. A row without doc_id is trained on and its doc_id stays null. Repeated rows are
+    trained on and scored each. With no training rows every token is unknown (N = V = 0). An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "hpy")
     out_rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"), (F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 != 2).alias("train"))
-    blocks = scratch.write(_blocks(out_rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.coalesce("train", F.lit(True)).alias("train"))), "blocks")
+    blocks = scratch.write(_blocks(out_rows.select("doc_id", "text", F.coalesce("train", F.lit(True)).alias("train"))), "blocks")
     owners = buckets = buckets or max(shuffle_partitions(spark), blocks.count() // 2)
     told = scratch.write(_word_owners(blocks, owners), "words")
     types, tokens = (int(x or 0) for x in told.agg(F.sum("types"), F.sum("tokens")).first())
@@ -243,106 +220,95 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
         g = _gather(pdf)
         c = np.bincount(g["inverse"], _column(pdf, "c", np.int64), len(g["keys"])).astype(np.int64)
         per_u = np.bincount(g["keys"] >> 32, minlength=len(g["ulist"])).astype(np.int32)
-        row = {"bucket": key[0], "ulist": g["ulist"], "cu": _column(pdf, "cu", np.int64)[g["first"]], "hot": _column(pdf, "hot", np.uint8)[g["first"]], "wlist": g["wlist"], "pu": per_u, "pw": (g["keys"] & 0xFFFFFFFF).astype(np.int32), "c": c, "z": np.zeros(0, np.int32), "total": np.zeros(0, np.float32)}
-        return pd.DataFrame([{k: v if k == "bucket" else pack(v) for k, v in row.items()} | {"tables": int((c > 0).sum())}])
+        row = {"bucket": key[0], "ulist": g["ulist"], "cu": _column(pdf, "cu", np.int64)[g["first"]], "hot": _column(pdf, "hot", np.uint8)[g["first"]], "wlist": g["wlist"], "pu": per_u, "pw": (g["keys"] & 0xFFFFFFFF).astype(np.int32), "c": c, "t": (c > 0).astype(np.int32), "total": np.zeros(0, np.float32)}
+        at_hot = row["hot"].astype(bool)
+        hot_t = np.bincount(g["keys"] >> 32, c > 0, len(g["ulist"]))[at_hot].astype(np.int64)
+        return pd.DataFrame([{k: v if k == "bucket" else pack(v) for k, v in row.items()} | {"tables": int((c > 0).sum()), "hot_u": g["ulist"][at_hot].tolist(), "hot_t": hot_t.tolist()}])
 
     state = scratch.write(asked.groupBy("bucket").applyInPandas(begin, _STATE), "state")
 
-    def parents(state: DataFrame, sweep: int, root_tables: int) -> DataFrame:
-        """bucket, owner, rest, root_tables: what the parent's tables leave to each of a bucket's words."""
+    def parents(state: DataFrame, sweep: int, root_aux: float) -> DataFrame:
+        """bucket, owner, rest, share, root_tables, mass: what the root's tables leave to each of a bucket's words, and the drawn
+        shares; the sums of tables and shares stand in one row for an owner."""
 
         def ask_parent(batches):
             schema = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("w", pa.binary()), ("t", pa.binary())])
             for batch in batches:
                 for row in batch.to_pylist():
-                    wlist, pw, c, z = unpack(row["wlist"], np.int64), unpack(row["pw"], np.int32), unpack(row["c"], np.int64), unpack(row["z"], np.int32)
-                    t = (c > 0).astype(np.int64)
-                    if len(z):
-                        many = np.flatnonzero(c > 1)
-                        n = c[many]
-                        at = np.cumsum(n) - n
-                        t[many] = np.add.reduceat((np.bincount(at.repeat(n) + z, minlength=int(n.sum())) > 0).astype(np.int64), at)
-                    tables = np.bincount(pw, t, len(wlist)).astype(np.int64)
-                    o = wlist % owners
-                    for k in np.unique(o):
-                        yield _arrow([{"owner": int(k), "bucket": row["bucket"], "w": pack(wlist[o == k]), "t": pack(tables[o == k])}], schema)
+                    wlist = unpack(row["wlist"], np.int64)
+                    tables = np.bincount(unpack(row["pw"], np.int32), unpack(row["t"], np.int32), len(wlist)).astype(np.int64)
+                    order = np.argsort(wlist % owners, kind="stable")
+                    wlist, tables = wlist[order], tables[order]
+                    at = np.concatenate([[0], np.flatnonzero(np.diff(wlist % owners)) + 1, [len(wlist)]])
+                    rows = [{"owner": int(wlist[i] % owners), "bucket": row["bucket"], "w": pack(wlist[i:j]), "t": pack(tables[i:j])} for i, j in zip(at[:-1], at[1:], strict=True) if j > i]
+                    yield _arrow(rows, schema)
 
         def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
             rng = np.random.default_rng([seed, sweep, key[0], 1])
             parts = [unpack(x, np.int64) for x in pdf["w"]]
             w, inverse = np.unique(np.concatenate(parts), return_inverse=True)
             c = np.bincount(inverse, np.concatenate([unpack(x, np.int64) for x in pdf["t"]]), len(w)).astype(np.int64)
-            new = (root_strength + root_d * root_tables) * floor
-            # Only dishes of a few customers can change their tables in a few moves; others have one, so that no task holds
-            # a frequent word's customers one by one.
-            few = np.flatnonzero((c > 1) & (c <= 4 * moves))
-            t = (c > 0).astype(np.int64)
-            if len(few):
-                z = first_seats(c[few], np.full(len(few), new), rng)
-                t[few] = seat(z, np.cumsum(c[few]) - c[few], c[few], np.full(len(few), new), root_d, moves, rng)
-            big = c > 4 * moves
-            t[big] = np.minimum(1 + rng.poisson(new * np.log1p(c[big] / max(new, 1e-9))), c[big])
-            rest = c - root_d * t
+            t, rest, share = root_shares(c, root_aux * floor, root_d, rng)
             cut = np.cumsum([len(p) for p in parts])[:-1]
             first = np.arange(len(parts)) == 0
-            return pd.DataFrame({"bucket": pdf["bucket"], "owner": key[0], "rest": [pack(x) for x in np.split(rest[inverse], cut)], "root_tables": np.where(first, t.sum(), 0)})
+            return pd.DataFrame({"bucket": pdf["bucket"], "owner": key[0], "rest": [pack(x) for x in np.split(rest.astype(np.float32)[inverse], cut)], "share": [pack(x) for x in np.split(share.astype(np.float32)[inverse], cut)], "root_tables": np.where(first, t.sum(), 0), "mass": np.where(first, share.sum(), 0.0)})
+
+        asked = state.select("bucket", "wlist", "pw", "t").mapInArrow(ask_parent, "owner int, bucket int, w binary, t binary")
+        return asked.groupBy("owner").applyInPandas(answer, "bucket int, owner int, rest binary, share binary, root_tables long, mass double")
 
-        asked = state.select("bucket", "wlist", "pw", "c", "z").mapInArrow(ask_parent, "owner int, bucket int, w binary, t binary")
-        return asked.groupBy("owner").applyInPandas(answer, "bucket int, owner int, rest binary, root_tables long")
+    def hot_sums(state: DataFrame) -> DataFrame:
+        """bucket, hot_u, hot_t: the tables of each hot context that has a piece in the bucket, over all its pieces."""
+        held = state.select("bucket", F.explode(F.arrays_zip("hot_u", "hot_t")).alias("x")).select("bucket", F.col("x.hot_u").alias("u"), F.col("x.hot_t").alias("t"))
+        whole = held.groupBy("u").agg(F.sum("t").alias("t")).withColumnRenamed("u", "wu")
+        each = held.drop("t").join(whole, held["u"] == whole["wu"])
+        return each.groupBy("bucket").agg(F.collect_list("u").alias("hot_u"), F.collect_list("t").alias("hot_t"))
 
-    def sweep_of(sweep: int, hot_tables: dict[int, int], root_tables: int, customers: int, count: bool, last: bool):
+    def sweep_of(sweep: int, root: dict, count: bool, last: bool):
         def run(key, mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             row, rng = mine.iloc[0], np.random.default_rng([seed, sweep, key[0]])
             ulist, cu, wlist = unpack(row["ulist"], np.int64), unpack(row["cu"], np.int64), unpack(row["wlist"], np.int64)
             pu, pw, c, hot = np.arange(len(ulist)).repeat(unpack(row["pu"], np.int32)), unpack(row["pw"], np.int32), unpack(row["c"], np.int64), unpack(row["hot"], np.uint8).astype(bool)
-            prob, o = np.empty(len(wlist)), wlist % owners
-            for k, x in zip(told["owner"], told["rest"], strict=True):
-                prob[o == k] = unpack(x, np.float64)
-            prob = (prob + (root_strength + root_d * root_tables) * floor) / (root_strength + customers)
-            many = np.flatnonzero(c > 1)
-            n = c[many]
-            at = np.cumsum(n) - n
-            z = unpack(row["z"], np.int32)
-            t = (c > 0).astype(np.int64)
-            if len(z):
-                t[many] = np.add.reduceat((np.bincount(at.repeat(n) + z, minlength=int(n.sum())) > 0).astype(np.int64), at)
-            tu = np.bincount(pu, t, len(ulist))
-            known = np.array([hot_tables.get(int(x), -1) for x in ulist[hot]], np.float64)
-            tu[hot] = np.where(known >= 0, known, cu[hot] / 2)
+            t = unpack(row["t"], np.int32).astype(np.int64)
+            rest, share, by_owner = np.empty(len(wlist)), np.empty(len(wlist)), np.argsort(wlist % owners, kind="stable")
+            said = told[told["owner"] >= 0].sort_values("owner")
+            rest[by_owner] = np.concatenate([unpack(x, np.float32) for x in said["rest"]])
+            share[by_owner] = np.concatenate([unpack(x, np.float32) for x in said["share"]])
+            tables = np.bincount(pu, t, len(ulist))
+            if hot.any():
+                sums = told[told["owner"] < 0].iloc[0]
+                whole = dict(zip(sums["hot_u"], sums["hot_t"], strict=True))
+                tables[hot] = [whole[u] for u in ulist[hot].tolist()]
             total = unpack(row["total"], np.float32)
-            if count:  # of the seating as it is: its tables are the customers that the parents answered for
-                p = (np.maximum(c - d * t, 0) + (strength + d * tu[pu]) * prob[pw]) / (strength + cu[pu])
+            if count:  # of the seating as it is: its tables are the customers that the root answered for
+                parent = (rest + (root_strength + root_d * root["tables"]) * floor) / (root_strength + root["customers"])
+                p = predictive(c, t, pu, tables, cu, parent[pw], d, strength)
                 total = (total if len(total) else 0) + p.astype(np.float32)
-            if len(many) and not last:
-                new = (strength + d * tu[pu[many]]) * prob[pw[many]]
-                if not len(z):
-                    z = first_seats(n, new, rng)
-                t[many] = seat(z, at, n, new, d, moves, rng)
-            local = np.bincount(pu, t, len(ulist))
+            if not last:
+                aux = rng.standard_gamma(strength / d + tables)
+                # All pieces of a context have one number.
+                aux[hot] = [np.random.default_rng([seed, sweep, u, 2]).standard_gamma(strength / d + x) for u, x in zip(ulist[hot].tolist(), tables[hot].tolist(), strict=True)]
+                t = seat_contexts(c, pu, ((share + root["rest"] * floor) / (root["mass"] + root["rest"]))[pw], aux, d, rng)
+            local = np.bincount(pu, t, len(ulist)).astype(np.int64)
             # After the last sweep only the sums of probabilities are asked for.
             kept = {k: b"" if last else row[k] for k in ("ulist", "cu", "hot", "wlist", "pu", "pw", "c")}
-            out = kept | {"bucket": key[0], "z": b"" if last else pack(z), "total": pack(total), "tables": int(t.sum()), "hot_u": ulist[hot].tolist(), "hot_t": local[hot].astype(np.int64).tolist()}
+            out = kept | {"bucket": key[0], "t": b"" if last else pack(t.astype(np.int32)), "total": pack(total), "tables": int(t.sum()), "hot_u": ulist[hot].tolist(), "hot_t": local[hot].tolist()}
             return pd.DataFrame([out])
 
         return run
 
-    root_tables = types
-    hot_tables: dict[int, int] = {}
+    chain, root_tables = np.random.default_rng([seed, 3]), types
     for sweep in range(burn_in + samples):
         customers = int(state.agg(F.sum("tables")).first()[0] or 0)
-        up = scratch.write(parents(state, sweep, root_tables), "parents")
-        root_tables = int(up.agg(F.sum("root_tables")).first()[0] or 0)
+        up = scratch.write(parents(state, sweep, float(chain.standard_gamma(root_strength / root_d + root_tables))), "parents")
+        root_tables, mass = (x or 0 for x in up.agg(F.sum("root_tables"), F.sum("mass")).first())
+        root = {"tables": root_tables, "customers": customers, "mass": mass, "rest": float(chain.standard_gamma(root_strength + root_d * root_tables))}
         last = sweep + 1 == burn_in + samples
-        run = sweep_of(sweep, hot_tables, root_tables, customers, sweep >= burn_in, last)
-        after = scratch.write(state.groupBy("bucket").cogroup(up.select("bucket", "owner", "rest").groupBy("bucket")).applyInPandas(run, _STATE + ", hot_u array<long>, hot_t array<long>"), "state")
+        none, counts = F.lit(None).cast("binary"), F.lit(None).cast("array<long>")
+        told_of = up.select("bucket", "owner", "rest", "share", counts.alias("hot_u"), counts.alias("hot_t")).unionByName(hot_sums(state).select("bucket", F.lit(-1).alias("owner"), none.alias("rest"), none.alias("share"), "hot_u", "hot_t"))
+        after = scratch.write(state.groupBy("bucket").cogroup(told_of.groupBy("bucket")).applyInPandas(sweep_of(sweep, root, sweep >= burn_in, last), _STATE), "state")
         scratch.drop_table(state)
         scratch.drop_table(up)
         state = after
-        if last:
-            break
-        # A context is hot when it has over 1/(4 * buckets) of all tokens, so there are at most 4 * buckets of them.
-        tally = state.select(F.explode(F.arrays_zip("hot_u", "hot_t")).alias("x")).groupBy("x.hot_u").agg(F.sum("x.hot_t").alias("t"))
-        hot_tables = {r[0]: r[1] for r in tally.collect()}
 
     def reply(key, pairs: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         g, total = _gather(pairs), unpack(mine.iloc[0]["total"], np.float32)
@@ -365,7 +331,8 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
         first = np.cumsum(p["sizes"]) - p["sizes"]
         base = np.log10((p["counts"] + 1) / (tokens + types + 1))
         score = np.add.reduceat(logp[p["pair"]], first)
-        return pd.DataFrame({"doc_id": unpack(row["docs"], np.int64), "held_out": unpack(row["train"], np.uint8) == 0, "n_tokens": p["sizes"], "n_known": np.add.reduceat((p["counts"] > 0)[p["ids"]].astype(np.int64), first), "train_tokens": tokens, "base_score": np.add.reduceat(base[p["ids"]], first), "score": score, "perplexity": 10 ** np.minimum(-score / p["sizes"], 300)})
+        doc_id = pd.arrays.IntegerArray(unpack(row["docs"], np.int64).copy(), unpack(row["known"], np.uint8) == 0)
+        return pd.DataFrame({"doc_id": doc_id, "held_out": unpack(row["train"], np.uint8) == 0, "n_tokens": p["sizes"], "n_known": np.add.reduceat((p["counts"] > 0)[p["ids"]].astype(np.int64), first), "train_tokens": tokens, "base_score": np.add.reduceat(base[p["ids"]], first), "score": score, "perplexity": 10 ** np.minimum(-score / p["sizes"], 300)})
 
     out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return scratch.tied_to(out)
