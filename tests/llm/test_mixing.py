@@ -45,7 +45,37 @@ def test_takes_what_it_should(spark):
     want = targets({s: sum(r.size for r in rs) for s, rs in per.items()})
     for s, rs in per.items():
         assert math.isclose(rs[0].target, want[s], abs_tol=1e-6)
-        assert abs(sum(r.taken for r in rs) - want[s]) <= max(r.size for r in rs)
+        assert abs(sum(r.taken for r in rs) - want[s]) <= 2 * max(r.size for r in got)
+
+
+def queue(got, most=2):
+    """Words taken by (doc_id, h, order among equal rows), by one sorted list of all copies."""
+    copies, per = [], {}
+    for r in got:
+        per.setdefault(r.source, []).append(r)
+    for rs in per.values():
+        end = 0
+        for n, r in enumerate(sorted(rs, key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0))):
+            end += r.size
+            if r.size:
+                copies += [((end + k * r.source_size) / r.target, r.h, -(2**63) if r.doc_id is None else r.doc_id, k, n, r.source, r) for k in range(most)]
+    run, taken, budget = 0, {}, sum(rs[0].target for rs in per.values())
+    for *_, r in sorted(copies, key=lambda c: c[:4]):
+        run += r.size
+        if run - r.size / 2 <= budget:
+            taken[(r.doc_id, r.h)] = taken.get((r.doc_id, r.h), 0) + r.size
+    return taken
+
+
+@pytest.mark.parametrize("share", [0.4, 1.5, 1.9])
+def test_takes_like_one_sorted_list(spark, share):
+    rows = [(k if k % 9 else None, t, s) for k, (_, t, s) in enumerate(texts())] + [(7, "one id", "a"), (7, "with two texts", "a"), (8, "equal rows", "b"), (8, "equal rows", "b")]
+    got = mixing.fair_queue(frame(spark, rows), share=share).collect()
+    taken = {}
+    for r in got:
+        taken[(r.doc_id, r.h)] = taken.get((r.doc_id, r.h), 0) + r.taken
+    assert {k: x for k, x in taken.items() if x} == queue(got)
+    assert abs(sum(taken.values()) - share * sum(r.size for r in got)) <= max(r.size for r in got) / 2
 
 
 def test_reruns_and_slices_agree(spark, monkeypatch):
@@ -64,6 +94,9 @@ def test_mix_repeats_rows(spark):
     out = mixing.mix(docs)
     got = [r.doc_id for r in out.collect()]
     assert out.columns == docs.columns and {k: got.count(k) for k in times} == times
+    again = [(3, "x y", "a"), (3, "x y", "a"), (3, "z y x", "a"), (None, "q r s t", None), (None, "q r s t", None)]
+    queue = mixing.fair_queue(frame(spark, again)).collect()
+    assert mixing.mix(frame(spark, again)).count() == sum(r.times for r in queue)
 
 
 def test_empty(spark):
