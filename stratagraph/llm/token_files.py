@@ -3,7 +3,8 @@
 A shard holds documents in ascending doc_id order:
 
     data frames      zstd frames of about FRAME bytes of little-endian unsigned 32-bit ids, each with no need of another
-    document index   a skippable frame (magic 0x184D2A50): zstd of int64 doc_ids, then int64 id counts
+    document index   a skippable frame (magic 0x184D2A50): zstd of int64 doc_ids, int64 id counts, then int64 1 where the doc_id
+                     is null (and 0 stands for it)
     seek table       a skippable frame (magic 0x184D2A5E): for each data frame its compressed size, size and the low 32 bits
                      of the XXH64 of its content, then the count of frames, a descriptor byte and the magic 0x8F92EAB1
 
@@ -13,8 +14,10 @@ documents fetches the tail of the file and then the frames that hold them.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship, shuffle_partitions, table, text_col
 
 FRAME = 256 << 10
+#: A task goes on to another shard when one has so many bytes of ids.
+SHARD = 256 << 20
 _INDEX, _SEEK, _FOOT = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _SKIP, _ENTRY, _TAIL = struct.Struct("<II"), struct.Struct("<III"), struct.Struct("<IBI")
 
@@ -39,12 +44,14 @@ class ShardWriter:
         self.codec = zstandard.ZstdCompressor(level=level, write_checksum=False)
         self.held, self.size = [], 0
         self.seek: list[bytes] = []
-        self.ids: list[int] = []
-        self.counts: list[int] = []
+        self.ids, self.counts, self.lost = array("q"), array("q"), array("q")
+        self.written = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids as little-endian unsigned 32-bit integers. A long document goes over several frames."""
-        self.ids.append(doc_id)
+        self.written += len(ids)
+        self.ids.append(doc_id or 0)
+        self.lost.append(doc_id is None)
         self.counts.append(len(ids) // 4)
         view = memoryview(ids)
         while len(view):
@@ -65,7 +72,7 @@ class ShardWriter:
     def close(self) -> None:
         if self.size:
             self._flush()
-        index = self.codec.compress(np.array([self.ids, self.counts], "<i8").tobytes())
+        index = self.codec.compress(b"".join(np.array(x, "<i8").tobytes() for x in (self.ids, self.counts, self.lost)))
         self.out.write(_SKIP.pack(_INDEX, len(index)) + index)
         body = b"".join(self.seek)
         self.out.write(_SKIP.pack(_SEEK, len(body) + _TAIL.size) + body + _TAIL.pack(len(self.seek), 0x80, _FOOT))
@@ -89,7 +96,7 @@ class ShardReader:
         magic, length = _SKIP.unpack(self._at(index_at, _SKIP.size))
         if magic != _INDEX:
             raise ValueError("no document index before the seek table")
-        self.ids, self.counts = np.frombuffer(self.codec.decompress(self._at(index_at + _SKIP.size, length)), "<i8").reshape(2, -1)
+        self.ids, self.counts, self.lost = np.frombuffer(self.codec.decompress(self._at(index_at + _SKIP.size, length)), "<i8").reshape(3, -1)
         self.begins = np.concatenate([[0], np.cumsum(self.counts)])
         self.frame, self.content = -1, b""
         self.frames_read = 0
@@ -126,66 +133,45 @@ def tokenizer_file() -> str:
 
 
 class CachedEncoder:
-    """The tokenizers library's encoding of whole texts, each distinct stretch encoded once.
+    """The tokenizers library's encoding of whole texts, each distinct stretch of them encoded once.
 
-    Of byte-level BPE the merges never cross a match of the split pattern, and between a character that isn't white space
-    and a space no match goes on. So a text is cut there, and the ids of a cut part are those of its matches, which the
-    library's model gives. Texts with characters on whose class Unicode versions differ, or with white space before a space,
-    go to the library whole or by matches.
+    Between a character that isn't white space and a space no match of the split pattern goes on, merges never cross a match,
+    and special tokens hold no space. So the ids of a text are those of its stretches from such a space to the next, and the
+    library encodes each new stretch as it would the whole text. A text where white space stands before a space goes to the library whole.
     """
 
     MOST = 500_000
+    #: Not white space to Python, but to some versions of Unicode.
+    _UNSURE = ("\u180e", "\u200b")
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.model = self.lib.model
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile(r"[^\x00-ԯ -⁯₠-₿←-⏿ぁ-ゖァ-ヺ一-龥가-힣]").search
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in own]
-        self.bytes = {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
-        self.coded = [struct.pack("<I", k) for k in range(self.lib.get_vocab_size())]
-        self.matches: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.parts: dict[str, bytes] = {}
 
-    def _match(self, m: str) -> bytes:
-        got = self.matches.get(m)
-        if got is None:
-            if len(self.matches) >= self.MOST:
-                self.matches.clear()
-            coded = self.coded
-            got = b"".join([coded[t.id] for t in self.model.tokenize(m.encode().decode("latin1").translate(self.bytes))])
-            if len(m) < 64:
-                self.matches[m] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        found = self.split(part)
-        return self._match(found[0]) if len(found) == 1 else b"".join(map(self._match, found))
+    def _whole(self, text: str) -> bytes:
+        return self._each([text])[0]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        if first[-1:].isspace():
-            return self._part(text)
         parts = self.parts
         if len(parts) >= self.MOST:
             parts.clear()
-        # Parts are seldom new, so a text's new ones are found in one set operation. One that is empty or ends in white space
-        # is never held, as the space after it may belong to the same match.
-        for p in set(rest).difference(parts):
-            if not p or p[-1].isspace():
-                return self._part(text)
-            parts[p] = self._part(" " + p)
-        out = self._part(first) + b"".join(map(parts.__getitem__, rest))
+        # Stretches are seldom new, so a text's new ones are found in one set operation. One that is empty or ends in white
+        # space is never held, as the space after it belongs to the same match.
+        new = list(set(rest).difference(parts))
+        if first[-1:].isspace() or first.endswith(self._UNSURE) or any(not p or p[-1].isspace() or p.endswith(self._UNSURE) for p in new):
+            return self._whole(text)
+        head, *coded = self._each([first, *[" " + p for p in new]])
+        parts.update(zip(new, coded, strict=True))
+        out = head + b"".join(map(parts.__getitem__, rest))
         if len(text) > 1 << 20:
-            parts.clear()  # a very long text may have brought very long parts
+            parts.clear()  # a very long text may have brought very long stretches
         return out
 
 
@@ -199,13 +185,14 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, text: str = "text", shards: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, text: str = "text", shards: int | None = None, most: int = SHARD) -> DataFrame:
     """Encodes every whole text and writes shards of ids to folder, which all executors reach by the same URI.
 
-    Rows are range-partitioned and sorted by doc_id (then text, for repeated ids); a null doc_id is written as -1, null text
-    counts as empty and gives end_id alone. Each task streams one shard to a name of its own attempt and then renames it, so a lost executor's shard
-    is written again. Returns the manifest: shard, path, n_docs, start (ids before it), n_tokens; it has one row a shard and
-    is kept beside the shards. An empty table gives an empty manifest.
+    Rows are range-partitioned and sorted by doc_id (then text, for repeated ids); rows without doc_id come first and stay
+    without. Null text counts as empty and gives end_id alone. Each task streams its shards, of SHARD bytes of ids or little
+    more, to names of its own attempt and then renames them, so a lost executor's shards are written again. Returns the
+    manifest: shard, path, n_docs, start (ids before it), n_tokens; it has one row a shard and is kept beside the shards. An
+    empty table gives an empty manifest; other columns are ignored.
     """
     spark = ship(docs.sparkSession)
     path, shards = path or tokenizer_file(), shards or shuffle_partitions(spark)
@@ -214,32 +201,38 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     def run(batches):
         from pyspark import TaskContext
 
-        task, out, name = TaskContext.get(), None, None
+        task, out, made = TaskContext.get(), None, 0
         fs, root = pafs.FileSystem.from_uri(folder)
-        encode, n_docs, n_tokens = encoder(path), 0, 0
+        encode = encoder(path)
+
+        def close():
+            out.close()
+            stream.close()
+            fs.move(draft, name)
+            listed = {"part": task.partitionId(), "shard": made, "path": name, "n_docs": len(out.ids), "n_tokens": out.written // 4}
+            return pa.RecordBatch.from_pylist([listed], schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
         for batch in batches:
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    name = f"{root}/shard-{task.partitionId():06d}.zst"
-                    draft = f"{root}/.draft-{task.taskAttemptId()}"
+                    name = f"{root}/shard-{task.partitionId():06d}-{made:04d}.zst"
+                    draft = f"{root}/.draft-{task.taskAttemptId()}-{made}"
                     stream = fs.open_output_stream(draft)
                     out = ShardWriter(stream)
-                ids = encode(t.as_py()) + tail
-                out.add(doc_id, ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
+                out.add(doc_id, encode(t.as_py()) + tail)
+                if out.written >= most:
+                    yield close()
+                    out, made = None, made + 1
         if out is not None:
-            out.close()
-            stream.close()
-            fs.move(draft, name)
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": name, "n_docs": n_docs, "n_tokens": n_tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield close()
 
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("doc_id"), text_col(docs, text).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = sorted(rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long").collect())
+    made = sorted(rows.mapInArrow(run, "part int, shard int, path string, n_docs long, n_tokens long").collect())
     start, listed = 0, []
-    for r in made:
-        listed.append((r.shard, r.path, r.n_docs, start, r.n_tokens))
+    for k, r in enumerate(made):
+        listed.append((k, r.path, r.n_docs, start, r.n_tokens))
         start += r.n_tokens
     manifest = spark.createDataFrame(listed, "shard int, path string, n_docs long, start long, n_tokens long")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
@@ -247,7 +240,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
 
 def read_token_files(manifest: DataFrame, folder: str, only: list[int] | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids: binary) of the documents of the shards, or of those whose id is in only."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids: binary) of the documents of the shards, or of those whose id is in only;
+    a doc_id that was null is null again."""
     wanted = None if only is None else np.array(sorted(only), np.int64)
 
     def run(batches):
@@ -257,10 +251,10 @@ def read_token_files(manifest: DataFrame, folder: str, only: list[int] | None =
             for row in batch.to_pylist():
                 with fs.open_input_file(row["path"]) as f:
                     shard, held = ShardReader(f, f.size()), []
-                    picked = range(len(shard.ids)) if wanted is None else np.flatnonzero(np.isin(shard.ids, wanted))
+                    picked = range(len(shard.ids)) if wanted is None else np.flatnonzero(np.isin(shard.ids, wanted) & (shard.lost == 0))
                     for k in picked:
                         ids = shard.document(int(k))
-                        held.append({"doc_id": int(shard.ids[k]), "start": row["start"] + int(shard.begins[k]), "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids), **({"ids": ids} if with_ids else {})})
+                        held.append({"doc_id": None if shard.lost[k] else int(shard.ids[k]), "start": row["start"] + int(shard.begins[k]), "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids), **({"ids": ids} if with_ids else {})})
                         if len(held) >= 1000:
                             yield pa.RecordBatch.from_pylist(held, schema=schema)
                             held = []
@@ -274,6 +268,7 @@ def read_token_files(manifest: DataFrame, folder: str, only: list[int] | None =
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in the files of ids, how many it has and their checksum, read back from the files."""
     scratch = Scratch(spark, "tokens")
     folder = scratch.path("ids")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
