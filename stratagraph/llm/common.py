@@ -114,3 +114,25 @@ def text_col(docs: DataFrame, name: str = "text"):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_counted(left: DataFrame, keys: list[str], right: DataFrame, counted: str, total: int, salt: str, broadcast_rows: int = 0) -> DataFrame:
+    """left with the other columns of right, which has one row for each value of keys: a left join that no frequent key skews.
+
+    counted is the column of right with the key's rows in left, total the number of rows in left. Keys of over 1/(4 * partitions)
+    of the rows, of which there are at most 4 * partitions, go to all executors; rows that they match are dealt out by salt in
+    the shuffled join with the others. Up to broadcast_rows rows the whole of right goes to all executors. Null keys match nothing.
+    """
+    n = 4 * shuffle_partitions(left.sparkSession)
+    others = [c for c in right.columns if c not in keys]
+    named = lambda df, tag: df.select(*[F.col(c).alias(f"{c}__{tag}") for c in [*keys, *others]])
+    equal = lambda tag: [F.col(k) == F.col(f"{k}__{tag}") for k in keys]
+    if broadcast_rows and right.count() <= broadcast_rows:
+        return left.join(F.broadcast(named(right, "r")), equal("r"), "left").select(*left.columns, *[F.col(f"{c}__r").alias(c) for c in others])
+    hot = F.col(counted) * n > total
+    a = left.join(F.broadcast(named(right.where(hot), "h")), equal("h"), "left")
+    done = F.col(f"{keys[0]}__h").isNotNull()
+    a = a.withColumns({**{f"{k}__s": F.when(~done, F.col(k)) for k in keys}, "salt__s": F.when(done, F.xxhash64(salt)).otherwise(F.lit(0).cast("long"))})
+    rest = named(right.where(~hot), "r").withColumn("salt__r", F.lit(0).cast("long"))
+    a = a.join(rest, [F.col(f"{k}__s") == F.col(f"{k}__r") for k in keys] + [F.col("salt__s") == F.col("salt__r")], "left")
+    return a.select(*left.columns, *[F.coalesce(f"{c}__h", f"{c}__r").alias(c) for c in others])

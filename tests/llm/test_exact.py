@@ -44,9 +44,10 @@ def test_like_brute_force(spark):
 
 
 def test_without_broadcast(spark):
-    a = exact_dedup.exact_duplicates(frame(spark), broadcast_rows=0).collect()
-    b = exact_dedup.exact_duplicates(frame(spark)).collect()
-    assert sorted(map(str, a)) == sorted(map(str, b))
+    rows = texts() + [(500 + k, "a third of all rows\nis this", "a") for k in range(30)] + [(None, "no  id", "a"), (None, "no id", "b")]
+    for how in (exact_dedup.exact_duplicates, exact_dedup.drop_exact_duplicates):
+        a, b = how(frame(spark, rows), broadcast_rows=0).collect(), how(frame(spark, rows)).collect()
+        assert sorted(map(str, a)) == sorted(map(str, b))
 
 
 def test_drop_keeps_one_of_each(spark):
@@ -57,6 +58,15 @@ def test_drop_keeps_one_of_each(spark):
     assert len(kept) == len(set(kept)) == len({SPACE.sub(" ", t or "") for _, t, _ in texts()})
 
 
+def test_repeated_ids_with_one_text_leave_one_row(spark):
+    rows = [(3, "a  b c", "x"), (3, "a b c", "y"), (4, "a b\tc", "z"), (5, "else", "x"), (None, "n  n", "x"), (None, "n n", "x"), (6, None, "x"), (7, "", "x")]
+    for rows_sent in (0, 1000):
+        out = exact_dedup.drop_exact_duplicates(frame(spark, rows), broadcast_rows=rows_sent).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, SPACE.sub(" ", r.text or "")) for r in out) == [(-1, "n n"), (3, "a b c"), (5, "else"), (6, "")]
+    marks = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
+    assert sorted(str(r.doc_id) for r in marks if r.kept) == ["3", "3", "5", "6", "None", "None"]
+
+
 def test_empty(spark):
     assert exact_dedup.exact_duplicates(frame(spark).limit(0)).count() == 0
     assert exact_dedup.drop_exact_duplicates(frame(spark).limit(0)).count() == 0
