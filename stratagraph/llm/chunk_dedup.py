@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import WORD, Scratch, shuffle_partitions, table, text_col
+from .common import Scratch, join_counted, shuffle_partitions, table, text_col
 from .exchange import owners_for, repeated, with_block
 
 _GEAR = (words.mix(np.arange(7001, 7257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -55,11 +55,17 @@ def cuts(text: bytes, mean: int = 32, least: int = 12, most: int = 128) -> list[
     return out
 
 
+_CHUNKED = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("digests", pa.binary()), ("ends", pa.list_(pa.int32())), ("heads", pa.binary()), ("mid", pa.binary())])
+
+
 def chunked(docs: DataFrame, text: str = "text", **sizes) -> DataFrame:
-    """doc_id, digests (array<binary>, 128 bits), ends (array<int>: byte ends) of every row."""
+    """doc_id, hashes (one 64-bit hash for each chunk), digests (16 bytes for each), ends (byte offsets), heads (a byte for
+    each: the words that begin in it) and mid (a byte for each: 1 where it begins within a word) of every row."""
+
+    if sizes.get("most", 128) > 510:
+        raise ValueError("heads holds the words of a chunk in a byte: most is 510 at most")
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64())), ("digests", pa.binary()), ("ends", pa.list_(pa.int32()))])
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows, held = [], 0
@@ -69,87 +75,104 @@ def chunked(docs: DataFrame, text: str = "text", **sizes) -> DataFrame:
                 starts = [0, *ends[:-1]] if ends else []
                 digest = b"".join([xxhash.xxh3_128_digest(b[s:e]) for s, e in zip(starts, ends, strict=True)])
                 hashes = np.frombuffer(digest, "<i8")[::2]
-                rows.append({"doc_id": doc_id, "hashes": hashes, "digests": digest, "ends": ends})
+                begins, closes = words.word_spans(np.array([0, len(b)]), np.frombuffer(b, np.uint8))
+                at = np.searchsorted(begins, np.array([*starts, len(b)]))
+                before = at[:-1] - 1  # the last word that begins ahead of the chunk
+                mid = (before >= 0) & (np.array(starts, np.int64) < closes[np.maximum(before, 0)]) if len(begins) else np.zeros(len(ends), bool)
+                rows.append({"doc_id": doc_id, "hashes": hashes, "digests": digest, "ends": ends, "heads": np.diff(at).astype(np.uint8).tobytes(), "mid": mid.astype(np.uint8).tobytes()})
                 held += len(ends)
                 if held > 200_000 or len(rows) >= 2000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield pa.RecordBatch.from_pylist(rows, schema=_CHUNKED)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist(rows, schema=_CHUNKED)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, hashes array<long>, digests binary, ends array<int>")
+    return rows.mapInArrow(run, "doc_id long, hashes array<long>, digests binary, ends array<int>, heads binary, mid binary")
+
+
+_PASSAGES = "array<struct<start:int,end:int,n_words:int,first_doc_id:long,earlier:boolean>>"
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = 25, **sizes) -> DataFrame:
-    """A row for each document that shares a passage with another place: doc_id, n_bytes, n_chunks, repeated_bytes (of its
+    """A row for each row of docs that shares a passage with another place: doc_id, n_bytes, n_chunks, repeated_bytes (of its
     passages that occur earlier too), passages (array of start, end in bytes, n_words, first_doc_id, earlier) and
     first_doc_ids (of the earlier ones, distinct, ascending).
 
     A repeated stretch is a run of adjacent chunks that all occur elsewhere, of min_words words or more (n_words). Chunks at
-    the edges of a passage also hold what stands around it, so a passage of twice min_words words is found for sure in practice. A
-    stretch is cut into passages where it changes from first occurrence to copy or the copied document changes. The first place of a chunk is that of the smallest doc_id, then
-    the smallest offset; `earlier` is false for the first place itself. Repeats within one document count.
+    the edges of a passage also hold what stands around it, so a passage of twice min_words words is found for sure in
+    practice. A stretch is cut into passages where it changes from first occurrence to copy or the copied document changes.
+    The first place of a chunk is that of the smallest doc_id (null comes last), then of the smallest row number, then offset;
+    `earlier` is false for the first place itself. Repeats within one document count.
 
     64-bit hashes of chunks are exchanged as Golomb codes first; only chunks that the bitmaps call repeated travel with their
-    128-bit digests. Null and empty texts have no chunks and no row; rows that repeat a doc_id are one document's places.
+    128-bit digests. Null and empty texts have no chunks and no row. A row without doc_id is found like any other, with a null
+    doc_id; first_doc_id is null where only such rows hold a chunk, and those are not in first_doc_ids. Rows that repeat a
+    doc_id are places of their own and have a row each. Other columns are ignored; an empty table gives an empty result.
+
+    Rows are numbered once, in the table of chunks. A chunk with a large share of all places, as a line that every document
+    has, is not gathered in one task: its first place is a minimum, and it joins by the executors' own copy.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "chunks")
-    all_chunks = scratch.write(with_block(chunked(docs, text, **sizes)), "chunks")
+    all_chunks = scratch.write(with_block(chunked(docs, text, **sizes)).withColumn("row", F.monotonically_increasing_id()), "chunks")
     n = all_chunks.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    keyed = all_chunks.withColumn("doc_id", F.monotonically_increasing_id())  # a row's own number, ids may repeat
-    hits = repeated(keyed.select("block", "doc_id", "hashes"), owners_for(n, shuffle_partitions(spark))).where(F.exists("hits", lambda x: x)).select(F.col("doc_id").alias("r"), "hits")
-    rows = all_chunks.withColumn("row", F.monotonically_increasing_id()).drop("block", "hashes")
+    hits = repeated(all_chunks.select("block", F.col("row").alias("doc_id"), "hashes"), owners_for(n, shuffle_partitions(spark))).where(F.exists("hits", lambda x: x)).select(F.col("doc_id").alias("r"), "hits")
+    rows = all_chunks.drop("block", "hashes")
     rows = scratch.write(rows.join(hits, rows["row"] == hits["r"]).drop("r"), "suspects")
-    spread = rows.select("row", "doc_id", "digests", F.posexplode("hits").alias("k", "hit"), "ends").where("hit")
+    spread = rows.select("row", "doc_id", "digests", F.posexplode("hits").alias("k", "hit")).where("hit")
     spread = spread.select("row", "doc_id", "k", F.expr("substring(digests, 16 * k + 1, 16)").alias("digest"))
-    first = spread.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "k")).alias("first"), F.count("*").alias("places")).where("places > 1").select(F.col("digest").alias("d"), "first")
-    marked = spread.join(first, spread["digest"] == first["d"]).groupBy("row").agg(F.collect_list(F.struct("k", F.col("first.doc_id").alias("f"), ((F.col("first.row") == F.col("row")) & (F.col("first.k") == F.col("k"))).alias("own"))).alias("marks"))
-    marked = scratch.write(marked, "marks")
-    # Texts are needed for the words of the passages; only of documents that have marks, by the same rows' ids.
-    spans = rows.join(marked.withColumnRenamed("row", "m"), rows["row"] == F.col("m")).select("row", "doc_id", "ends", "marks")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "k")
+    first = spread.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
+    first = scratch.write(first, "first")
+    n = first.agg(F.sum("places")).first()[0] or 0
+    marked = join_counted(spread, ["digest"], first, "places", n, "row").where(F.col("first").isNotNull())
+    own = (F.col("first.row") == F.col("row")) & (F.col("first.k") == F.col("k"))
+    marked = marked.groupBy("row").agg(F.collect_list(F.struct("k", F.col("first.doc_id").alias("f"), F.col("first.row").alias("fr"), own.alias("own"))).alias("marks"))
+    spans = rows.drop("hits", "digests").join(marked.withColumnRenamed("row", "m"), rows["row"] == F.col("m")).drop("m", "row")
 
     def passages(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64()), ("earlier", pa.bool_()), ("whole", pa.int32())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int64()), ("passages", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64()), ("earlier", pa.bool_())])))])
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                ends, runs = r["ends"], []
+                ends, heads, mid = r["ends"], r["heads"], r["mid"]
+                stretches: list[list[dict]] = []
                 for m in sorted(r["marks"], key=lambda m: m["k"]):
-                    start, end, earlier = ends[m["k"] - 1] if m["k"] else 0, ends[m["k"]], not m["own"]
-                    whole = runs[-1]["whole"] if runs and runs[-1]["end"] == start else start
-                    if runs and runs[-1]["end"] == start and (runs[-1]["earlier"], runs[-1]["first_doc_id"]) == (earlier, m["f"]):
-                        runs[-1]["end"] = end
-                    else:
-                        runs.append({"start": start, "end": end, "first_doc_id": m["f"], "earlier": earlier, "whole": whole})
-                # A stretch of under 2 * min_words bytes can't hold min_words words.
-                ends_at = {x["whole"]: x["end"] for x in runs}
-                runs = [x for x in runs if ends_at[x["whole"]] - x["whole"] >= 2 * min_words - 1]
-                if runs:
-                    out.append({"doc_id": r["doc_id"], "n_bytes": ends[-1], "n_chunks": len(ends), "runs": runs})
+                    if not stretches or stretches[-1][-1]["k"] + 1 != m["k"]:
+                        stretches.append([])
+                    stretches[-1].append(m)
+                found = []
+                for s in stretches:
+                    a, b = s[0]["k"], s[-1]["k"]
+                    n_words = sum(heads[a : b + 1]) + mid[a]
+                    if n_words < min_words:
+                        continue
+                    runs: list[dict] = []
+                    for m in s:
+                        kind = (m["own"], m["f"], m["fr"])
+                        if not runs or runs[-1]["kind"] != kind:
+                            runs.append({"start": ends[m["k"] - 1] if m["k"] else 0, "n_words": n_words, "first_doc_id": m["f"], "earlier": not m["own"], "kind": kind})
+                        runs[-1]["end"] = ends[m["k"]]
+                    found += [{k: x for k, x in run.items() if k != "kind"} for run in runs]
+                if found:
+                    out.append({"doc_id": r["doc_id"], "n_bytes": ends[-1], "n_chunks": len(ends), "passages": found})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    runs = scratch.write(spans.mapInArrow(passages, "doc_id long, n_bytes long, n_chunks long, runs array<struct<start:int,end:int,first_doc_id:long,earlier:boolean,whole:int>>"), "runs")
-    ids = runs.select(F.col("doc_id").alias("id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
-    body = docs.select(docs["doc_id"].cast("long").alias("t"), F.encode(text_col(docs, text), "UTF-8").alias("body")).join(ids, F.col("t") == ids["id"], "left_semi")
-    joined = runs.join(body, (runs["doc_id"] == body["t"]) & (runs["n_bytes"] == F.length("body")))
-    part = lambda a, b: F.regexp_count(F.decode(F.substring(F.col("body"), a + 1, b - a), "ISO-8859-1"), F.lit(WORD))
-    whole_end = lambda p: F.array_max(F.transform(F.filter("runs", lambda q: q["whole"] == p["whole"]), lambda q: q["end"]))
-    passages_of = F.transform("runs", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), part(p["whole"], whole_end(p)).alias("n_words"), p["first_doc_id"].alias("first_doc_id"), p["earlier"].alias("earlier")))
-    found = joined.select("doc_id", "n_bytes", "n_chunks", F.filter(passages_of, lambda p: p["n_words"] >= min_words).alias("passages"))
-    out = found.where(F.size("passages") > 0).distinct().select(
+    found = spans.select("doc_id", "ends", "heads", "mid", "marks").mapInArrow(passages, f"doc_id long, n_bytes long, n_chunks long, passages {_PASSAGES}")
+    found = scratch.write(found, "found")
+    out = found.select(
         "doc_id",
         "n_bytes",
         "n_chunks",
         F.aggregate(F.filter("passages", lambda p: p["earlier"]), F.lit(0).cast("long"), lambda s, p: s + p["end"] - p["start"]).alias("repeated_bytes"),
         "passages",
-        F.array_sort(F.array_distinct(F.transform(F.filter("passages", lambda p: p["earlier"]), lambda p: p["first_doc_id"]))).alias("first_doc_ids"),
+        F.array_sort(F.array_distinct(F.transform(F.filter("passages", lambda p: p["earlier"] & p["first_doc_id"].isNotNull()), lambda p: p["first_doc_id"]))).alias("first_doc_ids"),
     )
     return scratch.tied_to(out)
 
 
 def op2_chunk_dedup(spark, sf_dir):
+    """Every document that repeats or is repeated by a passage of 25 words or more, with the passages."""
     return repeated_passages(table(spark, sf_dir, "documents"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 
@@ -47,11 +48,56 @@ def test_finds_planted_passages_and_leaves_others(spark):
     assert got[3].first_doc_ids == [] and got[3].repeated_bytes == 0
     for k in (11, 25):
         assert got[k].first_doc_ids == [3] and got[k].repeated_bytes > 0.6 * len(passage)
-    for r in got.values():
-        text = dict((i, t) for i, t, _ in rows)[r.doc_id].encode()
-        for p in r.passages:
-            first = dict((i, t) for i, t, _ in rows)[p.first_doc_id].encode()
-            assert text[p.start : p.end] in first or p.n_words >= 25
+    assert [p.first_doc_id for p in got[40].passages if p.earlier] == [40]
+
+
+def brute(rows, min_words=25):
+    """The same answer by dictionaries over all chunks: (row index) -> passages as (start, end, n_words, first_doc_id, earlier)."""
+    chunks, places = [], {}
+    for n, (i, t, _) in enumerate(rows):
+        b = (t or "").encode()
+        ends = cd.cuts(b)
+        chunks.append([(s, e) for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else [])
+        for k, (s, e) in enumerate(chunks[-1]):
+            places.setdefault(b[s:e], []).append((i is None, i or 0, n, k))
+    out = {}
+    for n, (i, t, _) in enumerate(rows):
+        b, stretch, found = (t or "").encode(), [], []
+        for k, (s, e) in enumerate([*chunks[n], (0, 0)]):
+            where = places.get(b[s:e], []) if e else []
+            if len(where) > 1:
+                stretch.append((s, e, min(where), min(where)[2:] == (n, k)))
+                continue
+            if stretch:
+                inside = b[stretch[0][0] : stretch[-1][1]].decode("latin1")
+                n_words = len(re.findall(r"[^\x20\x09-\x0D]+", inside))
+                if n_words >= min_words:
+                    last = None
+                    for s2, e2, first, own in stretch:
+                        kind = (own, first[:3])
+                        if kind == last:
+                            found[-1][1] = e2
+                        else:
+                            found.append([s2, e2, n_words, None if first[0] else first[1], not own])
+                        last = kind
+            stretch = []
+        if found:
+            out[n] = (i, [tuple(f) for f in found])
+    return sorted(map(str, out.values()))
+
+
+def test_like_brute_force(spark):
+    rng = random.Random(6)
+    shared = [prose(rng, n) for n in (30, 55, 80, 300)]
+    rows = [(k, " ".join([prose(rng, rng.randint(0, 40)), rng.choice(shared), prose(rng, rng.randint(0, 30)), rng.choice(shared)]), "a") for k in range(25)]
+    rows += [(None, f"{shared[1]} {prose(rng, 20)}", "a"), (None, "only rows without an id have this " + (only := prose(rng, 60)), "a"), (None, only, "b")]
+    rows += [(3, shared[2], "a"), (3, shared[2][::-1], "a"), (9, shared[3], "a"), (9, shared[3], "a")] + texts()
+    # One task, so that row numbers are as listed.
+    got = cd.repeated_passages(frame(spark, rows).coalesce(1)).collect()
+    assert sorted(str((r.doc_id, [tuple(p) for p in r.passages])) for r in got) == brute(rows)
+    for r in got:
+        assert r.repeated_bytes == sum(p.end - p.start for p in r.passages if p.earlier)
+        assert r.first_doc_ids == sorted({p.first_doc_id for p in r.passages if p.earlier and p.first_doc_id is not None})
 
 
 def test_awkward_rows(spark):
