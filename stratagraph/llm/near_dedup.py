@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, table, text_col
+from .common import Scratch, join_counted, table, text_col
 from .components import components
 
 #: A signature has CHUNKS chunks of WIDTH symbols of 16 bits. Two signatures that differ in at most RADIUS symbols have a
@@ -80,9 +80,7 @@ def signatures(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
             cols: list[list] = [[], [], [], [], []]
             with np.errstate(over="ignore"):
                 for doc_id, s in _sets(batch, k):
-                    other = words.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                    row = (doc_id, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64)), signature(s).tobytes())
-                    for c, x in zip(cols, row, strict=True):
+                    for c, x in zip(cols, (doc_id, *_stands(s), signature(s).tobytes()), strict=True):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -152,22 +150,33 @@ def _first_slot(slot: str, a: str, b: str, chunks: int = CHUNKS, width: int = WI
     return F.get(F.transform(F.array(mask), told), F.lit(0))
 
 
+def _stands(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums that stand for a set."""
+    with np.errstate(over="ignore"):
+        other = words.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64))
+
+
 def _full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
     def run(batches):
-        schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        schema = pa.schema([("f_n", pa.int64()), ("f_a", pa.int64()), ("f_b", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+        def made(stands, sets):
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*stands, strict=True)], pa.array(sets, schema[3].type)], schema=schema)
+
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, s in _sets(batch, k):
-                ids.append(doc_id)
+            stands, sets, held = [], [], 0
+            for _, s in _sets(batch, k):
+                stands.append(_stands(s))
                 sets.append(s.view(np.int64))
                 held += len(s)
                 if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, schema[1].type)], schema=schema)
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, schema[1].type)], schema=schema)
+                    yield made(stands, sets)
+                    stands, sets, held = [], [], 0
+            if stands:
+                yield made(stands, sets)
 
-    return _source(docs, text).mapInArrow(run, "rep long, shingles array<long>")
+    return _source(docs, text).mapInArrow(run, "f_n long, f_a long, f_b long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str = "text", pivot_rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -188,27 +197,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     the keys that it shares, so no candidate pair between different components goes unconfirmed.
 
     Null, empty and word-less texts have an empty set and are linked with nothing. A text of fewer than k words is one
-    shingle. Rows that repeat a doc_id with different texts are linked through that id. A row without a doc_id joins the
-    component of an equal set, if there is one, and is else linked with nothing. An empty table gives an empty result; other
-    columns are ignored.
+    shingle. Rows that repeat a doc_id with different texts are linked through that id. A row without a doc_id is linked like
+    any other, but gives its component no id; a component of such rows only has component_id null and keeps them all. An empty
+    table gives an empty result; other columns are ignored.
+
+    Classes of equal sets are numbered once, in a table, and known by that number throughout.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     sigs = scratch.write(signatures(docs, k, text), "signatures")
     alike = ["n_shingles", "set_a", "set_b"]
-    classes = sigs.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    classes = scratch.write(classes, "classes")
+    classes = sigs.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.count("*").alias("n_rows"))
+    classes = scratch.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     cut = layout(percent)
     keys = _keys(classes, *cut)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"), "members")
     rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members"), F.min("slot").alias("slot")), "rows")
-    involved = rows.select(F.col("rep").alias("id")).distinct()
-    involved = scratch.write(involved, "involved")
+    involved = rows.select(F.col("rep").alias("i_rep")).distinct()
+    involved = scratch.write(classes.join(involved, classes["rep"] == involved["i_rep"]).select("rep", "least", *alike), "involved")
     n_involved = involved.count()
-    ids = F.broadcast(involved) if n_involved <= broadcast_rows else involved
-    sets = _full_sets(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi"), k, text)
-    # A doc_id may be repeated: one row of each is enough, as a class is known by its members' equal sets.
-    sets = scratch.write(sets.dropDuplicates(["rep"]) , "sets")
+    # Sets are cut again from the texts of the rows with the classes' least ids; what stands for a set tells its class.
+    ids = involved.select(F.col("least").alias("id")).distinct()
+    if n_involved <= broadcast_rows:
+        chosen = docs.join(F.broadcast(ids), docs["doc_id"].cast("long").eqNullSafe(ids["id"]), "left_semi")
+    else:  # rows without an id are all taken, so that null is no frequent key
+        chosen = docs.join(ids, docs["doc_id"].cast("long") == ids["id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    sets = _full_sets(chosen, k, text)
+    of = F.broadcast(involved.drop("least")) if n_involved <= broadcast_rows else involved.drop("least")
+    sets = sets.join(of, (sets["f_n"] == of["n_shingles"]) & (sets["f_a"] == of["set_a"]) & (sets["f_b"] == of["set_b"])).select("rep", "shingles")
+    # Rows with the least id may have equal sets: one row of each class is enough.
+    sets = scratch.write(sets.dropDuplicates(["rep"]), "sets")
     own = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("rep").alias("owner")).where("holders = 1").groupBy("owner").agg(F.count("*").alias("u"))
     worth = rows.groupBy("rep").agg(F.sum("members").alias("worth")).withColumnRenamed("rep", "w_rep")
     marked = sets.select(F.col("rep").alias("id"), F.size("shingles").cast("long").alias("n")).join(own, F.col("id") == own["owner"], "left").join(worth, F.col("id") == worth["w_rep"])
@@ -253,21 +271,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
         links = confirmed(pairs)
         joined = components(links.select(F.col("a_comp").alias("u"), F.col("b_comp").alias("v")), scratch)
         comp = scratch.write(comp.join(joined, comp["comp"] == joined["node"], "left").select("id", F.coalesce("component", "comp").alias("comp")), f"comp{r}")
-    members = classes.join(comp, classes["rep"] == comp["id"], "left").select(*[F.col(c).alias(f"c_{c}") for c in alike], F.coalesce("comp", "rep").alias("comp"))
-    out = sigs.join(members, [sigs[c] == members[f"c_{c}"] for c in alike], "left").select(
-        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept")
-    )
+    members = classes.join(comp, classes["rep"] == comp["id"], "left").select(*alike, "n_rows", "least", "rep", F.coalesce("comp", "rep").alias("comp"))
+    # Classes that share a doc_id are linked by it.
+    twice = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(*[f(F.struct(*alike)).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("lo <> hi").select(F.col("doc_id").alias("t"))
+    twice = scratch.write(twice, "twice")
+    if not twice.isEmpty():
+        held = sigs.where("n_shingles > 0").join(twice, sigs["doc_id"] == twice["t"], "left_semi").select("doc_id", *alike).distinct()
+        held = held.join(members.select(*alike, "comp"), alike).select("doc_id", "comp")
+        through = held.groupBy("doc_id").agg(F.min("comp").alias("u")).withColumnRenamed("doc_id", "t")
+        joined = components(held.join(through, held["doc_id"] == through["t"]).select("u", F.col("comp").alias("v")), scratch)
+        members = members.join(joined, members["comp"] == joined["node"], "left").select(*alike, "n_rows", "least", "rep", F.coalesce("component", "comp").alias("comp"))
+    members = scratch.write(members, "members")
+    named = members.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("size")).where("size > 1")
+    members = join_counted(members, ["comp"], named, "size", members.count(), "rep")
+    members = scratch.write(members.select(*alike, "n_rows", F.coalesce("component_id", "least").alias("component_id")), "members")
+    marked = join_counted(sigs.where("n_shingles > 0"), alike, members, "n_rows", sigs.count(), "doc_id")
+    out = marked.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.unionByName(sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
     return scratch.tied_to(out)
 
 
 def drop_near_duplicates(docs: DataFrame, broadcast_rows: int = 1_000_000, **how) -> DataFrame:
     """docs with one row of each component of near-duplicates, that of the smallest doc_id; all columns as they were. Rows
-    without a doc_id stay."""
+    without a doc_id stay, as nothing but their text tells them apart, and so do all rows of an id that stays. Empty tables and
+    texts stay as they are."""
     marks = near_duplicates(docs, broadcast_rows=broadcast_rows, **how)
-    gone = marks.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = marks.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
 
 
 def op3_near_dedup(spark, sf_dir):
+    """Every document with the size of its shingle set and its component of near-duplicates from 85 % on."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -66,6 +66,28 @@ def test_all_pairs_of_the_last_round(spark):
     compare(spark, chain(16) + texts(3)[:6], pivot_rounds=0)
 
 
+def edited(t: str, n: int) -> str:
+    w = t.split()
+    return " ".join([*w[:-n], *["edit"] * n])
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text of an id keeps its own links, and the id joins them."""
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    compare(spark, [(7, a, "x"), (7, b, "x"), (8, edited(a, 2), "x"), (9, edited(b, 2), "x")])
+    compare(spark, [(7, a, "x"), (7, b, "x"), (3, edited(a, 2), "x"), (9, edited(b, 2), "x"), (12, c, "x"), (9, c, "y")], broadcast_rows=0)
+
+
+def test_rows_without_an_id(spark):
+    rng = random.Random(10)
+    a, b = prose(rng, 120), prose(rng, 120)
+    rows = [(5, a, "x"), (None, edited(a, 3), "x"), (4, edited(a, 6), "x"), (None, b, "x"), (None, edited(b, 2), "x")]
+    for sent in (0, 100):
+        got = near_dedup.near_duplicates(frame(spark, rows), broadcast_rows=sent).collect()
+        assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in got) == sorted(map(str, [(5, 4, False), (None, 4, False), (4, 4, True), (None, None, True), (None, None, True)]))
+
+
 def test_drop_leaves_one_of_each(spark):
     rows = texts()
     out = near_dedup.drop_near_duplicates(frame(spark, rows))
