@@ -27,6 +27,8 @@ from .seating import draw_tables
 
 BLOCK_TOKENS = 1_000_000
 END = np.uint64(0xE2D5E2D5E2D5E2D5)
+#: Answers are whole multiples of 1 / FINE: log10 probabilities to 2e-6, whose upper bytes pack well.
+FINE = float(1 << 18)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -312,7 +314,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
 
     def reply(key, pairs: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         g, total = _gather(pairs), unpack(mine.iloc[0]["total"], np.float32)
-        logp = np.log10(np.maximum(total / samples, 1e-37)).astype(np.float32)
+        logp = np.rint(-FINE * np.log10(np.maximum(total.astype(np.float64) / samples, 1e-37))).astype(np.int32)
         cut = np.cumsum([int(unpack(x, np.int32).sum()) for x in pairs["n"]])[:-1]
         return pd.DataFrame({"block": pairs["block"], "owner": key[0], "logp": [pack(x) for x in np.split(logp[g["inverse"]], cut)]})
 
@@ -327,7 +329,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
     def finish(key, mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         row, said = mine.iloc[0], got["logp"].notna()
         p = _pairs(row, got[~said], tokens, buckets)
-        logp = np.concatenate([unpack(x, np.float32) for x in got[said].sort_values("owner")["logp"]]).astype(np.float64)
+        logp = np.concatenate([unpack(x, np.int32) for x in got[said].sort_values("owner")["logp"]]) / -FINE
         first = np.cumsum(p["sizes"]) - p["sizes"]
         base = np.log10((p["counts"] + 1) / (tokens + types + 1))
         score = np.add.reduceat(logp[p["pair"]], first)
@@ -339,4 +341,5 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
 
 
 def op1_pitman_yor(spark, sf_dir):
+    """Every document with its log10 probability under the model and under smoothed word counts."""
     return score_documents(table(spark, sf_dir, "documents"))
