@@ -50,11 +50,25 @@ def test_native_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_sketch_is_the_hashes_under_the_bound(spark):
-    t = prose(random.Random(5), 400)
-    all_ = sk.with_sketch(spark.createDataFrame([(t,)], "text string"), "text", "s", bound=2**63 - 1).first().s
-    few = sk.with_sketch(spark.createDataFrame([(t,)], "text string"), "text", "s").first().s
-    assert few == [h for h in all_ if h < sk.BOUND] and len(set(all_)) == len(shingles(t)) and 0.1 < len(few) / len(all_) < 0.4
+def test_sketch_is_what_the_bound_leaves(spark):
+    """No hash is kept but by the bound, in texts of any length; a text of n words has n - 4 shingles, one at least."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(n, prose(rng, n)) for n in [400, *range(1, 60)]], "n int, t string")
+    all_ = {r.n: r.s for r in sk.with_sketch(rows, "t", "s", bound=2**63 - 1).collect()}
+    few = {r.n: r.s for r in sk.with_sketch(rows, "t", "s").collect()}
+    assert len(all_[400]) == 396 and 0.1 < len(few[400]) / 396 < 0.4 and all(set(few[n]) <= set(all_[n]) for n in few)
+    assert any(not s for s in few.values())
+    share = sum(map(len, few.values())) / sum(map(len, all_.values()))
+    assert abs(share - 0.25) < 0.05
+
+
+def test_no_evidence_is_told(spark):
+    rows = [(k, w, "a") for k, w in enumerate("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split())] + [(50, None, "a"), (51, " ", "b")]
+    for r in sk.sketch_pairs(frame(spark, rows)).collect():
+        if r.next_evidence == 0:
+            assert r.near_next == float(r.doc_id == 50) and r.fingerprint in ("1:", "0:")
+        assert (r.edited_evidence == 0) == (r.fingerprint.endswith(":") and r.edited_fingerprint.endswith(":"))
+        assert 0 <= r.contained_edited <= 1 and 0 <= r.contained_next <= 1
 
 
 def test_containment_of_unequal_texts_and_merging(spark):
@@ -72,7 +86,7 @@ def test_repeats_nulls_and_empty(spark):
     a, b = (r for r in got if r.doc_id == 132)
     assert a == b
     assert sk.sketch_pairs(frame(spark).limit(0)).count() == 0
-    lone = sk.sketch_pairs(frame(spark, [(7, "only one here", "a")])).first()
+    lone = sk.sketch_pairs(frame(spark, [(7, prose(random.Random(3), 60), "a")])).first()
     assert lone.near_next == 1.0
     same = sorted(map(str, sk.sketch_pairs(frame(spark), broadcast_rows=0).collect()))
     assert same == sorted(map(str, got))
