@@ -150,7 +150,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = 0
     on these and adds the matches it gives threshold or more, unless they overlap a base span.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans: counts of 0, the digest of no bytes and an
-    empty string. Fully equal rows get equal results; other columns are ignored; an empty table gives an empty result.
+    empty string. Fully equal rows get equal results; other columns are ignored; an empty table gives an empty result. Work
+    grows with the number of spans of a text, not with its square.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -173,10 +174,15 @@ def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = 0
         for t, weight in zip(terms, w[1:], strict=True):
             z = z + F.when(t, float(weight)).otherwise(0.0)
     spans = spans.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("order", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")))
+    # A span that the method adds overlaps no base span: none that starts up to its start ends behind it, none starts inside it.
+    place = Window.partitionBy("doc_id", "h")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(place.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(place.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1))
+    told = spans.where(F.col("base") | (F.col("p") >= threshold)).withColumn("reach", reach).withColumn("ahead", ahead)
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))
     item = F.struct("start", "order", "end", "kind", "base")
-    per = spans.where(F.col("base") | (F.col("p") >= threshold)).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(item)).alias("all"))
+    per = told.where(F.col("base") | free).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(item)).alias("all"))
     per = per.withColumn("own", F.filter("all", lambda x: x["base"]))
-    per = per.withColumn("all", F.filter("all", lambda x: x["base"] | ~F.exists("own", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("own", lambda x: x["kind"] == k))
     per = per.select(
@@ -192,4 +198,5 @@ def find_personal_data(docs: DataFrame, text: str = "text", threshold: float = 0
 
 
 def op9_pii(spark, sf_dir):
+    """Every document with its counts of base spans, their digest, and all spans."""
     return find_personal_data(table(spark, sf_dir, "documents"))
