@@ -15,6 +15,7 @@ documents fetches the tail of the file and then the frames that hold them.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -133,14 +134,18 @@ def tokenizer_file() -> str:
 
 
 class CachedEncoder:
-    """The tokenizers library's encoding of whole texts, each distinct stretch of them encoded once.
+    """The tokenizers library's encoding of whole texts, each distinct piece of them encoded once.
 
-    Between a character that isn't white space and a space no match of the split pattern goes on, merges never cross a match,
-    and special tokens hold no space. So the ids of a text are those of its stretches from such a space to the next, and the
-    library encodes each new stretch as it would the whole text. A text where white space stands before a space goes to the library whole.
+    A text is cut where no match of the split pattern goes on, and merges never cross a match: between a character that isn't
+    white space and a space, and within such a stretch between ASCII letters, digits and marks of _CUT (no apostrophe, as
+    that may begin a match with the letters behind it). Special tokens hold none of these places. So the ids of a text are those
+    of its pieces, and the library encodes each new piece as it would a whole text. A text where white space stands before a
+    space goes to the library whole.
     """
 
-    MOST = 500_000
+    MOST = 800_000
+    _MARKS = re.escape(",.;:!?()[]{}\"-*#$%&/=+@_")
+    _CUT = re.compile(f"(?<=[A-Za-z])(?=[0-9{_MARKS}])|(?<=[0-9])(?=[A-Za-z{_MARKS}])|(?<=[{_MARKS}])(?=[A-Za-z0-9])").split
     #: Not white space to Python, but to some versions of Unicode.
     _UNSURE = ("\u180e", "\u200b")
 
@@ -148,30 +153,58 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return self._each([text])[0]
+        lib = Tokenizer.from_file(path)
+        self.encode, self.tokenize = lib.encode_batch_fast, lib.model.tokenize
+        self.special = [t.content for t in lib.get_added_tokens_decoder().values()]
+        self.coded = [struct.pack("<I", k) for k in range(lib.get_vocab_size())]
+        self.stretches: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
+    def _learn(self, stretches: set[str]) -> bool:
+        """Holds the ids of stretches of a text, each of which stands behind a space; False if one can't be held.
+
+        ASCII letters, with or without a space ahead, are one match, so they go to the library's model without a split. Byte-level
+        BPE writes such letters as they are and the space as a letter of its own.
+        """
+        tokenize, coded, pieces, held, cut = self.tokenize, self.coded, self.pieces, self.stretches, {}
+        if len(pieces) >= self.MOST:
+            pieces.clear()
+        for p in stretches:
+            if p.isascii() and p.isalpha():
+                held[p] = b"".join([coded[t.id] for t in tokenize("\u0120" + p)])
+            elif not p or p[-1].isspace() or p.endswith(self._UNSURE):
+                return False  # the space behind it belongs to the same match
+            else:
+                cut[p] = self._CUT(" " + p)
+        rest = []
+        for x in {x for xs in cut.values() for x in xs}.difference(pieces):
+            w = x[1:] if x[0] == " " else x
+            if w.isascii() and w.isalpha():
+                pieces[x] = b"".join([coded[t.id] for t in tokenize(w if w is x else "\u0120" + w)])
+            else:
+                rest.append(x)
+        if rest:
+            pieces.update(zip(rest, self._each(rest), strict=True))
+        for p, xs in cut.items():
+            held[p] = b"".join([pieces[x] for x in xs])
+        return True
+
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        parts = self.parts
-        if len(parts) >= self.MOST:
-            parts.clear()
-        # Stretches are seldom new, so a text's new ones are found in one set operation. One that is empty or ends in white
-        # space is never held, as the space after it belongs to the same match.
-        new = list(set(rest).difference(parts))
-        if first[-1:].isspace() or first.endswith(self._UNSURE) or any(not p or p[-1].isspace() or p.endswith(self._UNSURE) for p in new):
-            return self._whole(text)
-        head, *coded = self._each([first, *[" " + p for p in new]])
-        parts.update(zip(new, coded, strict=True))
-        out = head + b"".join(map(parts.__getitem__, rest))
+        held = self.stretches
+        if len(held) >= self.MOST:
+            held.clear()
+        # Stretches are seldom new, so a text's new ones are found in one set operation.
+        new = set(rest).difference(held)
+        if first[-1:].isspace() or first.endswith(self._UNSURE) or any(t in text for t in self.special) or (new and not self._learn(new)):
+            return self._each([text])[0]
+        out = self._each([first])[0] + b"".join(map(held.__getitem__, rest))
         if len(text) > 1 << 20:
-            parts.clear()  # a very long text may have brought very long stretches
+            held.clear()  # a very long text may have brought very long stretches
+            self.pieces.clear()
         return out
 
 
@@ -228,7 +261,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             yield close()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges of doc_id from its quantiles, which takes a scan of that column alone.
+    ends = rows.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000)).first()[0]
+    part = F.lit(0)
+    if ends:
+        bounds = F.array(*[F.lit(e).cast("long") for e in sorted(set(ends))])
+        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda e: e < F.col("doc_id"))))
+    rows = rows.repartitionById(shards, part.cast("int")).sortWithinPartitions("doc_id", "text")
     made = sorted(rows.mapInArrow(run, "part int, shard int, path string, n_docs long, n_tokens long").collect())
     start, listed = 0, []
     for k, r in enumerate(made):
@@ -250,16 +289,13 @@ def read_token_files(manifest: DataFrame, folder: str, only: list[int] | None =
         for batch in batches:
             for row in batch.to_pylist():
                 with fs.open_input_file(row["path"]) as f:
-                    shard, held = ShardReader(f, f.size()), []
-                    picked = range(len(shard.ids)) if wanted is None else np.flatnonzero(np.isin(shard.ids, wanted) & (shard.lost == 0))
-                    for k in picked:
-                        ids = shard.document(int(k))
-                        held.append({"doc_id": None if shard.lost[k] else int(shard.ids[k]), "start": row["start"] + int(shard.begins[k]), "n_tokens": len(ids) // 4, "ids_crc32": zlib.crc32(ids), **({"ids": ids} if with_ids else {})})
-                        if len(held) >= 1000:
-                            yield pa.RecordBatch.from_pylist(held, schema=schema)
-                            held = []
-                    if held:
-                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    shard = ShardReader(f, f.size())
+                    picked = np.arange(len(shard.ids)) if wanted is None else np.flatnonzero(np.isin(shard.ids, wanted) & (shard.lost == 0))
+                    for i in range(0, len(picked), 1000):
+                        k = picked[i : i + 1000]
+                        ids = [shard.document(x) for x in k.tolist()]
+                        cols = [pa.array(shard.ids[k], mask=shard.lost[k] == 1), pa.array(row["start"] + shard.begins[k]), pa.array(shard.counts[k]), pa.array([zlib.crc32(x) for x in ids], pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else [])]
+                        yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     n = max(1, manifest.count())
     # One shard for each task.
