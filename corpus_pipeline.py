@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each on all that the one before kept. Counted as part of stratagraph.llm."""
+"""A corpus pipeline of five stages, each on all that the one before kept. Counted as part of stratagraph.llm.
+
+All stages but the last return rows of docs with all their columns, whatever these are called; an empty table stays empty. Null
+and empty texts are texts without words: they are scored as such, one of them stays as a copy of the others, they are linked
+with nothing, and the mix never takes them. Null doc_ids: see each stage. Null lang and n_chars are passed on, null sources are one source.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from stratagraph.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from stratagraph.llm.common import Scratch, table
 
-#: The columns that every stage but the last returns.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Bradley-Terry ranking scores at or above its cut."""
-    return quality.keep_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    """Documents that the Bradley-Terry ranking scores at or above its cut. Each row is scored by its text alone, so repeated and
+    null doc_ids do no harm; equal texts stay or go together. Without labels of both kinds all stay."""
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, that of the smallest doc_id."""
-    return exact_dedup.drop_exact_duplicates(docs).select(*COLUMNS)
+    """One row of each group of equal texts, that of the smallest doc_id; null comes last. Of rows that repeat that doc_id one
+    stays, whichever."""
+    return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity of 0.8 or more), that of the smallest doc_id."""
-    return near_dedup.drop_near_duplicates(docs, percent=80).select(*COLUMNS)
+    """One document of each group of near-duplicates (similarity of 0.8 or more), that of the smallest doc_id. Rows without a
+    doc_id stay, and all rows of a doc_id that stays."""
+    return near_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the fair queue takes them, some twice, some not at all, in order of virtual finish time."""
-    return mixing.mix(docs).select(*COLUMNS)
+    """Documents as the fair queue takes them, some twice, some not at all, in order of virtual finish time; ties go by a hash.
+    Repeated and null doc_ids are queued row by row."""
+    return mixing.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded bytes, for each row of the mix."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes, for each row of the mix, repeated ones too; a null
+    doc_id stays null."""
     return bpe.bpe_digests(docs)
 
 
