@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_graph, queries_relations
+from .plans import queries_graph, queries_project, queries_relations
 
-_PARTS = (queries_graph, queries_relations)
+_PARTS = (queries_graph, queries_relations, queries_project)
 
 
 def queries() -> dict:

@@ -21,16 +21,17 @@ def dotted_glob(pattern: str) -> str:
 
 
 def file_glob(pattern: str) -> str:
-    """`**/` any directories, `*` within one, `?` one character, all else literal."""
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            c = pattern[i]
-            out, i = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)), i + 1
+    """`**` as a whole segment is any number of directories; `*` stays within one, and so does a `**` beside other characters;
+    `?` is one character, all else literal."""
+    out, segments = "", pattern.split("/")
+    for k, part in enumerate(segments):
+        last = k == len(segments) - 1
+        if part == "**":
+            out += ".*" if last else "(?:.*/)?"
+            continue
+        for c in re.sub(r"\*+", "*", part):
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        out += "" if last else "/"
     return f"^{out}$"
 
 

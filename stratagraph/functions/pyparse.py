@@ -20,6 +20,9 @@ SKIPPED_HEADS = frozenset(
     "abs round any all vars dir object Exception ValueError TypeError KeyError AttributeError RuntimeError StopIteration "
     "NotImplementedError ImportError IndexError OSError FileNotFoundError".split()
 )
+#: Calls and raised names that end a program, those of the latter that are errors to a framework.
+EXIT_CALLS = ("sys.exit", "os._exit", "exit")
+EXIT_ERRORS = ("ClickException", "UsageError", "Abort", "Exit")
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _SCOPES = (*_DEFS, ast.ClassDef)
 
@@ -111,10 +114,77 @@ def _depth(body: list) -> int:
     return deep
 
 
+def _dotted(node: ast.AST | None) -> str:
+    """a.b.c of names and attributes, else nothing."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        head = _dotted(node.value)
+        return f"{head}.{node.attr}" if head else ""
+    return ""
+
+
+def _exit_of(stmt: ast.stmt) -> tuple[str, str, int | None] | None:
+    """(gate or error, kind, literal code) of a statement that ends the program."""
+    call = stmt.exc if isinstance(stmt, ast.Raise) else stmt.value if isinstance(stmt, ast.Expr) else None
+    if call is None or (isinstance(stmt, ast.Expr) and not isinstance(call, ast.Call)):
+        return None
+    name = _dotted(call.func if isinstance(call, ast.Call) else call)
+    last = name.rpartition(".")[2]
+    if isinstance(stmt, ast.Raise):
+        if last in EXIT_ERRORS:
+            return ("error", last, None)
+        if last != "SystemExit":
+            return None
+        name = last
+    elif name not in EXIT_CALLS and last != "exit":
+        return None
+    first = call.args[0] if isinstance(call, ast.Call) and call.args else None
+    return ("gate", name, first.value if isinstance(first, ast.Constant) and isinstance(first.value, int) else None)
+
+
+def _flags(fn) -> dict[str, str]:
+    """Parameters that command-line options or arguments fill, and how these are written."""
+    out = {}
+    for d in fn.decorator_list:
+        if isinstance(d, ast.Call) and _dotted(d.func).rpartition(".")[2] in ("option", "argument"):
+            said = [a.value for a in d.args if isinstance(a, ast.Constant) and isinstance(a.value, str)]
+            plain, long = [s for s in said if not s.startswith("-")], max((s for s in said if s.startswith("--")), key=len, default="")
+            if plain or long:
+                out[plain[0] if plain else long.lstrip("-").replace("-", "_")] = long or plain[0]
+    return out
+
+
+def _lever(test: ast.expr | None, params: set[str], flags: dict[str, str]) -> str:
+    """What decides over the innermost test: a flag, an attribute of a configuration, a parameter, or nothing."""
+    nodes = [] if test is None else list(ast.walk(test))
+    names = [n.id for n in nodes if isinstance(n, ast.Name)]
+    read = sorted(filter(None, (_dotted(n) for n in nodes if isinstance(n, ast.Attribute))))
+    by_flag, by_param = [n for n in names if n in flags], [n for n in names if n in params]
+    return f"flag:{flags[by_flag[0]]}" if by_flag else f"config:{read[0]}" if read else f"param:{by_param[0]}" if by_param else "hardcoded"
+
+
+def _gates(fn) -> list[dict]:
+    """Exits of a function's own statements, each with what the innermost if above it asks for."""
+    flags, params = _flags(fn), {a.arg for a in (*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs)}
+    command = any(_dotted(d.func if isinstance(d, ast.Call) else d).endswith(("command", "group")) for d in fn.decorator_list)
+    out, todo = [], [(s, None) for s in reversed(fn.body)]
+    while todo:
+        s, test = todo.pop()
+        found = _exit_of(s)
+        if found:
+            out.append({"function": fn.name, "category": found[0], "kind": found[1], "code": found[2], "control": _lever(test, params, flags), "is_command": command})
+        elif not isinstance(s, _SCOPES):
+            blocks = [(getattr(s, "body", []), s.test if isinstance(s, ast.If) else test), *((getattr(s, k, []), test) for k in ("orelse", "finalbody"))]
+            blocks += [(h.body, test) for h in getattr(s, "handlers", [])]
+            todo += [(c, t) for block, t in reversed(blocks) for c in reversed(block)]
+    return out
+
+
 class _Facts:
     def __init__(self, package: bool):
         self.package = package
-        self.imports, self.calls, self.functions, self.classes, self.constants, self.assigned, self.raised = [], [], [], [], [], [], []
+        self.imports, self.calls, self.functions, self.classes, self.constants, self.assigned, self.raised, self.gates = [], [], [], [], [], [], [], []
 
     def walk(self, node: ast.AST, path: tuple[str, ...], guarded: bool, top: bool) -> None:
         if isinstance(node, ast.Import):
@@ -155,6 +225,7 @@ class _Facts:
         count, shape, exact = _body(fn)
         args = [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs, *filter(None, (fn.args.vararg, fn.args.kwarg))]
         counted = args[1:] if args and args[0].arg in ("self", "cls") and path else args
+        self.gates += _gates(fn)
         self.functions.append(
             {
                 "name": fn.name, "qualified_name": ".".join((*path, fn.name)), "line": fn.lineno, "end_line": fn.end_lineno, "cyclomatic": count, "size": len(shape),
@@ -206,6 +277,6 @@ def parse(raw: bytes, package: bool = False) -> dict:
     except (SyntaxError, ValueError, RecursionError):
         facts, broken, main = _Facts(package), True, False
         facts.imports = _scan_imports(text)
-    out = {k: getattr(facts, k) for k in ("imports", "calls", "functions", "classes", "constants", "assigned", "raised")}
+    out = {k: getattr(facts, k) for k in ("imports", "calls", "functions", "classes", "constants", "assigned", "raised", "gates")}
     out["imports"].sort(key=lambda i: (i["line"], i["module"]))
     return out | {"has_errors": broken, "has_main_guard": main}

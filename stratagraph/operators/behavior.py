@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import is_test_code, is_vendored
+from ..plans.iterate import cut
 from .graph import weak_components
 
 
@@ -36,14 +38,18 @@ def hotspots(files: DataFrame, top_n: int | None = None) -> DataFrame:
     return h.orderBy(F.desc("score"), F.desc("churn"), "module").limit(top_n) if top_n else h
 
 
-def fold_renames(changes: DataFrame, renames: DataFrame, rounds: int = 16) -> DataFrame:
-    """changes (commit_id, path) with path followed through renames (old_path, new_path) to its last name; a cycle stops
-    where it began and links of one old name resolve to the greatest new name."""
-    r = renames.groupBy("old_path").agg(F.max("new_path").alias("new_path")).where("old_path <> new_path")
+def fold_renames(changes: DataFrame, renames: DataFrame) -> DataFrame:
+    """changes (commit_id, path) with path followed through renames (old_path, new_path) to its last name, however long the
+    chain; a cycle stops before it comes back to a name, and links of one old name go to the greatest new name."""
+    r = cut(renames.groupBy("old_path").agg(F.max("new_path").alias("new_path")).where("old_path <> new_path"))
     names = r.select(F.col("old_path").alias("path"), F.col("new_path").alias("last"), F.array("old_path", "new_path").alias("seen"))
-    for _ in range(rounds):
-        nxt = r.select(F.col("old_path").alias("o"), F.col("new_path").alias("n"))
-        names = names.join(nxt, names["last"] == nxt["o"], "left").select("path", F.when(F.col("n").isNull() | F.array_contains("seen", F.coalesce("n", "last")), F.col("last")).otherwise(F.col("n")).alias("last"), F.when(F.col("n").isNull(), F.col("seen")).otherwise(F.array_union("seen", F.array("n"))).alias("seen"))
+    nxt = r.select(F.col("old_path").alias("o"), F.col("new_path").alias("n"))
+    while True:
+        go = F.col("n").isNotNull() & ~F.array_contains("seen", F.coalesce("n", "last"))
+        names = names.join(nxt, names["last"] == nxt["o"], "left").select("path", F.when(go, F.col("n")).otherwise(F.col("last")).alias("last"), F.when(go, F.array_append("seen", F.col("n"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved"))
+        names = cut(names)
+        if names.where("moved").isEmpty():
+            break
     names = names.select(F.col("path").alias("p"), "last")
     return changes.join(names, changes["path"] == names["p"], "left").select("commit_id", F.coalesce("last", "path").alias("path"))
 
@@ -109,33 +115,46 @@ def refactor_priorities(hot: DataFrame, risk: DataFrame, min_risk: float = 0.15,
 
 
 def exact_clusters(functions: DataFrame, min_size: int = 30, min_members: int = 2) -> DataFrame:
-    """shape_hash, members, size, redundancy, exact, same_module, test, vendored of functions that share a shape."""
+    """shape_hash, members, size, redundancy, exact and what holds for all members (overload, property, vendored, test, trivial,
+    same_class) of functions (shape_hash, concrete_hash, size, module, path, qualified_name, decorators, is_trivial) that
+    share a shape. same_class: methods of one class of one module."""
     if min_members < 2:
         raise ValueError("min_members is at least 2")
-    parts = F.split("path", "/")
     f = functions.where(F.col("size") >= min_size)
+    marked = lambda name: F.exists("decorators", lambda d: F.element_at(F.split(d, r"\."), -1) == name)
+    method = F.col("qualified_name").contains(".")
+    scope = F.struct("module", F.regexp_replace("qualified_name", r"\.[^.]*$", ""))
     g = f.groupBy("shape_hash").agg(
         F.count("*").alias("members"),
         F.min("size").alias("size"),
-        (F.count_distinct("concrete_hash") == 1).alias("exact"),
-        (F.count_distinct("module") == 1).alias("same_module"),
-        F.bool_and(F.arrays_overlap(parts, F.array(F.lit("tests"), F.lit("test"))) | F.col("path").rlike(r"(^|/)test_[^/]*\.py$")).alias("test"),
-        F.bool_and(F.arrays_overlap(parts, F.array(F.lit("vendor"), F.lit("_vendor"), F.lit("third_party")))).alias("vendored"),
+        (F.min("concrete_hash") == F.max("concrete_hash")).alias("exact"),
+        F.bool_and(marked("overload")).alias("overload"),
+        F.bool_and(marked("property") & F.col("is_trivial")).alias("property"),
+        F.bool_and(is_vendored(F.col("path"))).alias("vendored"),
+        F.bool_and(is_test_code(F.col("path"))).alias("test"),
+        F.bool_and("is_trivial").alias("trivial"),
+        (F.bool_and(method) & (F.min(scope) == F.max(scope))).alias("same_class"),
     )
     return g.where(F.col("members") >= min_members).withColumn("redundancy", F.col("size") * (F.col("members") - 1))
 
 
+#: Why a cluster is likely meant as it is, in the order in which reasons are given.
+VARIANTS = ("overload", "property", "vendored", "test", "trivial", "same_class")
+
+
 def variant(clusters: DataFrame) -> DataFrame:
-    """clusters with variant: the first of vendored, test, same_class that holds for all members, else null."""
-    return clusters.withColumn("variant", F.when(F.col("vendored"), "vendored").when(F.col("test"), "test").when(F.col("same_module"), "same_class"))
+    """clusters with variant: the first of VARIANTS that holds for all members, else null."""
+    return clusters.withColumn("variant", F.coalesce(*[F.when(F.col(v), F.lit(v)) for v in VARIANTS]))
 
 
-def independent_clusters(members: DataFrame, changes: DataFrame, min_support: int = 3, min_confidence: float = 0.3, min_evidence: int = 5) -> DataFrame:
-    """cluster, independent: of (cluster, file); two files or more, all changed min_evidence times or more, no coupled pair."""
+def independent_clusters(members: DataFrame, changes: DataFrame, min_support: int = 3, min_confidence: float = 0.3, min_evidence: int = 5, max_files: int = 30) -> DataFrame:
+    """cluster, independent: of (cluster, file); two files or more, all changed min_evidence times or more, no coupled pair.
+    Counts and pairs are of commits of at most max_files files."""
     m = members.select("cluster", "file").distinct()
-    n = file_counts(changes).select(F.col("file").alias("f"), "n")
+    focused = capped(changes, max_files)
+    n = file_counts(focused).select(F.col("file").alias("f"), "n")
     per = m.join(n, m["file"] == n["f"], "left").groupBy("cluster").agg(F.count("*").alias("files"), F.bool_and(F.coalesce("n", F.lit(0)) >= min_evidence).alias("known"))
-    pairs = coupling(changes, None, min_support, min_confidence, 1_000_000)
+    pairs = coupling(changes, None, min_support, min_confidence, max_files)
     a, b = m.select(F.col("cluster").alias("ca"), F.col("file").alias("xa")), m.select(F.col("cluster").alias("cb"), F.col("file").alias("xb"))
     tied = pairs.join(a, pairs["a"] == a["xa"]).join(b, (pairs["b"] == b["xb"]) & (F.col("ca") == b["cb"])).select(F.col("ca").alias("t")).distinct().withColumn("tied", F.lit(True))
     return per.join(tied, per["cluster"] == tied["t"], "left").select("cluster", ((F.col("files") >= 2) & F.col("known") & F.col("tied").isNull()).alias("independent"))
@@ -152,19 +171,22 @@ def band_pairs(sizes: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def bag_similarity(bags: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """a, b, similarity of (id, token, n): multiset Jaccard at or over threshold. Pairs come from the rarest tokens only: a
-    pair at threshold t shares one of the ceil((1 - t) * size) + 1 rarest token copies of either bag, so frequent tokens
-    are never joined with each other for candidates."""
-    size = bags.groupBy(F.col("id").alias("i")).agg(F.sum("n").alias("size"))
+    """a, b, similarity of (id, token, n): multiset Jaccard at or over threshold.
+
+    A bag is the set of its token copies (token, 1) to (token, n), packed as one array of their hashes, rarest token first. A
+    pair at threshold t shares one of the size - ceil(t * size) + 1 first copies of either bag, so frequent tokens are
+    never joined with each other for candidates; candidates of fitting sizes are compared array with array.
+    """
     df = bags.groupBy(F.col("token").alias("k")).agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bags.join(df, bags["token"] == df["k"]).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    ranked = ranked.join(size, ranked["id"] == size["i"])
-    head = ranked.where(F.col("before") <= F.floor(F.col("size") - threshold * F.col("size") + 1e-9)).select("id", "token", "size")
-    x, y = head.select(F.col("id").alias("a"), F.col("token").alias("t"), F.col("size").alias("sa")), head.select(F.col("id").alias("b"), F.col("token").alias("u"), F.col("size").alias("sb"))
-    pairs = x.join(y, (F.col("t") == F.col("u")) & (F.col("a") < F.col("b"))).where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("a", "b", "sa", "sb").distinct()
-    ba, bb = bags.select(F.col("id").alias("ia"), F.col("token").alias("ta"), F.col("n").alias("na")), bags.select(F.col("id").alias("ib"), F.col("token").alias("tb"), F.col("n").alias("nb"))
-    both = pairs.join(ba, pairs["a"] == ba["ia"]).join(bb, (pairs["b"] == bb["ib"]) & (F.col("ta") == F.col("tb"))).groupBy("a", "b", "sa", "sb").agg(F.sum(F.least("na", "nb")).alias("i"))
+    copies = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("df", "token", "n"))), lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["n"].cast("long")), lambda c: F.xxhash64(x["token"], c))))
+    packed = cut(bags.where("n > 0").join(df, bags["token"] == df["k"]).groupBy("id").agg(copies.alias("copies")).withColumn("size", F.size("copies").cast("long")))
+    first = (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).cast("int")
+    head = packed.select("id", "size", F.explode(F.slice("copies", F.lit(1), first)).alias("c"))
+    x, y = head.select(F.col("id").alias("a"), F.col("c").alias("t"), F.col("size").alias("sa")), head.select(F.col("id").alias("b"), F.col("c").alias("u"), F.col("size").alias("sb"))
+    pairs = x.join(y, (F.col("t") == F.col("u")) & (F.col("a") < F.col("b"))).where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("a", "b").distinct()
+    of = lambda k: packed.select(F.col("id").alias(f"i{k}"), F.col("copies").alias(f"c{k}"), F.col("size").alias(f"s{k}"))
+    pa, pb = of("a"), of("b")
+    both = pairs.join(pa, pairs["a"] == pa["ia"]).join(pb, pairs["b"] == pb["ib"]).select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("i"), "sa", "sb")
     return both.withColumn("similarity", F.col("i") / (F.col("sa") + F.col("sb") - F.col("i"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import dotted_glob, file_glob
-from .graph import reachable, shortest_chains
+from ..functions.paths import is_run_test
+from ..plans.iterate import cut
+from .graph import cycles, reachable, scc, shortest_chains
 
 
 def matching(nodes: DataFrame, patterns: list[str]) -> DataFrame:
@@ -48,11 +51,12 @@ def protected(nodes: DataFrame, edges: DataFrame, guarded: list[str], allowed: l
 
 
 def sibling_cycles(nodes: DataFrame, edges: DataFrame, parent: str) -> DataFrame:
-    """a, b with a < b: children of a package that import each other, directly or through their own modules."""
-    child = lambda c: F.regexp_extract(c, "^" + parent.replace(".", r"\.") + r"\.([^.]+)", 1)
-    e = edges.select(child("src").alias("a"), child("dst").alias("b")).where("a <> b AND a <> '' AND b <> ''").distinct()
-    back = e.select(F.col("a").alias("b2"), F.col("b").alias("a2"))
-    return e.join(back, (e["a"] == back["a2"]) & (e["b"] == back["b2"])).where("a < b").select("a", "b")
+    """members, n_edges: children of a package that reach each other over any number of siblings, directly or through their own
+    modules."""
+    child = lambda c: F.regexp_extract(c, "^" + re.escape(parent) + r"\.([^.]+)", 1)
+    e = cut(edges.select(child("src").alias("src"), child("dst").alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").distinct())
+    children = nodes.select(child("node").alias("node")).where("node <> ''").distinct()
+    return cycles(scc(children, e), e)
 
 
 def matched_nothing(nodes: DataFrame, expressions: list[str]) -> list[str]:
@@ -60,16 +64,13 @@ def matched_nothing(nodes: DataFrame, expressions: list[str]) -> list[str]:
     return [p for p in expressions if matching(nodes, [p]).isEmpty()]
 
 
-TEST_FILE = r"(^|/)test_[^/]*\.py$|_test\.py$|(^|/)tests/"
-
-
 def affected(modules: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 5, test_filter: str | None = None) -> DataFrame:
     """node, dist, test: modules that reach a changed one (path) within depth, and tests under the directory of an affected
     conftest.py. A filter that matches no file is refused."""
     if depth < 1:
         raise ValueError("depth is at least 1")
     named = modules.where("path IS NOT NULL")
-    is_test = F.col("path").rlike(file_glob(test_filter) if test_filter else TEST_FILE)
+    is_test = F.col("path").rlike(file_glob(test_filter)) if test_filter else is_run_test(F.col("path"))
     if test_filter and named.where(is_test).isEmpty():
         raise ValueError(f"{test_filter!r} matches no file")
     c = changed.select(F.col("path").alias("cp")).distinct()
@@ -85,20 +86,62 @@ def affected(modules: DataFrame, edges: DataFrame, changed: DataFrame, depth: in
     return both.groupBy("node", "test").agg(F.min("dist").alias("dist")).select("node", "dist", "test")
 
 
-def diff_summary(items: DataFrame, member_risk: DataFrame, deltas: dict[str, float], top_n: int = 10) -> DataFrame:
+def diff_items(diffs: dict[str, DataFrame]) -> DataFrame:
+    """kind, change, description, members of the rows of set differences (with column change): cycles (members), violations
+    (from_layer, to_layer, src, dst), sdp (src, dst) and reach (source, must_reach, module; a null module is a dead rule)."""
+    made = {
+        "cycles": lambda d: (F.concat(F.lit("cycle of "), _listed("members")), F.col("members")),
+        "violations": lambda d: (F.concat_ws("", "src", F.lit(" -> "), "dst", F.lit(" ("), "from_layer", F.lit(" -> "), "to_layer", F.lit(")")), F.array("src", "dst")),
+        "sdp": lambda d: (F.concat_ws("", "src", F.lit(" rests on less stable "), "dst"), F.array("src", "dst")),
+        "reach": lambda d: (F.when(F.col("module").isNull(), F.concat_ws("", F.lit("rule cannot be checked: "), "source", F.lit(" must reach "), "must_reach")).otherwise(F.concat_ws("", "module", F.lit(" must reach "), "must_reach")), F.array_compact(F.array("module"))),
+    }
+    out = None
+    for kind, df in diffs.items():
+        text, members = made[kind](df)
+        part = df.select(F.lit(kind).alias("kind"), "change", text.alias("description"), members.cast("array<string>").alias("members"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _listed(members: str, most: int = 5) -> Column:
+    more = F.size(members) - most
+    return F.concat(F.array_join(F.slice(members, 1, most), ", "), F.when(more > 0, F.concat_ws("", F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+
+
+def diff_summary(items: DataFrame, member_risk: DataFrame, deltas: dict[str, float], top_n: int = 10, change: str | None = None) -> DataFrame:
     """kind, description, risk of a diff's findings: items (kind, description, members) at the greatest risk of their members
-    (node, risk; 0 if unknown), and score parts at five times their change, within 1. Riskiest first, then by description."""
+    (node, risk; 0 if unknown), and score parts at five times their change, within 1. Riskiest first, then by description.
+    With change "added" (regressions) or "resolved" (improvements) only such items and drops or gains of the score count."""
     if top_n < 1:
         raise ValueError("top_n is at least 1")
+    if change is not None:
+        items = items.where(F.col("change") == change)
+        deltas = {k: v for k, v in deltas.items() if (v < 0) == (change == "added")}
     r = member_risk.select("node", "risk")
     e = items.select("kind", "description", F.explode_outer("members").alias("m"))
     per = e.join(r, e["m"] == r["node"], "left").groupBy("kind", "description").agg(F.coalesce(F.max("risk"), F.lit(0.0)).alias("risk"))
-    moved = [("score", f"{k} {v:+.3f}", min(1.0, 5 * abs(v))) for k, v in deltas.items() if abs(v) >= 0.01]
+    least = 0.01 if change is None else 0.0
+    moved = [("score", f"{k} {v:+.3f}", min(1.0, 5 * abs(v))) for k, v in deltas.items() if v and abs(v) >= least]
     if moved:
         per = per.unionByName(items.sparkSession.createDataFrame(moved, "kind string, description string, risk double"))
     return per.orderBy(F.desc("risk"), "description").limit(top_n)
 
 
+def near_names(names: DataFrame, wanted: str, floor: float = 0.8, margin: float = 0.1, limit: int = 5) -> list[str]:
+    """suggestions() over a table of names (node), compared where they are; only the best come to the driver."""
+    inside = names.where(F.col("node").contains(wanted)).select("node").distinct().orderBy("node").limit(limit).collect()
+    if inside:
+        return [r["node"] for r in inside]
+
+    def like(batches):
+        for pdf in batches:
+            yield pdf.assign(s=[difflib.SequenceMatcher(None, wanted, n).ratio() for n in pdf["node"]])
+
+    scored = names.select(F.col("node").cast("string").alias("node")).distinct().mapInPandas(like, "node string, s double").where(F.col("s") >= floor)
+    best = [(-r["s"], r["node"]) for r in scored.orderBy(F.desc("s"), "node").limit(limit).collect()]
+    return [n for s, n in best if -s >= -best[0][0] - margin]
+
+
 def suggestions(names: list[str], wanted: str, floor: float = 0.8, margin: float = 0.1, limit: int = 5) -> list[str]:
     """Known names near a wanted one: those that contain it first, else the most similar within margin of the best."""
     inside = sorted(n for n in names if wanted in n)
@@ -109,6 +152,21 @@ def suggestions(names: list[str], wanted: str, floor: float = 0.8, margin: float
     return [n for s, n in scored if -s >= floor and -s >= best - margin][:limit]
 
 
+def path_hints(modules: DataFrame, wanted: str) -> list[str]:
+    """Paths of modules (node, path) near a path that is none. The path is read as a module name, without the folders that the
+    layout puts ahead of names; that lead is learnt from the modules, the longest that fits counts."""
+    if not wanted.endswith(".py"):
+        return []
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"\.py$", ""), "(^|/)__init__$", "")
+    named = modules.where("path IS NOT NULL").select("node", "path", bare(F.col("path")).alias("b"), F.translate("node", ".", "/").alias("n"))
+    lead = named.where(F.col("b").endswith(F.col("n"))).select(F.expr("substring(b, 1, length(b) - length(n))").alias("lead")).distinct()
+    fits = lead.where(F.startswith(F.lit(wanted), F.col("lead"))).orderBy(F.desc(F.length("lead"))).limit(1).collect()
+    name = re.sub(r"(^|/)__init__$", "", wanted[: -len(".py")])[len(fits[0]["lead"]) if fits else 0 :].replace("/", ".")
+    found = near_names(named.select("node"), name)
+    at = {r["node"]: r["path"] for r in named.where(F.col("node").isin(found)).select("node", "path").collect()} if found else {}
+    return [at[n] for n in found]
+
+
 def smells(facts: DataFrame, args: int = 6, lines: int = 100, nesting: int = 4, cyclomatic: int = 10) -> DataFrame:
     """module, qualified_name, and what a function has too much of."""
     f = facts.select(F.col("qualname").alias("module"), F.explode("functions").alias("f")).select("module", "f.*")
@@ -161,7 +219,7 @@ def module_view(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """node, imports, imported_by of one module; an unknown name is refused with the names near it."""
     one = nodes.where(F.col("node") == name)
     if one.isEmpty():
-        near = suggestions([r[0] for r in nodes.select("node").limit(100_000).collect()], name)
+        near = near_names(nodes, name)
         raise ValueError(f"no module {name!r}" + (f"; near: {', '.join(near)}" if near else ""))
     both = edges.where((F.col("src") == name) | (F.col("dst") == name))
     return both.agg(F.lit(name).alias("node"), F.sort_array(F.collect_set(F.when(F.col("src") == name, F.col("dst")))).alias("imports"), F.sort_array(F.collect_set(F.when(F.col("dst") == name, F.col("src")))).alias("imported_by"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -254,42 +256,50 @@ def modularity(edges: DataFrame, labels: DataFrame, weighted: bool = False) -> D
     return g.agg(q.alias("q")).select("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("q") + 0.5) / 1.5)).alias("score"))
 
 
-def greedy_communities(nodes: DataFrame, edges: DataFrame, weighted: bool = False, most: int = 10_000) -> DataFrame:
+def greedy_communities(nodes: DataFrame, edges: DataFrame, weighted: bool = False, most: int = 500_000) -> DataFrame:
     """node, community by greedy merging of the pair with the largest gain in modularity, ties to the smallest names; a community is named by its
-    least member. Merging is one sequence over the whole graph, so it runs in one task and refuses graphs of over `most` nodes."""
-    if nodes.count() > most:
-        raise ValueError(f"greedy merging takes at most {most} nodes")
+    least member. Merging is one sequence over the whole graph, so it runs in one task, on a heap of pairs, and refuses graphs of over
+    `most` nodes or edges."""
+    if nodes.count() > most or edges.count() > most:
+        raise ValueError(f"greedy merging takes at most {most} nodes and as many edges")
     kind = dict(nodes.dtypes)["node"]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf.loc[pdf.src.isna(), "dst"])
-        e = pdf[pdf.src.notna()]
-        m = float(e.w.sum())
-        out, inn, between = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), {}
-        for s, t, w in zip(e.src, e.dst, e.w, strict=True):
+        at, e = {n: k for k, n in enumerate(names)}, pdf[pdf.src.notna()]
+        m = float(e.w.sum()) or 1.0
+        out, inn = [0.0] * len(names), [0.0] * len(names)
+        near: list[dict[int, float]] = [{} for _ in names]
+        for s, t, w in zip(e.src.map(at), e.dst.map(at), e.w, strict=True):
             out[s] += w
             inn[t] += w
             if s != t:
-                k = (min(s, t), max(s, t))
-                between[k] = between.get(k, 0.0) + w
-        label = {n: n for n in names}
-        gain = lambda k: between[k] / m - (out[k[0]] * inn[k[1]] + out[k[1]] * inn[k[0]]) / m**2
-        while between:
-            best = min(between, key=lambda k: (-round(gain(k), 12), k))
-            if gain(best) <= 1e-12:
+                near[s][t] = near[t][s] = near[s].get(t, 0.0) + w
+        label, changed = list(range(len(names))), [0] * len(names)
+        gain = lambda x, y: round(near[x][y] / m - (out[x] * inn[y] + out[y] * inn[x]) / m**2, 12)
+        entry = lambda x, y: (-gain(x, y), x, y, changed[x], changed[y])
+        heap = [entry(x, y) for x in range(len(names)) for y in near[x] if x < y]
+        heapq.heapify(heap)
+        while heap:
+            less, x, y, cx, cy = heapq.heappop(heap)
+            if (cx, cy) != (changed[x], changed[y]) or y not in near[x]:
+                continue  # one of the two has grown since
+            if less >= 0:
                 break
-            a, b = best
-            out[a] += out.pop(b)
-            inn[a] += inn.pop(b)
-            merged: dict = {}
-            for (x, y), w in between.items():
-                x, y = (a if x == b else x), (a if y == b else y)
-                if x != y:
-                    k = (min(x, y), max(x, y))
-                    merged[k] = merged.get(k, 0.0) + w
-            between = merged
-            label = {n: (a if v == b else v) for n, v in label.items()}
-        return pd.DataFrame({"node": list(label), "community": list(label.values())})
+            label[y] = x
+            out[x], inn[x] = out[x] + out[y], inn[x] + inn[y]
+            changed[x] += 1
+            changed[y] = -1
+            del near[x][y], near[y][x]
+            for z, w in near[y].items():
+                near[x][z] = near[z][x] = near[x].get(z, 0.0) + w
+                del near[z][y]
+            near[y] = {}
+            for z in near[x]:
+                heapq.heappush(heap, entry(min(x, z), max(x, z)))
+        for k in range(len(names)):  # a label points to a smaller place, which is final by then
+            label[k] = label[label[k]]
+        return pd.DataFrame({"node": names, "community": [names[k] for k in label]})
 
     w = (F.greatest("call_count", F.lit(1)) if weighted else F.lit(1)).cast("double")
     rows = edges.select("src", "dst", w.alias("w")).unionByName(nodes.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w")))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,12 +74,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(items: DataFrame, queries: DataFrame, group: str, k: int = 1) -> DataFrame:
-    """id, neighbour, similarity: the k most similar others of the same group for each query (id, vector); ties to the smaller id."""
-    q = queries.select(F.col("id").alias("q"), F.col("vector").alias("qv"), F.col(group).alias("qg"))
-    j = q.join(items, (q["qg"] == items[group]) & (q["q"] != items["id"])).select("q", "id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("similarity"))
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
-    return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(F.col("q").alias("id"), F.col("id").alias("neighbour"), "similarity")
+def nearest(items: DataFrame, queries: DataFrame, group: str, k: int = 1, blocks: int = 16) -> DataFrame:
+    """id, neighbour, similarity: the k most similar others of the same group for each query (id, vector); ties to the smaller
+    id. A group's items stand in `blocks` blocks that are compared apart, so that one large group is spread over tasks."""
+    q = queries.select(F.col("id").alias("q"), F.col("vector").alias("qv"), F.col(group).alias("qg"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
+    i = items.select("id", "vector", F.col(group).alias("ig"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("ib"))
+    j = q.join(i, (q["qg"] == i["ig"]) & (q["qb"] == i["ib"]) & (q["q"] != i["id"])).select("q", "qg", "qb", "id", F.round(cosine(F.col("qv"), F.col("vector")), 6).alias("similarity"))
+    best = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "id"))).where(F.col("rn") <= k).drop("rn")
+    return best(best(j, "qg", "qb", "q"), "q").select(F.col("q").alias("id"), F.col("id").alias("neighbour"), "similarity")
 
 
 def calibrate(pairs: DataFrame, group: str, value: str, target: float, cap: int = 5) -> DataFrame:
@@ -92,27 +94,31 @@ def calibrate(pairs: DataFrame, group: str, value: str, target: float, cap: int
     return run.crossJoin(F.broadcast(groups)).where(F.col("upto") / F.col("groups") >= target).agg(F.max("v").alias("cutoff"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int = 2000, seed: int = 587) -> DataFrame:
-    """mean, low, high: 95% interval of the mean by resampling clusters; the clusters' sums and counts are aggregated first and
-    resampled in parallel tasks."""
-    spark = df.sparkSession
-    sums = df.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n")).orderBy(cluster)
-    rows = [(r["s"] or 0.0, r["n"]) for r in sums.limit(1_000_001).collect()]
-    if len(rows) > 1_000_000:
-        raise ValueError("at most a million clusters")
-    shared = spark.sparkContext.broadcast(rows)
-
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng, data = random.Random(seed * 1_000_003 + int(i)), shared.value
-                picked = [data[rng.randrange(len(data))] for _ in data]
-                n = sum(x[1] for x in picked)
-                out.append(sum(x[0] for x in picked) / n if n else float("nan"))
-            yield pd.DataFrame({"m": out})
-
-    m = spark.range(0, resamples, 1, 8).mapInPandas(draw, "m double")
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int = 2000, seed: int = 587, part_rows: int = 50_000) -> DataFrame:
+    """mean, low, high: 95% interval of the mean by resampling clusters with replacement, as many as there are.
+
+    Sums and counts are taken by cluster first. Clusters stand in parts of about part_rows; how many of a resample's draws
+    fall to each part is multinomial and drawn alike in every task, each part makes its own draws, and sums over the parts
+    meet by resample, so that any number of clusters will do. Rows without a cluster are one cluster; null values don't count.
+    """
+    sums = df.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
+    total = sums.count()
+    parts = max(1, -(-total // part_rows))
+    sums = sums.select(F.pmod(F.xxhash64(cluster), F.lit(parts)).cast("int").alias("part"), F.coalesce("s", F.lit(0.0)).alias("s"), "n", F.xxhash64(cluster).alias("h"))
+    sizes = {r["part"]: r["count"] for r in sums.groupBy("part").count().collect()}  # one row a part
+    shares = np.array([sizes.get(p, 0) / max(total, 1) for p in range(parts)])
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "s", "n"])
+        part, s, n, out = int(pdf["part"].iloc[0]), pdf["s"].to_numpy(), pdf["n"].to_numpy(), []
+        for r in range(resamples):
+            times = np.random.default_rng([seed, r]).multinomial(total, shares)[part]
+            hit = np.random.default_rng([seed, r, part]).integers(0, len(s), times)
+            out.append((r, s[hit].sum(), n[hit].sum()))
+        return pd.DataFrame(out, columns=["r", "s", "n"])
+
+    drawn = sums.groupBy("part").applyInPandas(draw, "r int, s double, n long")
+    m = drawn.groupBy("r").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     ends = m.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(ends)
 

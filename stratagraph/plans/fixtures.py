@@ -57,16 +57,26 @@ def event_graph(spark: SparkSession, d: str) -> DataFrame:
     return e.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("call_count"))
 
 
+#: Folders of the functions' files, by the key modulo their number.
+FOLDERS = ("src/", "src/tests/", "vendored/", "lib/test_", "src/third_party/")
+
+
 def functions(spark: SparkSession, d: str) -> DataFrame:
-    """fn_id, shape_hash, concrete_hash, size, module, path: a document as a function body."""
+    """fn_id, shape_hash, concrete_hash, size, module, path, qualified_name, decorators, is_trivial: a document as a function body.
+    Its first letter decides on the decorator, its length on the class and whether it is trivial, its language on the folder."""
     t = F.coalesce("text", F.lit(""))
+    first, size = F.lower(F.substring(F.trim(t), 1, 1)), F.size(F.split(F.trim(t), " "))
+    folder = F.element_at(F.array(*[F.lit(f) for f in FOLDERS]), (F.length(t) % len(FOLDERS) + 1).cast("int"))
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("fn_id"),
         F.md5(F.regexp_replace(F.lower(t), "[0-9]+", "#")).alias("shape_hash"),
         F.md5(t).alias("concrete_hash"),
-        F.size(F.split(F.trim(t), " ")).cast("long").alias("size"),
+        size.cast("long").alias("size"),
         F.col("source").alias("module"),
-        F.concat(F.lit("src/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".py")).alias("path"),
+        F.concat(folder, F.col("lang"), F.lit("/"), F.col("source"), F.lit(".py")).alias("path"),
+        F.concat(F.when(F.length(t) % 3 != 0, F.concat(F.lit("C"), (F.length(t) % 3).cast("string"), F.lit("."))).otherwise(F.lit("")), F.lit("f"), F.col("doc_id").cast("string")).alias("qualified_name"),
+        F.when(first < "f", F.array(F.lit("typing.overload"))).when(first < "m", F.array(F.lit("property"))).otherwise(F.array().cast("array<string>")).alias("decorators"),
+        (F.length(t) % 2 == 0).alias("is_trivial"),
     )
 
 
@@ -92,8 +102,32 @@ sup AS (SELECT * FROM (SELECT a.f AS src, b.f AS dst, count(*) AS call_count, ro
 F3 = F2 + ", dag AS (SELECT src, dst, call_count FROM sup WHERE src < dst)"
 F4 = """ev AS (SELECT src, dst, count(*) AS call_count FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL GROUP BY 1, 2)"""
 F7 = """ch AS (SELECT p_partkey AS module, p_size::BIGINT AS cc_sum, coalesce(n, 0) AS churn FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
-F8 = r"""fn AS (SELECT doc_id AS fn_id, md5(regexp_replace(lower(coalesce(text, '')), '[0-9]+', '#', 'g')) AS shape_hash, md5(coalesce(text, '')) AS concrete_hash,
-  len(string_split(trim(coalesce(text, '')), ' '))::BIGINT AS size, source AS module, 'src/' || lang || '/' || source || '.py' AS path FROM documents)"""
+F8 = r"""fn0 AS (SELECT *, coalesce(text, '') AS t, length(coalesce(text, '')) AS nt, lower(trim(coalesce(text, ''))[1]) AS a FROM documents),
+fn AS (SELECT doc_id AS fn_id, md5(regexp_replace(lower(t), '[0-9]+', '#', 'g')) AS shape_hash, md5(t) AS concrete_hash,
+  len(string_split(trim(t), ' '))::BIGINT AS size, source AS module, (['src/', 'src/tests/', 'vendored/', 'lib/test_', 'src/third_party/'])[nt % 5 + 1] || lang || '/' || source || '.py' AS path,
+  CASE WHEN nt % 3 <> 0 THEN 'C' || nt % 3 || '.' ELSE '' END || 'f' || doc_id AS qualified_name,
+  CASE WHEN a < 'f' THEN 'typing.overload' WHEN a < 'm' THEN 'property' ELSE '' END AS decorator, nt % 2 = 0 AS is_trivial FROM fn0)"""
 F12 = """hist AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS overall, count(*) AS n FROM events GROUP BY 1)"""
 #: All nodes that reach and are reached in supplier_graph.
 CLOSURE = "WITH RECURSIVE " + F2 + ", clo AS (SELECT src, dst FROM sup UNION SELECT clo.src, sup.dst FROM clo JOIN sup ON clo.dst = sup.src)"
+
+
+#: A package of one generated module for each part: what each imports, guards and calls follows from its key k and size z.
+GEN = "gen AS (SELECT p_partkey AS k, p_size AS z, p_partkey % 7 + 1 AS t, p_partkey % 5 + 1 AS u FROM part)"
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """qualname, rel_path, is_package, content of the package gen and its modules m1, m2, ..."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    m = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    text = F.concat(
+        F.lit("import os.path\n"),
+        F.when(z % 2 == 0, F.concat(F.lit("from typing import TYPE_CHECKING\nif TYPE_CHECKING:\n    from gen import "), m(k % 5 + 1), F.lit("\n"))).otherwise(""),
+        F.lit("from gen."), m(k % 7 + 1), F.lit(" import f as g\n\n\ndef f(a, b):\n"),
+        F.repeat(F.lit("    if a and b:\n        g(a)\n"), (z % 5).cast("int")),
+        F.lit("    return g(b)\n"),
+        F.when(z % 3 == 0, F.lit("\n\nif __name__ == '__main__':\n    f(1, 2)\n")).otherwise(""),
+    )
+    one = table(spark, d, "part").select(F.concat(F.lit("gen."), m(k)).alias("qualname"), F.concat(F.lit("gen/"), m(k), F.lit(".py")).alias("rel_path"), F.lit(False).alias("is_package"), F.encode(text, "UTF-8").alias("content"))
+    top = spark.createDataFrame([("gen", "gen/__init__.py", True, bytearray(b""))], "qualname string, rel_path string, is_package boolean, content binary")
+    return one.unionByName(top)

@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 
 from ..operators import behavior, contracts, graph, resolve, rules
 from ..operators import dsm as matrix
-from ..sources import config, gitlog, tree
+from ..sources import config, gitlog, snapshot, tree
 from .iterate import cut
 
 
+#: Where take() is told to write by habit; each new snapshot overwrites it.
+DEFAULT_SNAPSHOT = (".stratagraph", "baseline")
+
+
+def strict_baseline_problem(path: str) -> str | None:
+    """Why path can't hold the baseline of a strict check, None if it can: a file that is written anew for every task would
+    carry along whatever came in since."""
+    parts = tuple(os.path.realpath(path.removeprefix("file://")).rstrip("/").split("/")[-2:])
+    return f"{path} is overwritten by each new snapshot, so it can't hold a strict baseline" if parts == DEFAULT_SNAPSHOT else None
+
+
 def _at_least(value: float, least: float, name: str) -> None:
     if value < least:
         raise ValueError(f"{name} is at least {least}")
@@ -22,8 +33,8 @@ def _at_least(value: float, least: float, name: str) -> None:
 class Project:
     """Parses the tree at root once; the graph and what rests on it are computed when first asked for."""
 
-    def __init__(self, spark: SparkSession, root: str, rules_text: str | None = None, log: str | None = None):
-        self.spark, self.root, self.log = spark, root, log
+    def __init__(self, spark: SparkSession, root: str, rules_text: str | None = None, log: str | None = None, cache: str | None = None):
+        self.spark, self.root, self.log, self.cache = spark, root, log, cache
         found = None if rules_text is not None else config.discover(root) if os.path.isdir(root) else None
         self.config = config.parse(rules_text if rules_text is not None else open(found).read() if found else "")
 
@@ -34,7 +45,8 @@ class Project:
     @cached_property
     def facts(self) -> DataFrame:
         name = os.path.basename(os.path.abspath(self.root))
-        return cut(tree.parsed(tree.modules(self.files, name, self.config.roots, self.config.max_modules)))
+        found = tree.modules(self.files, name, self.config.roots, self.config.max_modules)
+        return cut(tree.parsed(found)) if self.cache is None else tree.synced(found, self.cache)
 
     @cached_property
     def full(self) -> tuple[DataFrame, DataFrame]:
@@ -77,28 +89,73 @@ class Project:
         return graph.edit_risk(self.nodes, self.edges, self.closure)
 
     def impact(self, changed: list[str], max_chains: int = 20) -> DataFrame:
+        """node, dist, root, chain of the modules that rest on changed ones, the nearest first; a negative max_chains gives all."""
         if max_chains == 0:
             raise ValueError("max_chains is not 0")
-        seeds = self._named(changed)
-        chains = graph.shortest_chains(self.edges, seeds).where("dist > 0").orderBy("dist", "node")
-        return chains if max_chains < 0 else chains.limit(max_chains)
+        return self._chains(self._named(changed), max_chains)[0]
+
+    def _chains(self, seeds: DataFrame, max_chains: int) -> tuple[DataFrame, DataFrame]:
+        every = cut(graph.shortest_chains(self.edges, seeds, reverse=True).where("dist > 0"))
+        ordered = every.orderBy("dist", "node")
+        return (ordered if max_chains < 0 else ordered.limit(max_chains)), every
+
+    def blast_radius(self, changed: list[str], max_chains: int = 20) -> dict:
+        """What rests on changed modules (names or paths): changed, unresolved with hints, impacted (node), propagation_cost (their
+        and the changed ones' share of all), chains, how many chains were left out, and a caveat on an empty answer."""
+        known, unknown = self._resolved(changed)
+        chains, every = self._chains(known, max_chains)
+        impacted, n_changed = every.select("node"), known.count()
+        n, total = impacted.count(), self.nodes.count()
+        shown = n if max_chains < 0 else min(n, max_chains)
+        caveat = "Nothing imports or calls these modules as far as sources tell; what is loaded by name at run time is not seen." if n_changed and not n else None
+        return {"changed": known, "unresolved": {u: self._hints(u) for u in unknown}, "impacted": impacted, "propagation_cost": (n_changed + n) / total if total else 0.0, "chains": chains, "chains_omitted": n - shown, "caveat": caveat}
+
+    def summary(self, top_n: int = 10) -> dict:
+        """Counts of modules and of edges within and to the outside, and the top_n modules by fan-in, fan-out, rank and risk, each
+        with its instability, propagation and risk, and the outside names by the modules that use them."""
+        _at_least(top_n, 1, "top_n")
+        e, inner = self.full[1], self.nodes.select(F.col("node").alias("k"))
+        outside = e.join(inner, e["dst"] == inner["k"], "left_anti").join(inner, e["src"] == inner["k"], "left_semi")
+        per = graph.degrees(self.nodes, self.edges)
+        facts = graph.instability(self.nodes, self.edges).select("node", "instability")
+        facts = facts.join(graph.propagation(self.nodes, self.closure).select("node", "propagation"), "node", "left").join(self.risk().select("node", "risk"), "node", "left")
+        facts = cut(facts.join(per, "node").join(graph.pagerank(self.nodes, self.edges), "node", "left"))
+        top = lambda by: facts.orderBy(F.desc_nulls_last(by), "node").limit(top_n).select("node", F.col(by).cast("double").alias("value"), "instability", "propagation", "risk")
+        used = outside.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("value")).orderBy(F.desc("value"), "node").limit(top_n)
+        errors = self.facts.where("has_errors").select(F.col("rel_path").alias("path"))
+        return {"modules": self.nodes.count(), "internal_edges": self.edges.count(), "external_edges": outside.count(), "parse_errors": errors, "fan_in": top("fan_in"), "fan_out": top("fan_out"), "pagerank": top("rank"), "edit_risk": top("risk"), "external": used}
 
     def affected(self, paths: list[str], depth: int = 5, test_filter: str | None = None) -> DataFrame:
         return contracts.affected(self.nodes, self.edges, self.spark.createDataFrame([(p,) for p in paths], "path string"), depth, test_filter)
 
+    def _resolved(self, names: list[str]) -> tuple[DataFrame, list[str]]:
+        """Modules (node) by dotted name or path, and the names that are neither, in order and once each."""
+        asked = self.spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string")
+        by = self.nodes.select("node", F.explode(F.array_compact(F.array("node", "path"))).alias("key"))
+        hit = cut(asked.join(by, asked["asked"] == by["key"]).groupBy("asked").agg(F.min("node").alias("node")))
+        found = {r["asked"] for r in hit.select("asked").collect()}  # of the few that were asked for
+        return hit.select("node").distinct(), [n for n in dict.fromkeys(names) if n not in found]
+
+    def _hints(self, name: str) -> list[str]:
+        return contracts.path_hints(self.nodes, name) or contracts.near_names(self.nodes, name)
+
     def _named(self, names: list[str]) -> DataFrame:
         """Modules by dotted name or path; one that is neither is refused with the names near it."""
-        have = {r[0]: r[0] for r in self.nodes.select("node").collect()} | {r[1]: r[0] for r in self.nodes.select("node", "path").collect()}
-        for n in names:
-            if n not in have:
-                raise ValueError(f"no module {n!r}; near: {', '.join(contracts.suggestions(sorted(have), n)) or 'none'}")
-        return self.spark.createDataFrame([(have[n],) for n in names], "node string")
-
-    def graph(self, max_nodes: int = 500) -> tuple[DataFrame, DataFrame]:
-        n = self.full[0].count()
+        known, unknown = self._resolved(names)
+        if unknown:
+            raise ValueError(f"no module {unknown[0]!r}; near: {', '.join(self._hints(unknown[0])) or 'none'}")
+        return known
+
+    def graph(self, max_nodes: int = 500, form: str = "frames", internal_only: bool = False):
+        """Modules and edges, as frames or as lines (value) of json, dot or text; more than max_nodes modules are refused."""
+        forms = {"json": snapshot.graph_json, "dot": lambda _, e: snapshot.graph_dot(e), "text": lambda _, e: snapshot.graph_text(e), "frames": lambda m, e: (m, e)}
+        if form not in forms:
+            raise ValueError(f"form is one of {', '.join(sorted(forms))}")
+        parts = (self.nodes, self.edges) if internal_only else self.full
+        n = parts[0].count()
         if n > max_nodes:
             raise ValueError(f"{n} nodes are more than {max_nodes}")
-        return self.full
+        return forms[form](*parts)
 
     def dsm(self, group_by: str = "community", weight: str = "imports") -> tuple[DataFrame, DataFrame]:
         grp = {"community": self.communities, "layer": lambda: self.layered.withColumnRenamed("layer", "grp"), "topological": lambda: matrix.topological_groups(self.sccs)}
@@ -107,13 +164,16 @@ class Project:
         return matrix.dsm(grp[group_by](), self.edges, weight if weight == "imports" else "call_count")
 
     def check(self) -> dict:
-        """Findings of all rules as frames, and whether they pass."""
+        """Findings of all rules as frames, and whether they pass. A pattern that can never match is refused."""
         c = self.config
+        named = [p for ps in c.layers.values() for p in ps] + [r[k] for r in c.required for k in ("source", "must_reach")]
+        for pattern, instead in rules.unmatchable(self.full[0], named):
+            raise ValueError(f"{pattern!r} reaches into a package from outside, of which only the first name is kept; use {instead!r}")
         pairs = self.spark.createDataFrame(c.forbid, "from_layer string, to_layer string")
         found = {"violations": rules.violations(self.edges, self.layered, pairs)}
         augmented = self.edges.select("src", "dst").unionByName(graph.init_edges(self.nodes)).distinct()
         reach = [
-            rules.required_reach(augmented, contracts.matching(contracts.matching(self.nodes, [r["source"]]), [r.get("within") or "**"]), contracts.matching(self.full[0], [r["must_reach"]])).select(F.lit(r["source"]).alias("source"), F.lit(r["must_reach"]).alias("must_reach"), F.col("node").alias("module"))
+            rules.required_reach(augmented, contracts.matching(contracts.matching(self.nodes, [r["source"]]), [r.get("within") or "**"]), contracts.matching(self.full[0], [r["must_reach"]])).select(F.lit(r["source"]).alias("source"), F.lit(r.get("within") or "").alias("within"), F.lit(r["must_reach"]).alias("must_reach"), F.col("node").alias("module"))
             for r in c.required
         ]
         for r in reach:
@@ -127,6 +187,91 @@ class Project:
         verdict = rules.gate(**counts)
         return found | verdict | {"verified": bool(c.forbid or c.required)}
 
+    def coverage(self) -> dict:
+        """How much the rules see: counts (modules, layered, ruled, edges, governed, external_governed, coverage, outside),
+        modules in no layer, patterns that name one module only, and whether a clean check of direct edges proves the rules."""
+        scoped = cut(rules.in_scope(self.layered, self.config.governed()))
+        inside = scoped.where("NOT outside").drop("outside")
+        other = rules.assign_layers(self.full[0].where("external").withColumn("name", F.col("node")), self.config.layers).select("node", "layer")
+        pairs = self.spark.createDataFrame(self.config.forbid, "from_layer string, to_layer string")
+        n = rules.coverage(self.full[1], inside, pairs, other).first().asDict() | {"outside": scoped.where("outside").count()}
+        hints = rules.exact_pattern_hints(inside, self.config.layers)
+        bare = inside.where("layer IS NULL").select("node")
+        unproven = bool(self.config.forbid) and (n["layered"] < n["modules"] or n["governed"] < n["edges"])
+        return n | {"unlayered": bare, "hints": hints, "unproven": unproven}
+
+    def snapshot(self) -> dict[str, DataFrame]:
+        """The parts of a snapshot (see sources.snapshot.KEYS) of the project as it is."""
+        found = self.check()
+        keyed = self.cycles(1).select(F.array_join("members", ",").alias("members"))
+        empty = lambda ddl: self.spark.createDataFrame([], ddl)
+        return {
+            "cycles": keyed,
+            "violations": found["violations"],
+            "reach": found.get("reach", empty("source string, within string, must_reach string, module string")),
+            "sdp": found.get("sdp", empty("src string, dst string, src_i double, dst_i double")),
+            "modules": self.nodes.select("node", "path"),
+            "rules": self.spark.createDataFrame(config.fingerprint(self.config), "kind string, rule string"),
+        }
+
+    def take(self, path: str, findings_only: bool = False) -> None:
+        """Writes the snapshot and the score to path."""
+        score = None if findings_only else {k: v for k, v in self.score().first().asDict().items()}
+        snapshot.take(path, self.snapshot(), score, findings_only)
+
+    def diff(self, path: str, top_n: int = 10) -> dict:
+        """What changed since the snapshot at path: a set difference for each part, the change of each score where both have one,
+        and the riskiest regressions and improvements."""
+        before = snapshot.load(self.spark, path)
+        if before is None:
+            raise ValueError(f"no snapshot at {path}; take one first")
+        now, diffs = self.snapshot(), {}
+        for kind in ("cycles", "violations", "sdp", "reach"):
+            old = before[kind] if kind in before else now[kind].limit(0)
+            diffs[kind] = rules.reach_diff(old, now[kind]) if kind == "reach" else rules.set_diff(old, now[kind], list(snapshot.KEYS[kind]))
+        if before["meta"].get("findings_only"):
+            del diffs["sdp"]
+        was, moved = before["meta"].get("score"), {}
+        if was:
+            score = self.score().first().asDict()
+            moved = {k: score[k] - was[k] for k in ("overall", "modularity", "acyclicity", "depth", "equality", "complexity")}
+        items = contracts.diff_items({k: d.withColumn("members", F.split("members", ",")) if k == "cycles" else d for k, d in diffs.items()})
+        parts = {k: v for k, v in moved.items() if k != "overall"}
+        return diffs | {"score": moved, "regressions": contracts.diff_summary(items, self.risk(), parts, top_n, "added"), "improvements": contracts.diff_summary(items, self.risk(), parts, top_n, "resolved")}
+
+    def strict(self, path: str) -> dict:
+        """Whether cycles, violations or weaker rules are new against the snapshot at path: refused (why no verdict is possible, or
+        None), passed, cycles (members, closing edges), violations, weakened rules, and how many findings were carried."""
+        problem = strict_baseline_problem(path)
+        before = None if problem else snapshot.load(self.spark, path)
+        if before is None or "modules" not in before:
+            return {"refused": problem or f"no snapshot with modules at {path}", "passed": False}
+        now, text = self.snapshot(), "src string, dst string, from_layer string, to_layer string"
+        old_v = before["violations"] if "violations" in before else self.spark.createDataFrame([], text)
+        pairs = self.spark.createDataFrame(self.config.forbid, "from_layer string, to_layer string")
+        if not old_v.isEmpty():
+            dropped = rules.ungoverned(old_v, self.nodes, self.layered, pairs).count()
+            if dropped:
+                return {"refused": f"the rules no longer cover {dropped} violations of the snapshot whose modules still exist", "passed": False}
+        listed = before["cycles"].select(F.split("members", ",").alias("m")) if "cycles" in before else self.spark.createDataFrame([], "m array<string>")
+        base = cut(listed.select(F.element_at("m", 1).alias("scc"), F.explode("m").alias("node")))
+        cyclic = cut(self.sccs.where("cyclic").select("scc", "node"))
+        known = before["modules"].select("node")
+        # A baseline names members, not edges; the self-loops it had are its cycles of one.
+        loops = listed.where(F.size("m") == 1).select(F.element_at("m", 1).alias("node"))
+        judged = cut(rules.ratchet_cycles(base, cyclic, known, loops))
+        fresh = judged.where("NOT carried").select(F.col("scc").alias("f"))
+        new = cyclic.join(fresh, cyclic["scc"] == fresh["f"], "left_semi")
+        closing = rules.closing_edges(new, self.edges, base, loops.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+        kept = rules.ratchet_violations(old_v, now["violations"])
+        have = before["rules"] if "rules" in before else None
+        recorded = None if have is None else [(r["kind"], r["rule"]) for r in have.collect()]  # one row a rule
+        weaker = None if recorded is None else self.spark.createDataFrame(config.weakened_since(recorded, self.config), "kind string, rule string")
+        out = {"refused": None, "cycles": new.groupBy("scc").agg(F.sort_array(F.collect_list("node")).alias("members")), "closing": closing, "violations": kept.where("NOT carried").drop("carried"), "weakened": weaker, "carried_cycles": judged.where("carried").count(), "carried_violations": kept.where("carried").count()}
+        out["hint"] = None if have is not None else "the snapshot records no rules, so weaker rules go unseen; take it anew"
+        out["passed"] = out["cycles"].isEmpty() and out["violations"].isEmpty() and (weaker is None or weaker.isEmpty())
+        return out
+
     def changes(self, since: str | None = None) -> DataFrame:
         """commit_id, file of Python files under their last names."""
         if self.log is None:
@@ -164,14 +309,24 @@ class Project:
         return behavior.near_miss(self.functions, bags, threshold, min_size)
 
     def simulate(self, add: list[tuple[str, str]], remove: list[tuple[str, str]]) -> dict:
-        """The graph after a delta: outcome of each part, diff of edges, new cycles and back edges, change of propagation."""
-        frame = lambda x: self.spark.createDataFrame(x, "src string, dst string")
-        after = cut(rules.simulate(self.edges, frame(add), frame(remove)))
+        """The graph after a delta: outcome of each part and how much was answered, hints for ends that are no modules, diff of
+        edges, new cycles and back edges, changes of violations and propagation. Ends are names or paths."""
+        ends = {n for pair in (*add, *remove) for n in pair}
+        paths = {r["path"]: r["node"] for r in self.nodes.where(F.col("path").isin(*ends)).select("path", "node").collect()} if ends else {}
+        frame = lambda x: self.spark.createDataFrame([tuple(paths.get(n, n) for n in pair) for pair in x], "src string, dst string")
+        known = lambda x: graph.induced(frame(x), self.nodes)
+        if not add and not remove:
+            raise ValueError("a delta adds or removes at least one edge")
+        applied = self.edges.select("src", "dst", "call_count") if known([*add, *remove]).isEmpty() else rules.simulate(self.edges, known(add), known(remove))
+        after, pairs = cut(applied), self.spark.createDataFrame(self.config.forbid, "from_layer string, to_layer string")
         sccs = cut(graph.scc(self.nodes, after))
         mean = lambda e: graph.propagation(self.nodes, graph.closure(e)).agg(F.avg("propagation")).first()[0]
         keyed = lambda c: c.select(F.array_join("members", ",").alias("members"))
         return {
-            "outcomes": rules.classify_delta(self.edges, self.nodes, frame(add), frame(remove)),
+            "outcomes": (outcomes := cut(rules.classify_delta(self.edges, self.nodes, frame(add), frame(remove)))),
+            "coverage": rules.delta_coverage(outcomes).first().asDict(),
+            "unresolved": {n: self._hints(n) for n in self._resolved(sorted(ends))[1]},
+            "violations": rules.set_diff(rules.violations(self.edges, self.layered, pairs), rules.violations(after, self.layered, pairs), list(snapshot.KEYS["violations"])),
             "edges": rules.set_diff(self.edges, after, ["src", "dst"]),
             "cycles": rules.set_diff(keyed(self.cycles()), keyed(graph.cycles(sccs, after)), ["members"]),
             "back_edges": rules.set_diff(rules.back_edges(self.edges, self.sccs), rules.back_edges(after, sccs), ["src", "dst"]).where("change = 'added'"),

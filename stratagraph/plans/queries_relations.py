@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.globs import file_glob
 from ..operators import behavior as b
 from ..operators import census, rules, stats
@@ -86,10 +87,10 @@ def _(s, d):
     return b.hints(k, n.where("node IN (1, 2, 3)"), n.where("node IN (4, 5)")).withColumn("confidence", r6("confidence"))
 
 
-@q("b5_refactor", f"WITH {x.F7}, h AS (SELECT module, cc_sum * churn AS hs FROM ch WHERE cc_sum > 0 AND churn > 0 AND module % 3 = 0), r AS (SELECT p_partkey AS rm, (p_partkey % 100) / 100 AS rs FROM part WHERE p_partkey % 2 = 0), j AS (SELECT coalesce(module, rm) AS module, hs, coalesce(rs, 0) AS risk FROM h FULL JOIN r ON module = rm), k AS (SELECT * FROM j WHERE hs IS NOT NULL OR risk >= 0.15), m AS (SELECT max(hs) AS mh, max(risk) AS mr FROM k) SELECT module, coalesce(hs, 0) AS hotspot, risk, round(coalesce(hs / mh, 0) + risk / mr, 6) AS priority, CASE WHEN coalesce(hs >= 0.05 * mh, false) AND risk >= 0.15 THEN 'fused' WHEN coalesce(hs >= 0.05 * mh, false) THEN 'behavioral' WHEN risk >= 0.15 THEN 'structural' ELSE 'weak' END AS lens FROM k, m")
+@q("b5_refactor", f"WITH {x.F7}, h AS (SELECT module, cc_sum * churn AS hs FROM ch WHERE cc_sum > 0 AND churn > 0), r AS (SELECT p_partkey AS rm, (p_partkey % 100) / 100 AS rs FROM part), j AS (SELECT coalesce(module, rm) AS module, hs, coalesce(rs, 0) AS risk FROM h FULL JOIN r ON module = rm), k AS (SELECT * FROM j WHERE hs IS NOT NULL OR risk >= 0.15), m AS (SELECT max(hs) AS mh, max(risk) AS mr FROM k) SELECT module, coalesce(hs, 0) AS hotspot, risk, round(coalesce(hs / mh, 0) + risk / mr, 6) AS priority, CASE WHEN coalesce(hs >= 0.05 * mh, false) AND risk >= 0.15 THEN 'fused' WHEN coalesce(hs >= 0.05 * mh, false) THEN 'behavioral' WHEN risk >= 0.15 THEN 'structural' ELSE 'weak' END AS lens FROM k, m")
 def _(s, d):
-    h = b.hotspots(x.churn(s, d)).where("module % 3 = 0")
-    r = t(s, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 100 / 100).alias("risk"))
+    h = b.hotspots(x.churn(s, d))
+    r = t(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 100 / 100).alias("risk"))
     return b.refactor_priorities(h, r).withColumn("priority", r6("priority"))
 
 
@@ -98,39 +99,29 @@ def _(s, d):
     return Q["b5_refactor"](s, d).groupBy("lens").agg(F.count("*").alias("n"))
 
 
-@q("b5_refactor_all", S["b5_refactor"].replace(" AND module % 3 = 0", "").replace(" WHERE p_partkey % 2 = 0", ""))
-def _(s, d):
-    r = t(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 100 / 100).alias("risk"))
-    return b.refactor_priorities(b.hotspots(x.churn(s, d)), r).withColumn("priority", r6("priority"))
+DUP = f"WITH {x.F8}, c AS (SELECT shape_hash, count(*) AS members, min(size) AS size, count(DISTINCT concrete_hash) = 1 AS exact, bool_and(decorator = 'typing.overload') AS overload, bool_and(decorator = 'property' AND is_trivial) AS property, bool_and(regexp_matches(path, '(^|/)(vendored|third_party)/')) AS vendored, bool_and(regexp_matches(path, '(^|/)tests/|(^|/)test_[^/]*$')) AS test, bool_and(is_trivial) AS trivial, bool_and(contains(qualified_name, '.')) AND count(DISTINCT module || ':' || split_part(qualified_name, '.', 1)) = 1 AS same_class FROM fn WHERE size >= 30 GROUP BY 1 HAVING count(*) >= 2)"
+VARIANT = "CASE WHEN overload THEN 'overload' WHEN property THEN 'property' WHEN vendored THEN 'vendored' WHEN test THEN 'test' WHEN trivial THEN 'trivial' WHEN same_class THEN 'same_class' ELSE 'none' END"
 
 
-@q("b6_lens_counts_all", S["b6_lens_counts"].replace(" AND module % 3 = 0", "").replace(" WHERE p_partkey % 2 = 0", ""))
-def _(s, d):
-    return Q["b5_refactor_all"](s, d).groupBy("lens").agg(F.count("*").alias("n"))
-
-
-DUP = f"WITH {x.F8}, c AS (SELECT shape_hash, count(*) AS members, min(size) AS size, count(DISTINCT concrete_hash) = 1 AS exact, count(DISTINCT module) = 1 AS same_module FROM fn WHERE size >= 30 GROUP BY 1 HAVING count(*) >= 2)"
-
-
-@q("d1_exact_clusters", DUP + " SELECT shape_hash, members, size, exact, same_module, false AS test, false AS vendored, size * (members - 1) AS redundancy FROM c")
+@q("d1_exact_clusters", DUP + " SELECT *, size * (members - 1) AS redundancy FROM c")
 def _(s, d):
     return b.exact_clusters(x.functions(s, d))
 
 
-@q("d2_same_class", DUP + " SELECT same_module, count(*) AS clusters, sum(members)::BIGINT AS members FROM c GROUP BY 1")
+@q("d2_same_class", DUP + " SELECT same_class, count(*) AS clusters, sum(members)::BIGINT AS members FROM c GROUP BY 1")
 def _(s, d):
-    return b.exact_clusters(x.functions(s, d)).groupBy("same_module").agg(F.count("*").alias("clusters"), F.sum("members").alias("members"))
+    return b.exact_clusters(x.functions(s, d)).groupBy("same_class").agg(F.count("*").alias("clusters"), F.sum("members").alias("members"))
 
 
-@q("d3_variants", DUP + " SELECT coalesce(CASE WHEN same_module THEN 'same_class' END, 'none') AS variant, exact, count(*) AS n FROM c GROUP BY 1, 2")
+@q("d3_variants", DUP + f" SELECT {VARIANT} AS variant, exact, count(*) AS n FROM c GROUP BY 1, 2")
 def _(s, d):
     return b.variant(b.exact_clusters(x.functions(s, d))).groupBy(F.coalesce("variant", F.lit("none")).alias("variant"), "exact").agg(F.count("*").alias("n"))
 
 
-@q("d4_independent", "WITH ch AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS f FROM lineitem), m AS (SELECT s_nationkey AS cluster, s_suppkey AS file FROM supplier), n AS (SELECT f, count(*) AS n FROM ch GROUP BY 1), per AS (SELECT cluster, count(*) AS files, bool_and(coalesce(n, 0) >= 5) AS known FROM m LEFT JOIN n ON file = f GROUP BY 1), p AS (SELECT u.f AS a, v.f AS b, count(*) AS k FROM ch u JOIN ch v ON u.o = v.o AND u.f < v.f GROUP BY 1, 2), tied AS (SELECT DISTINCT ma.cluster FROM p JOIN n na ON a = na.f JOIN n nb ON b = nb.f JOIN m ma ON a = ma.file JOIN m mb ON b = mb.file AND ma.cluster = mb.cluster WHERE k >= 3 AND k / least(na.n, nb.n) >= 0.02) SELECT cluster::BIGINT AS cluster, files >= 2 AND known AND cluster NOT IN (FROM tied) AS independent FROM per")
+@q("d4_independent", f"WITH {CAP}, m AS (SELECT s_nationkey AS cluster, s_suppkey AS file FROM supplier), per AS (SELECT cluster, count(*) AS files, bool_and(coalesce(n, 0) >= 5) AS known FROM m LEFT JOIN n ON file = f GROUP BY 1), tied AS (SELECT DISTINCT ma.cluster FROM p JOIN n na ON a = na.f JOIN n nb ON b = nb.f JOIN m ma ON a = ma.file JOIN m mb ON b = mb.file AND ma.cluster = mb.cluster WHERE support >= 3 AND support / least(na.n, nb.n) >= 0.02) SELECT cluster::BIGINT AS cluster, files >= 2 AND known AND cluster NOT IN (FROM tied) AS independent FROM per")
 def _(s, d):
     m = x.suppliers(s, d).select(F.col("grp").alias("cluster"), F.col("node").alias("file"))
-    return b.independent_clusters(m, x.order_suppliers(s, d), 3, 0.02, 5)
+    return b.independent_clusters(m, x.order_suppliers(s, d), 3, 0.02, 5, 6)
 
 
 @q("d6_tier_totals", DUP + " SELECT count(*) AS clusters, count(*) FILTER (exact) AS exact, sum(members)::BIGINT AS members, sum(size * (members - 1))::BIGINT AS redundancy FROM c")
@@ -139,11 +130,11 @@ def _(s, d):
     return c.agg(F.count("*").alias("clusters"), F.count_if("exact").alias("exact"), F.sum("members").alias("members"), F.sum("redundancy").alias("redundancy"))
 
 
-BAGS = "bag AS (SELECT o AS id, f AS token, count(*) AS n FROM (SELECT l_orderkey AS o, l_suppkey % 20 AS f FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY 1, 2)"
+BAGS = "bag AS (SELECT o AS id, f AS token, count(*) AS n FROM (SELECT l_orderkey AS o, l_suppkey AS f FROM lineitem) GROUP BY 1, 2)"
 
 
-def order_bags(s, d, which="l_orderkey % 5 = 0"):
-    return t(s, d, "lineitem").where(which).groupBy(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 20).alias("token")).agg(F.count("*").alias("n"))
+def order_bags(s, d):
+    return t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("token")).agg(F.count("*").alias("n"))
 
 
 @q("a13_bag_jaccard", f"WITH {BAGS}, sz AS (SELECT id, sum(n) AS s FROM bag GROUP BY 1), i AS (SELECT u.id AS a, v.id AS b, sum(least(u.n, v.n)) AS i FROM bag u JOIN bag v ON u.token = v.token AND u.id < v.id GROUP BY 1, 2) SELECT a, b, round(i / (sa.s + sb.s - i), 6) AS similarity FROM i JOIN sz sa ON a = sa.id JOIN sz sb ON b = sb.id WHERE i / (sa.s + sb.s - i) >= 0.8")
@@ -151,11 +142,6 @@ def _(s, d):
     return b.bag_similarity(order_bags(s, d), 0.8).withColumn("similarity", r6("similarity"))
 
 
-@q("a13_bag_jaccard_all")
-def _(s, d):
-    return b.bag_similarity(order_bags(s, d, "true"), 0.8).withColumn("similarity", r6("similarity"))
-
-
 @q("d5_near_miss")
 def _(s, d):
     f = x.functions(s, d)
@@ -163,12 +149,7 @@ def _(s, d):
     return b.near_miss(f, tokens)
 
 
-@q("j5_band_join", "SELECT u.p_partkey AS a, v.p_partkey AS b FROM part u JOIN part v ON u.p_partkey % 10 = 3 AND v.p_partkey % 10 = 3 AND u.p_size >= 0.85 * v.p_size AND (u.p_size < v.p_size OR (u.p_size = v.p_size AND u.p_partkey < v.p_partkey))")
-def _(s, d):
-    return b.band_pairs(t(s, d, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size")))
-
-
-@q("j5_band_join_all")
+@q("j5_band_join", "SELECT u.p_partkey AS a, v.p_partkey AS b FROM part u JOIN part v ON u.p_size >= 0.85 * v.p_size AND (u.p_size < v.p_size OR (u.p_size = v.p_size AND u.p_partkey < v.p_partkey))")
 def _(s, d):
     return b.band_pairs(t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size")))
 
@@ -236,23 +217,46 @@ def _(s, d):
     return census.consumers(t(s, d, "lineitem").select(F.col("l_returnflag").alias("home"), F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("importer")))
 
 
-@q("c6_import_homes", "WITH d AS (SELECT p_name, count(DISTINCT p_brand) AS k, min(p_brand) AS o FROM part WHERE p_partkey % 40 = 0 GROUP BY 1) SELECT p.p_name AS name, coalesce(CASE WHEN p_partkey % 7 = 0 THEN p_brand END, CASE WHEN k = 1 THEN o END) AS home FROM part p LEFT JOIN d ON p.p_name = d.p_name")
+@q("c6_import_homes", "WITH d AS (SELECT p_name, count(DISTINCT p_brand) AS k, min(p_brand) AS o FROM part GROUP BY 1) SELECT p.p_name AS name, coalesce(CASE WHEN p_partkey % 7 = 0 THEN p_brand END, CASE WHEN k = 1 THEN o END) AS home FROM part p LEFT JOIN d ON p.p_name = d.p_name")
 def _(s, d):
     p = t(s, d, "part")
-    return census.import_homes(p.select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).alias("source")), p.where("p_partkey % 40 = 0").select(F.col("p_name").alias("name"), F.col("p_brand").alias("module")))
+    return census.import_homes(p.select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).alias("source")), p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("module")))
 
 
-@q("c9_partial_coverage", "WITH e AS (SELECT DISTINCT p_type AS grp, p_brand AS name FROM part), f AS (SELECT DISTINCT p_brand FROM part WHERE p_size > 40 AND p_partkey % 3 = 0) SELECT grp, count(*) AS n, count(f.p_brand) AS covered, coalesce(string_agg(name, ',' ORDER BY name) FILTER (f.p_brand IS NULL), '') AS missing FROM e LEFT JOIN f ON name = f.p_brand GROUP BY 1 HAVING count(f.p_brand) >= 0.5 * count(*) AND count(f.p_brand) < count(*)")
+@q("c9_partial_coverage", "WITH e AS (SELECT DISTINCT p_type AS grp, p_brand AS name FROM part), f AS (SELECT DISTINCT p_brand FROM part WHERE p_brand < 'Brand#35') SELECT grp, count(*) AS n, count(f.p_brand) AS covered, coalesce(string_agg(name, ',' ORDER BY name) FILTER (f.p_brand IS NULL), '') AS missing FROM e LEFT JOIN f ON name = f.p_brand GROUP BY 1 HAVING count(f.p_brand) >= 0.5 * count(*) AND count(f.p_brand) < count(*)")
 def _(s, d):
     p = t(s, d, "part")
-    return census.partly_covered(p.select(F.col("p_type").alias("grp"), F.col("p_brand").alias("name")), p.where("p_size > 40 AND p_partkey % 3 = 0").select(F.col("p_brand").alias("name")))
+    return census.partly_covered(p.select(F.col("p_type").alias("grp"), F.col("p_brand").alias("name")), p.where("p_brand < 'Brand#35'").select(F.col("p_brand").alias("name")))
 
 
-@q("c10_partition", "SELECT part, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'test' WHEN doc_id % 5 = 0 THEN 'nonsource' WHEN doc_id % 3 = 0 THEN 'shadowed' ELSE 'censused' END AS part FROM documents) GROUP BY 1")
-def _(s, d):
+NAMES = "nm AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pkg.tests.' WHEN 1 THEN '.tools.' WHEN 2 THEN 'pkg.v1.' WHEN 3 THEN 'pkg.' WHEN 4 THEN 'pkg.v1.sub.' ELSE 'pkg.sub.' END || source || doc_id % 13 AS q FROM documents)"
+
+
+def dotted_names(s, d):
     i = F.col("doc_id")
-    path = F.concat(F.lit("src/"), F.when(i % 7 == 0, "tests/").when(i % 5 == 0, "docs/").otherwise("lib/"), F.col("source"), F.lit(".py"))
-    return t(s, d, "documents").groupBy(census.partition_of(path, i % 3 == 0).alias("part")).agg(F.count("*").alias("n"))
+    lead = F.element_at(F.array(*[F.lit(p) for p in ("pkg.tests.", ".tools.", "pkg.v1.", "pkg.", "pkg.v1.sub.", "pkg.sub.")]), (i % 6 + 1).cast("int"))
+    return t(s, d, "documents").select("doc_id", F.concat(lead, "source", (i % 13).cast("string")).alias("node"))
+
+
+SHADOW = NAMES + ", u AS (SELECT DISTINCT q, string_split(q, '.') AS p FROM nm), i AS (SELECT DISTINCT p[1] AS top, p[1] || '.' || p[2] AS root, array_to_string(p[3:], '.') AS x FROM u WHERE len(p) >= 3), z AS (SELECT root, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM u WHERE p[1] = top AND q = top || '.' || x AND NOT starts_with(q, root || '.'))) AS k FROM i GROUP BY 1), sh AS (SELECT root FROM z WHERE n >= 5 AND k >= 0.5 * n)"
+
+
+@q("c10_shadow_roots", f"WITH {SHADOW} SELECT root FROM sh")
+def _(s, d):
+    return census.shadow_roots(dotted_names(s, d))
+
+
+@q("c10_partition", f"WITH {SHADOW} SELECT part, count(*) AS n FROM (SELECT CASE WHEN q[1] = '.' THEN 'nonsource' WHEN regexp_matches(q, '(^|\\.)tests\\.') THEN 'test' WHEN EXISTS (SELECT 1 FROM sh WHERE starts_with(q, root || '.')) THEN 'shadowed' ELSE 'censused' END AS part FROM nm) GROUP BY 1")
+def _(s, d):
+    n = dotted_names(s, d)
+    roots = census.shadow_roots(n)
+    n = n.join(F.broadcast(roots), F.startswith(n["node"], F.concat(roots["root"], F.lit("."))), "left")  # a few packages
+    return n.groupBy(census.partition_of(F.col("node"), F.col("root").isNotNull()).alias("part")).agg(F.count("*").alias("n"))
+
+
+@q("x6_doc_names", "WITH h AS (SELECT page_id, list_concat(regexp_extract_all(html, '`{1,2}\\s*([A-Za-z_][\\w.-]*)\\s*`{1,2}', 1), list_concat(regexp_extract_all(' ' || regexp_replace(html, '[^\\w-]', '  ', 'g') || ' ', '[^\\w-]([a-z][a-z0-9]*(?:-[a-z0-9]+)+)[^\\w-]', 1), regexp_extract_all(html, '\\[([A-Za-z_][\\w.-]*)\\]', 1))) AS v FROM pages) SELECT page_id, len(list_distinct(list_transform(v, lambda z: string_split(z, '.')[-1])))::INTEGER AS names FROM h")
+def _(s, d):
+    return t(s, d, "pages").select("page_id", F.size(census.doc_names(F.col("html"))).alias("names"))
 
 
 @q("x6_doc_links", "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) SELECT page_id, count(*) AS links, count(DISTINCT link) AS names FROM h GROUP BY 1")
@@ -266,14 +270,31 @@ def _(s, d):
     return t(s, d, "pages").groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(10)
 
 
-@q("f7_file_glob", f"WITH {x.F8} SELECT path, count(*) AS n FROM fn WHERE regexp_full_match(path, '([^/]+/)*src1[^/]*\\.py') GROUP BY 1")
+quoted = lambda xs: "[" + ", ".join(f"'{v}'" for v in xs) + "]"
+GLOBS = {"**/*.py": "([^/]+/)*[^/]*\\.py", "src/**": "src/.*", "src/**.py": "src/[^/]*\\.py", "s*/d?/**/web*": "s[^/]*/d[^/]/([^/]+/)*web[^/]*", "*.py": "[^/]*\\.py"}
+
+
+@q("f7_file_glob", f"WITH {x.F8}, g AS (SELECT unnest({quoted(GLOBS)}) AS pattern, unnest({quoted(GLOBS.values())}) AS re) SELECT pattern, count(*) FILTER (regexp_full_match(path, re)) AS n FROM fn, g GROUP BY 1")
 def _(s, d):
-    return x.functions(s, d).where(F.col("path").rlike(file_glob("**/src1*.py"))).groupBy("path").agg(F.count("*").alias("n"))
+    p = x.functions(s, d)
+    each = F.array(*[F.struct(F.lit(k).alias("pattern"), F.col("path").rlike(file_glob(k)).alias("hit")) for k in GLOBS])
+    return p.select(F.explode(each).alias("g")).groupBy("g.pattern").agg(F.count_if("g.hit").alias("n"))
 
 
-@q("f8_test_paths", f"WITH {x.F8} SELECT module, count(*) FILTER (path LIKE '%/de/%') AS n FROM fn GROUP BY 1")
+@q("f8_test_paths", f"WITH {x.F8} SELECT path, regexp_matches(path, '(^|/)(tests?/|test_[^/]*$|[^/]*_test\\.py$|conftest\\.py$)') AS code, regexp_matches(path, '(^|/)(tests/|(test_[^/]*|[^/]*_test)\\.py$)') AS run, regexp_matches(path, '(^|/)(tests/|test_[^/]*$|[^/]*_test\\.py$)') AS scan, count(*) AS n FROM fn WHERE path IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return x.functions(s, d).groupBy("module").agg(F.count_if(F.arrays_overlap(F.split("path", "/"), F.array(F.lit("de")))).alias("n"))
+    p = x.functions(s, d).where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"))
+    return p.select("path", paths.is_test_code(F.col("path")).alias("code"), paths.is_run_test(F.col("path")).alias("run"), paths.is_conventional_test(F.col("path")).alias("scan"), "n")
+
+
+@q("f8_test_modules", f"WITH {NAMES} SELECT q AS node, regexp_matches(q, '(^|\\.)tests\\.') AS test FROM (SELECT DISTINCT q FROM nm WHERE q IS NOT NULL)")
+def _(s, d):
+    return dotted_names(s, d).where("node IS NOT NULL").select("node", paths.is_test_module(F.col("node")).alias("test")).distinct()
+
+
+@q("f9_vendored", f"WITH {x.F8} SELECT count(*) FILTER (regexp_matches(path, '(^|/)(vendored|third_party)/')) AS vendored, count(*) AS n FROM fn")
+def _(s, d):
+    return x.functions(s, d).agg(F.count_if(paths.is_vendored(F.col("path"))).alias("vendored"), F.count("*").alias("n"))
 
 
 @q("f12_changed_files", "SELECT k AS changed, CASE WHEN p_partkey IS NULL THEN 'unresolved' WHEN p_size > 40 THEN 'deleted' ELSE 'resolved' END AS state FROM (SELECT DISTINCT o_custkey AS k FROM orders) LEFT JOIN part ON p_partkey = k * 3")
@@ -318,7 +339,7 @@ def _(s, d):
 @q("r4_coverage", f"WITH {LAYERED}, {FORBID}, u AS (SELECT fl FROM f UNION SELECT tl FROM f), l AS (SELECT node, CASE WHEN node % 5 = 0 THEN NULL ELSE layer END AS layer FROM n) SELECT (SELECT count(*) FROM l) AS modules, (SELECT count(layer) FROM l) AS layered, (SELECT count(*) FROM l WHERE layer IN (FROM u)) AS ruled, count(*) AS edges, count(*) FILTER (a.layer IS NOT NULL AND b.layer IS NOT NULL) AS governed, round(count(*) FILTER (a.layer IS NOT NULL AND b.layer IS NOT NULL) / count(*), 6) AS coverage FROM trade JOIN l a ON src = a.node JOIN l b ON dst = b.node")
 def _(s, d):
     lay = layered(s, d).withColumn("layer", F.when(F.col("node") % 5 != 0, F.col("layer")))
-    return rules.coverage(x.trade_graph(s, d), lay, forbid(s, d)).withColumn("coverage", r6("coverage"))
+    return rules.coverage(x.trade_graph(s, d), lay, forbid(s, d)).withColumn("coverage", r6("coverage")).drop("external_governed")
 
 
 @q("a9_layer_sizes", "SELECT r_name AS layer, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 10 GROUP BY 1 UNION ALL SELECT 'EMPTY', 0")
@@ -401,13 +422,7 @@ def _(s, d):
     return h.crossJoin(F.broadcast(h.agg(F.max("score").alias("top")))).select("module", r6(F.col("score") / F.col("top")).alias("part"))
 
 
-@q("w10_carry_forward", "SELECT event_id, (SELECT max(o.event_id) FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'view' AND o.event_id <= e.event_id) AS header FROM events e WHERE user_id < 20")
-def _(s, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(s, d, "events").where("user_id < 20").select("event_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
-
-
-@q("w10_carry_forward_all", "SELECT event_id, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")
+@q("w10_carry_forward", "SELECT event_id, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")
 def _(s, d):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     return t(s, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
@@ -485,7 +500,7 @@ def _(s, d):
 
 @q("t5_bootstrap")
 def _(s, d):
-    return stats.cluster_bootstrap(t(s, d, "part"), "p_brand", "p_size", 200)
+    return stats.cluster_bootstrap(t(s, d, "part"), "p_brand", "p_size")
 
 
 @q("t15_aggregators", "WITH a AS (SELECT p_partkey, [p_size / 50, (p_partkey % 10 + 1) / 10, 0.5] AS v FROM part) SELECT p_partkey, round(list_avg(v), 6) AS arith, round(list_min(v), 6) AS least, round(pow(list_product(v), 1.0 / 3), 6) AS geo, round(3 / list_sum(list_transform(v, lambda z: 1 / z)), 6) AS harmonic FROM a")

@@ -11,11 +11,11 @@ import yaml
 from ..functions.globs import covers, dotted_glob, roots
 
 _KEYS = {
-    "": ("layers", "forbid", "required", "sdp", "roots", "exclude", "max_modules", "min_layers", "exclude_type_checking"),
+    "": ("layers", "forbid", "required", "sdp", "roots", "exclude", "max_modules", "min_layers_present", "exclude_type_checking_imports"),
     "layers": ("name", "modules"),
     "forbid": ("from", "to"),
     "required": ("source", "must_reach", "reason", "within"),
-    "sdp": ("mode", "tolerance"),
+    "sdp": ("enabled", "mode", "tolerance"),
 }
 
 
@@ -24,7 +24,7 @@ class Config:
     layers: dict[str, list[str]] = field(default_factory=dict)
     forbid: list[tuple[str, str]] = field(default_factory=list)
     required: list[dict] = field(default_factory=list)
-    sdp_mode: str = "error"
+    sdp_mode: str = "off"
     sdp_tolerance: float = 0.0
     roots: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
@@ -70,16 +70,21 @@ def parse(text: str) -> Config:
         for k in ("source", "must_reach"):
             dotted_glob(x[k])
     sdp = raw.get("sdp") or {}
-    sdp = {"mode": sdp} if isinstance(sdp, str) else sdp
     _known(sdp, "sdp")
-    if sdp.get("mode", "error") not in ("error", "warn", "off"):
-        raise ValueError("sdp mode is error, warn or off")
+    if sdp.get("mode", "error") not in ("error", "warn"):
+        raise ValueError("sdp mode is error or warn")
+    if not isinstance(sdp.get("enabled", False), bool):
+        raise ValueError("sdp.enabled is true or false")
+    mode = sdp.get("mode", "error") if sdp.get("enabled", False) else "off"
+    for x in raw.get("exclude") or []:
+        if any(c in x for c in "/\\*?["):
+            raise ValueError(f"exclude names directories, so {x!r} matches none")
     if not 0 <= float(sdp.get("tolerance", 0.0)) <= 1:
         raise ValueError("tolerance is in [0, 1]")
-    floor = raw.get("min_layers")
+    floor = raw.get("min_layers_present")
     if floor is not None and not 0 < floor <= len(layers):
-        raise ValueError("min_layers is between 1 and the number of layers")
-    return Config(layers, forbid, list(raw.get("required") or []), sdp.get("mode", "error"), float(sdp.get("tolerance", 0.0)), tuple(raw.get("roots") or ()), tuple(raw.get("exclude") or ()), int(raw.get("max_modules", 10_000)), floor, bool(raw.get("exclude_type_checking", False)))
+        raise ValueError("min_layers_present is between 1 and the number of layers")
+    return Config(layers, forbid, list(raw.get("required") or []), mode, float(sdp.get("tolerance", 0.0)), tuple(raw.get("roots") or ()), tuple(raw.get("exclude") or ()), int(raw.get("max_modules", 10_000)), floor, bool(raw.get("exclude_type_checking_imports", False)))
 
 
 def discover(start: str, name: str = "layers.yaml") -> str | None:
@@ -106,3 +111,16 @@ def weakened(before: Config, after: Config) -> list[tuple[str, str]]:
     out += [("required", f"{r['source']} => {r['must_reach']}") for r in before.required if same(r) not in kept]
     out += [("exclude", e) for e in after.exclude if e not in before.exclude] + [("root", r) for r in after.roots if r not in before.roots]
     return sorted(out)
+
+
+def weakened_since(before: list[tuple[str, str]], after: Config) -> list[tuple[str, str]]:
+    """weakened() against the fingerprint of an earlier configuration."""
+    now, out = set(fingerprint(after)), []
+    for kind, rule in before:
+        if kind == "layer":
+            name, _, pattern = rule.partition(": ")
+            if not any(covers(q, pattern) for q in after.layers.get(name, [])):
+                out.append((kind, rule))
+        elif kind in ("forbid", "required") and (kind, rule) not in now:
+            out.append((kind, rule))
+    return sorted(out + [r for r in now if r[0] in ("exclude", "root") and r not in set(before)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,24 @@ def export(root: str, out: str, since: str | None = None) -> str:
         found = subprocess.run(["git", "-C", root, "rev-parse", "--verify", "--quiet", f"{since}^{{commit}}"], capture_output=True, text=True)
         if found.returncode == 0:
             window = [f"{since}..HEAD"]
-        elif any(c.isdigit() for c in since):
-            window = [f"--since={since}"]
         else:
-            raise ValueError(f"{since!r} is neither a ref nor a date")
+            window = [f"--since={_date(root, since)}"]
     with open(out, "wb") as f:
         subprocess.run(["git", "-C", root, "log", "-M", "--name-status", FORMAT, *window], stdout=f, check=True)
     return out
 
 
+def _date(root: str, since: str) -> str:
+    """since, if git reads a date out of it. Git takes what it can't read for the present moment, so that is refused unless it is
+    what since says."""
+    told = subprocess.run(["git", "-C", root, "rev-parse", f"--since={since}"], capture_output=True, text=True).stdout.strip()
+    age = told.partition("=")[2]
+    present = since.strip().lower() in ("now", "today", "0 seconds ago")
+    if not age.isdigit() or (abs(int(age) - time.time()) <= 5 and not present):
+        raise ValueError(f"{since!r} is neither a ref nor a date")
+    return since
+
+
 def head(root: str) -> tuple[str | None, str | None]:
     """(commit, branch) of the repository at root; a detached head has no branch, no repository neither."""
     ask = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import is_conventional_test
+
 #: Directories that are skipped at any depth, and those skipped only where they are no package.
 HARD_IGNORED = ("__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs", ".git", ".venv", "node_modules")
 SOFT_IGNORED = ("build", "dist", "venv", "site-packages")
@@ -21,7 +25,11 @@ functions array<struct<name:string,qualified_name:string,line:int,end_line:int,c
 classes array<struct<name:string,qualified_name:string,line:int,bases:array<string>,frozen:boolean,n_fields:int,n_tuple:int,n_list:int>>,
 constants array<struct<cls:string,name:string,value:string>>,
 assigned array<struct<name:string,ctor:string,listed:array<string>>>,
-raised array<struct<scope:string,error:string,line:int>>"""
+raised array<struct<scope:string,error:string,line:int>>,
+gates array<struct<function:string,category:string,kind:string,code:int,control:string,is_command:boolean>>"""
+#: What documentation is, and the size from which it is left out.
+DOC_SUFFIXES = (".rst", ".md")
+DOC_MOST = 2_000_000
 
 
 def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
@@ -100,7 +108,7 @@ def modules(found: DataFrame, root_name: str = "", roots: tuple[str, ...] = (),
     above = F.when(F.col("top").contains("/"), F.regexp_replace("top", "[^/]+$", "")).otherwise("")
     inside = F.substring(bare, F.length(above) + 1, F.length(bare))
     own = F.when(F.col("top") == "", F.concat_ws(".", F.lit(root_name), F.when(bare != "", bare))).otherwise(inside)
-    test = F.col("rel_path").rlike(r"(^|/)test_[^/]*$|_test\.py$|(^|/)tests/") & F.forall(F.split(bare, "/"), lambda p: p.rlike(r"^[A-Za-z_]\w*$"))
+    test = is_conventional_test(F.col("rel_path")) & F.forall(F.split(bare, "/"), lambda p: p.rlike(r"^[A-Za-z_]\w*$"))
     name = F.translate(F.when(F.col("top").isNotNull(), own).when(test, bare), "/", ".")
     out = j.select(name.alias("qualname"), "rel_path", is_package.alias("is_package"), "content").where("qualname IS NOT NULL AND qualname <> ''")
     if max_modules and out.limit(max_modules + 1).count() > max_modules:
@@ -137,18 +145,107 @@ def refresh(found: DataFrame, cache: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.join(sha, fresh["qualname"] == sha["q"]).drop("q"))
 
 
-def entrypoints(facts: DataFrame, scripts: dict[str, str] | None = None) -> DataFrame:
-    """qualname, reason: main guard, a module named __main__, or a declared script (name: "module:function"); the first of
-    these reasons that holds."""
+def synced(found: DataFrame, path: str) -> DataFrame:
+    """Facts of all modules by way of the cache at path: only new and changed sources are parsed, and the cache is written anew
+    if it differs. A cache of another layout is left aside."""
+    from ..plans.iterate import cut
+
+    spark = found.sparkSession
+    empty = parsed(found.limit(0)).withColumn("sha", F.lit(""))
+    try:
+        cache = spark.read.parquet(path)
+    except AnalysisException:
+        cache = empty
+    if sorted(cache.columns) != sorted(empty.columns):
+        cache = empty
+    now = cut(refresh(found, cache.select(*empty.columns)))  # read in full before the cache is overwritten
+    now.write.mode("overwrite").parquet(path)
+    return now.drop("sha")
+
+
+def entrypoints(facts: DataFrame, scripts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """qualname, reason: main guard, a module named __main__, or a declared script (name, module); the first of these reasons
+    that holds."""
     a = facts.where("has_main_guard").select("qualname", F.lit(1).alias("k"), F.lit("main guard").alias("reason"))
     b = facts.where("split_part(qualname, '.', -1) = '__main__'").select("qualname", F.lit(2).alias("k"), F.lit("__main__ module").alias("reason"))
     out = a.unionByName(b)
     if scripts:
-        c = facts.sparkSession.createDataFrame([(v.split(":")[0], 3, f"script {k}") for k, v in scripts.items()], "qualname string, k int, reason string")
-        out = out.unionByName(c.join(facts.select(F.col("qualname").alias("q")), c["qualname"] == F.col("q"), "left_semi"))
+        out = out.unionByName(script_modules(facts, scripts).select("qualname", F.lit(3).alias("k"), F.concat(F.lit("script "), F.col("name")).alias("reason")))
     return out.groupBy("qualname").agg(F.min_by("reason", F.struct("k", "reason")).alias("reason"))
 
 
+def declared_scripts(spark: SparkSession, root: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """((name, module) of the scripts that the pyproject.toml files under root declare, files that could not be read)."""
+    found, bad = [], []
+    listed = listing(spark, root, ("pyproject.toml",)).where(F.col("rel_path").rlike("(^|/)pyproject[.]toml$"))
+    never = F.array(*[F.lit(d) for d in HARD_IGNORED])
+    listed = listed.where(~F.arrays_overlap(F.split("rel_path", "/"), never))
+    for r in with_content(listed).select("rel_path", "content").orderBy("rel_path").collect():  # a few small files
+        try:
+            data = tomllib.loads(bytes(r["content"]).decode("utf-8"))
+        except (UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
+            bad.append(f"{r['rel_path']}: {e}")
+            continue
+        project, poetry = data.get("project", {}), data.get("tool", {}).get("poetry", {})
+        for table in (project.get("scripts"), project.get("gui-scripts"), poetry.get("scripts")):
+            for name, said in (table or {}).items():
+                if isinstance(said, dict):
+                    said = said.get("reference") if said.get("type", "console") == "console" else None
+                if isinstance(said, str) and said.split(":")[0].strip():
+                    found.append((name, said.split(":")[0].strip()))
+    return sorted(set(found)), bad
+
+
+def script_modules(facts: DataFrame, scripts: list[tuple[str, str]]) -> DataFrame:
+    """qualname, name: modules that script targets (name, module) mean. A target that is no module loses leading parts, two at
+    least left, unless its first part is a name of this project."""
+    s = facts.sparkSession.createDataFrame(scripts, "name string, target string")
+    known = facts.select("qualname").distinct()
+    tops = known.select(F.substring_index("qualname", ".", 1).alias("top")).distinct()
+    s = s.join(tops, F.substring_index("target", ".", 1) == tops["top"], "left")
+    parts = F.split("target", r"\.")
+    least = F.when(F.col("top").isNull(), F.greatest(F.size(parts) - 2, F.lit(0))).otherwise(F.lit(0))
+    s = s.select("name", F.posexplode(F.transform(F.sequence(F.lit(0), least), lambda k: F.array_join(F.slice(parts, k + 1, F.size(parts)), "."))).alias("k", "q"))
+    hit = s.join(known, s["q"] == known["qualname"]).groupBy("name").agg(F.min_by("qualname", "k").alias("qualname"))
+    return hit.select("qualname", "name")
+
+
+def docs(spark: SparkSession, root: str) -> DataFrame:
+    """place, name: identifiers that the documentation under root names, by top-level directory ("." for the root's own files).
+    Files of over DOC_MOST bytes and those under ignored or dot-directories are left out."""
+    from ..operators.census import doc_names
+
+    dirs = F.slice(F.split("rel_path", "/"), F.lit(1), F.size(F.split("rel_path", "/")) - 1)
+    listed = listing(spark, root, DOC_SUFFIXES).where((F.col("length") <= DOC_MOST) & ~F.exists(dirs, lambda d: d.startswith(".") | d.isin(*HARD_IGNORED)))
+    text = F.decode("content", "UTF-8")
+    place = F.when(F.col("rel_path").contains("/"), F.substring_index("rel_path", "/", 1)).otherwise(".")
+    return with_content(listed).select(place.alias("place"), F.explode(doc_names(text)).alias("name")).distinct()
+
+
+def orphan_dirs(found: DataFrame) -> DataFrame:
+    """dir: within packages the outermost directories that hold sources but no __init__.py, so contracts over packages never see
+    them."""
+    packages = _packages(found)
+    d = found.select(F.explode(_ancestors(F.col("rel_path"))).alias("d")).distinct()
+    up = F.when(F.col("d").contains("/"), F.regexp_replace("d", "/[^/]+$", "")).otherwise("")
+    inside = d.join(packages, up == packages["pkg"], "left_semi")
+    hidden = ~F.element_at(F.split("d", "/"), -1).rlike(r"^\.|^__pycache__$")
+    return inside.where(hidden).join(packages, inside["d"] == packages["pkg"], "left_anti").select(F.col("d").alias("dir"))
+
+
+def changed_files(spark: SparkSession, root: str, named: list[str], top: str | None = None) -> DataFrame:
+    """path, state of files named by a caller or on standard input, relative to root: resolved, or deleted. A name that root has
+    not is tried from top, the root of the repository, too. Repeats count once, in the order given."""
+    rows = []
+    for n in dict.fromkeys(x.strip() for x in named if x.strip()):
+        at = n if os.path.isabs(n) else os.path.join(root, n)
+        if not os.path.exists(at) and top and not os.path.isabs(n):
+            other = os.path.realpath(os.path.join(top, n))
+            at = other if os.path.exists(other) and other.startswith(os.path.realpath(root) + os.sep) else at
+        rows.append((os.path.relpath(os.path.realpath(at), os.path.realpath(root)), "resolved" if os.path.exists(at) else "deleted"))
+    return spark.createDataFrame(rows, "path string, state string")
+
+
 def namespace_gaps(found: DataFrame, external: DataFrame) -> DataFrame:
     """node, n: external names (node) that are directories without __init__.py above scanned files."""
     packages = _packages(found)
