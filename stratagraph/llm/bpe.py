@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table, text_col
+from .common import give_back, ship, table, text_col
 
 #: Longer texts are encoded in pieces of about so many characters.
 PIECE = 100_000
@@ -117,6 +117,8 @@ def bpe_digests(docs: DataFrame, path: str | None = None, text: str = "text") ->
                 a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 b.append(hashlib.sha256(decode(enc, ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del enc
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, join_counted, shuffle_partitions, table, text_col
-from .exchange import owners_for, repeated, with_block
+from .common import Scratch, give_back, join_counted, shuffle_partitions, table, text_col
+from .exchange import merged, owners_for, repeated, with_block
 
 _GEAR = (words.mix(np.arange(7001, 7257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 #: Bytes that the rolling hash looks back on: it is of 32 bits and shifts by one a byte.
@@ -86,6 +86,7 @@ def chunked(docs: DataFrame, text: str = "text", **sizes) -> DataFrame:
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_CHUNKED)
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, hashes array<long>, digests binary, ends array<int>, heads binary, mid binary")
@@ -116,8 +117,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = 25,
     spark = docs.sparkSession
     scratch = Scratch(spark, "chunks")
     all_chunks = scratch.write(with_block(chunked(docs, text, **sizes)).withColumn("row", F.monotonically_increasing_id()), "chunks")
-    n = all_chunks.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    hits = repeated(all_chunks.select("block", F.col("row").alias("doc_id"), "hashes"), owners_for(n, shuffle_partitions(spark))).where(F.exists("hits", lambda x: x)).select(F.col("doc_id").alias("r"), "hits")
+    rows, n = (x or 0 for x in all_chunks.agg(F.count("*"), F.sum(F.size("hashes"))).first())
+    sent = merged(all_chunks.select("block", F.col("row").alias("doc_id"), "hashes"), rows, n, 4 * shuffle_partitions(spark))
+    hits = repeated(sent, owners_for(n, shuffle_partitions(spark))).where(F.exists("hits", lambda x: x)).select(F.col("doc_id").alias("r"), "hits")
     rows = all_chunks.drop("block", "hashes")
     rows = scratch.write(rows.join(hits, rows["row"] == hits["r"]).drop("r"), "suspects")
     spread = rows.select("row", "doc_id", "digests", F.posexplode("hits").alias("k", "hit")).where("hit")

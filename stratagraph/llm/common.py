@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -11,6 +12,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -33,9 +36,21 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f.relative_to(root))
         sc.addPyFile(at)
         _SHIPPED[sc] = at
+    # Texts may be long, so batches hold fewer rows than is usual, unless the session asks for another number.
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     return spark
 
 
+def give_back() -> None:
+    """Returns freed memory of a task body to the system, as workers outlive their tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, join_counted, shuffle_partitions, table, text_col
-from .exchange import owners_for, repeated, with_block
+from .exchange import merged, owners_for, repeated, with_block
 
 
 def _compared(docs: DataFrame, text: str, broadcast_rows: int) -> tuple[Scratch, DataFrame, DataFrame, int]:
@@ -19,7 +19,7 @@ def _compared(docs: DataFrame, text: str, broadcast_rows: int) -> tuple[Scratch,
     prints = scratch.write(with_block(source.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))), "prints")
     n = prints.count()
     owners = owners_for(n, shuffle_partitions(spark))
-    flagged = repeated(prints.select("block", "doc_id", F.array("h").alias("hashes")), owners)
+    flagged = repeated(merged(prints.select("block", "doc_id", F.array("h").alias("hashes")), n, n, 4 * shuffle_partitions(spark)), owners)
     suspects = scratch.write(flagged.where(F.col("hits")[0]).select(F.col("doc_id").alias("suspect")).distinct(), "suspects")
     if suspects.count() <= broadcast_rows:
         same = source.join(F.broadcast(suspects), source["doc_id"].eqNullSafe(suspects["suspect"]), "left_semi")

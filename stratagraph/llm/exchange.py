@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,33 +20,20 @@ def repeated(table: DataFrame, owners: int) -> DataFrame:
     """table: block long, doc_id long, hashes array<long>, each row once. Returns doc_id and hits: array<boolean>, one for
     each hash, true where the same hash occurs elsewhere too (in the row, the block or another block).
 
-    A block is bounded by the size of an input partition and an owner's range by the number of owners. What travels is the
-    coded hashes, one bit for each of them on the way back, and the rows of the block itself; no text does.
+    Rows are gathered by block, once for sending and receiving, so a block is whole wherever its rows were read. A block is
+    bounded by with_block's input partition and merged(), an owner's range by the number of owners. What travels is the coded
+    hashes, one bit for each of them on the way back, and the rows of the block itself; no text does.
     """
 
-    def send(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            blocks = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            counts = np.diff(lists.offsets.to_numpy().astype(np.int64))
-            of = np.repeat(blocks, counts)
-            for b in np.unique(of):
-                held.setdefault(int(b), []).append(flat[of == b])
-        for b, parts in held.items():
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            at = _ranges(values, owners)
-            rows = [(k, values[i:j], counts[i:j]) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _, _ in rows], pa.int32()),
-                    pa.array([b] * len(rows), pa.int64()),
-                    pa.array([golomb.encode(v) for _, v, _ in rows], pa.binary()),
-                    pa.array([np.packbits(c > 1).tobytes() for _, _, c in rows], pa.binary()),
-                ],
-                names=["owner", "block", "coded", "own"],
-            )
+    def flat_of(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        lists = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["hashes"]]
+        return lists, np.concatenate([*lists, np.zeros(0, np.uint64)])
+
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, counts = np.unique(flat_of(pdf)[1], return_counts=True)
+        at, block = _ranges(values, owners), int(pdf["block"].iloc[0])
+        rows = [(k, block, golomb.encode(values[i:j]), np.packbits(counts[i:j] > 1).tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        return pd.DataFrame(rows, columns=["owner", "block", "coded", "own"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [golomb.decode(x) for x in pdf["coded"]]
@@ -62,8 +48,7 @@ def repeated(table: DataFrame, owners: int) -> DataFrame:
         return pd.DataFrame({"block": pdf["block"], "owner": pdf["owner"], "bitmap": out})
 
     def receive(key, mine: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.asarray(x, np.int64).view(np.uint64) for x in mine["hashes"]]
-        flat = np.concatenate([*lists, np.zeros(0, np.uint64)])
+        lists, flat = flat_of(mine)
         values, inverse = np.unique(flat, return_inverse=True)
         at, flags = _ranges(values, owners), np.zeros(len(values), bool)
         for k, bits in zip(maps["owner"], maps["bitmap"], strict=True):
@@ -75,7 +60,7 @@ def repeated(table: DataFrame, owners: int) -> DataFrame:
         return pd.DataFrame({"doc_id": mine["doc_id"], "hits": out})
 
     rows = table.select("block", "doc_id", "hashes")
-    sent = rows.mapInArrow(send, "owner int, block long, coded binary, own binary")
+    sent = rows.groupBy("block").applyInPandas(send, "owner int, block long, coded binary, own binary")
     maps = sent.groupBy("owner").applyInPandas(answer, "block long, owner int, bitmap binary")
     return rows.groupBy("block").cogroup(maps.groupBy("block")).applyInPandas(receive, "doc_id long, hits array<boolean>")
 
@@ -88,3 +73,11 @@ def owners_for(n_hashes: int, least: int) -> int:
 def with_block(df: DataFrame) -> DataFrame:
     """The input partition as block. Write the result to a table before use, so that the number is fixed."""
     return df.withColumn("block", F.spark_partition_id().cast("long"))
+
+
+def merged(table: DataFrame, n_rows: int, n_hashes: int, least: int) -> DataFrame:
+    """table with neighbouring blocks taken together, as far as a block then holds some 100,000 rows and two million hashes and
+    `least` blocks are left: the number of messages is that of blocks times that of owners."""
+    n = table.agg(F.count_distinct("block")).first()[0] or 1
+    most = min(100_000 * n // max(n_rows, 1), 2_000_000 * n // max(n_hashes, 1), n // least)
+    return table.withColumn("block", F.floor(F.col("block") / max(1, most)))

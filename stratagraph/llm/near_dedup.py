@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, join_counted, table, text_col
+from .common import Scratch, give_back, join_counted, table, text_col
 from .components import components
 
 #: A signature has CHUNKS chunks of WIDTH symbols of 16 bits. Two signatures that differ in at most RADIUS symbols have a
@@ -83,6 +83,7 @@ def signatures(docs: DataFrame, k: int = 5, text: str = "text") -> DataFrame:
                     for c, x in zip(cols, (doc_id, *_stands(s), signature(s).tobytes()), strict=True):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        give_back()
 
     return _source(docs, text).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
@@ -107,6 +108,7 @@ def _keys(classes: DataFrame, chunks: int = CHUNKS, width: int = WIDTH) -> DataF
                         out.append(words.mix(packed ^ words.mix(np.array([c * width + left + 1], np.uint64))).view(np.int64))
             for slot, keys in enumerate(out):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), rep, pa.array(np.full(len(keys), slot, np.int32))], names=["key", "rep", "slot"])
+        give_back()
 
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long, slot int")
 
@@ -175,6 +177,7 @@ def _full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
                     stands, sets, held = [], [], 0
             if stands:
                 yield made(stands, sets)
+        give_back()
 
     return _source(docs, text).mapInArrow(run, "f_n long, f_a long, f_b long, shingles array<long>")
 

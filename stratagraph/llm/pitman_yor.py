@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, shuffle_partitions, table, text_col
+from .common import Scratch, give_back, shuffle_partitions, table, text_col
 from .seating import draw_tables
 
 BLOCK_TOKENS = 1_000_000
@@ -90,6 +90,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     k, held, n = k + 1, [], 0
         if held:
             yield block()
+        held.clear()
+        give_back()
 
     return docs.mapInArrow(run, "block long, docs binary, known binary, sizes binary, train binary, vocab binary, ids binary")
 
@@ -208,6 +210,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
 
     def ask(key, mine: pd.DataFrame, words_of: pd.DataFrame) -> pd.DataFrame:
         p = _pairs(mine.iloc[0], words_of, tokens, buckets)
+        give_back()
         rows = []
         for k, (i, j) in enumerate(zip(p["at"][:-1], p["at"][1:], strict=True)):
             if j > i:  # pairs of one context stand together
@@ -294,6 +297,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
             # After the last sweep only the sums of probabilities are asked for.
             kept = {k: b"" if last else row[k] for k in ("ulist", "cu", "hot", "wlist", "pu", "pw", "c")}
             out = kept | {"bucket": key[0], "t": b"" if last else pack(t.astype(np.int32)), "total": pack(total), "tables": int(t.sum()), "hot_u": ulist[hot].tolist(), "hot_t": local[hot].tolist()}
+            give_back()
             return pd.DataFrame([out])
 
         return run
@@ -333,6 +337,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
         first = np.cumsum(p["sizes"]) - p["sizes"]
         base = np.log10((p["counts"] + 1) / (tokens + types + 1))
         score = np.add.reduceat(logp[p["pair"]], first)
+        give_back()
         doc_id = pd.arrays.IntegerArray(unpack(row["docs"], np.int64).copy(), unpack(row["known"], np.uint8) == 0)
         return pd.DataFrame({"doc_id": doc_id, "held_out": unpack(row["train"], np.uint8) == 0, "n_tokens": p["sizes"], "n_known": np.add.reduceat((p["counts"] > 0)[p["ids"]].astype(np.int64), first), "train_tokens": tokens, "base_score": np.add.reduceat(base[p["ids"]], first), "score": score, "perplexity": 10 ** np.minimum(-score / p["sizes"], 300)})
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import table, text_col
+from .common import give_back, table, text_col
 
 #: Rows of the bounded, documented sample of labelled rows.
 SAMPLE_ROWS = 20_000
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
             ids, ys = batch.column(0), batch.column(2)
             for a, b, x in _rows(batch):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), ys.slice(a, b - a), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+        give_back()
 
     got = rows.mapInArrow(run, "id long, y long, x binary").orderBy("id").collect()
     x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
@@ -144,6 +145,7 @@ def quality_scores(docs: DataFrame, ranker: Ranker, text: str = "text") -> DataF
             for a, b, x in _rows(batch):
                 s = ranker.score(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -161,6 +163,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> Data
         for s in batches:
             batch = pa.RecordBatch.from_arrays([pa.nulls(len(s)), pa.array(s, pa.string())], names=["a", "b"])
             yield pd.Series(np.concatenate([*[ranker.score(x) for _, _, x in _rows(batch)], np.zeros(0)]))
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.where(F.pandas_udf(run, "double")(text_col(docs, text)) >= 0.5)

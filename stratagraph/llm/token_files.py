@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, shuffle_partitions, table, text_col
+from .common import Scratch, give_back, ship, shuffle_partitions, table, text_col
 
 FRAME = 256 << 10
 #: A task goes on to another shard when one has so many bytes of ids.
@@ -259,6 +259,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                     out, made = None, made + 1
         if out is not None:
             yield close()
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs, text).alias("text"))
     # Ranges of doc_id from its quantiles, which takes a scan of that column alone.

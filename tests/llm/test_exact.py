@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratagraph.llm import exact_dedup, golomb
+from stratagraph.llm import exact_dedup, exchange, golomb
 
 from .data import SPACE, frame, texts
 
@@ -24,6 +24,25 @@ def test_golomb_is_small():
     assert len(golomb.encode(a)) < 0.6 * a.nbytes
 
 
+def test_exchange_like_counting(spark):
+    """Hashes that occur again are told, however rows lie in blocks and blocks in files, and with blocks merged."""
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(-(2**63), 2**63, rng.integers(0, 6)).tolist() for _ in range(120)]
+    for k in range(0, 120, 3):
+        lists[k] += lists[(k * 7) % 120][:1] + (lists[k][:1] if k % 2 else [])
+    counts = defaultdict(int)
+    for x in lists:
+        for h in x:
+            counts[h] += 1
+    table = spark.createDataFrame([(k % 9, k, x) for k, x in enumerate(lists)], "block long, doc_id long, hashes array<long>").repartition(5)
+    want = {k: [counts[h] > 1 for h in x] for k, x in enumerate(lists)}
+    for given in (table, exchange.merged(table, 120, sum(map(len, lists)), 2)):
+        for owners in (1, 7):
+            assert {r.doc_id: r.hits for r in exchange.repeated(given, owners).collect()} == want
+    assert exchange.merged(table, 120, 400, 2).select("block").distinct().count() == 3
+    assert exchange.repeated(table.limit(0), 3).count() == 0
+
+
 def expected(rows):
     groups = defaultdict(list)
     for i, t, _ in rows:
