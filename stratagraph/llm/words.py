@@ -105,7 +105,7 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def slices(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about so many bytes, one document at least."""
     i, n = 0, len(off) - 1
     while i < n:
