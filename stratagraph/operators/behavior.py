@@ -114,6 +114,15 @@ def refactor_priorities(hot: DataFrame, risk: DataFrame, min_risk: float = 0.15,
     return j.select("module", F.coalesce("hs", F.lit(0)).alias("hotspot"), "risk", (part + F.coalesce(F.try_divide("risk", "mr"), F.lit(0.0))).alias("priority"), F.when(is_hot & risky, "fused").when(is_hot, "behavioral").when(risky, "structural").otherwise("weak").alias("lens"))
 
 
+def rationale(priorities: DataFrame) -> DataFrame:
+    """priorities with why: a sentence on what speaks for a module, from its lens, hotspot and risk."""
+    hot = F.concat(F.lit("complex and often changed (score "), F.col("hotspot").cast("string"), F.lit(")"))
+    risky = F.concat(F.lit("central and unstable (risk "), F.format_number("risk", 2), F.lit(")"))
+    why = F.when(F.col("lens") == "fused", F.concat(hot, F.lit(" and "), risky, F.lit(": work here reaches the busiest and the riskiest code at once.")))
+    why = why.when(F.col("lens") == "behavioral", F.concat(hot, F.lit(", at the edge of the structure."))).when(F.col("lens") == "structural", F.concat(risky, F.lit(", though seldom changed.")))
+    return priorities.withColumn("why", why.otherwise("Below both bounds; ranked by what little there is."))
+
+
 def exact_clusters(functions: DataFrame, min_size: int = 30, min_members: int = 2) -> DataFrame:
     """shape_hash, members, size, redundancy, exact and what holds for all members (overload, property, vendored, test, trivial,
     same_class) of functions (shape_hash, concrete_hash, size, module, path, qualified_name, decorators, is_trivial) that

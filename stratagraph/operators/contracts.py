@@ -103,6 +103,14 @@ def diff_items(diffs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def headline(changes: dict[str, tuple[int, int]], deltas: dict[str, float]) -> str:
+    """One line on a diff: the overall change, the three parts of the score that moved by 0.01 or more, and what was added and
+    resolved of each kind (kind: (added, resolved))."""
+    moved = [f"{k} {v:+.2f}" for k, v in deltas.items() if k != "overall" and abs(v) >= 0.01]
+    score = f"score {deltas['overall']:+.3f}" + (f" ({', '.join(moved[:3])})" if moved else "") if "overall" in deltas else "no score to compare"
+    return "; ".join([score, *(f"{k} +{a}/-{r}" for k, (a, r) in changes.items() if a or r)])
+
+
 def _listed(members: str, most: int = 5) -> Column:
     more = F.size(members) - most
     return F.concat(F.array_join(F.slice(members, 1, most), ", "), F.when(more > 0, F.concat_ws("", F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))

@@ -6,7 +6,7 @@ from __future__ import annotations
 import ast
 import copy
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,48 @@ def agreed(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.where("label <> 'UNSCORABLE' AND other <> 'UNSCORABLE'").select("id", ((F.col("label") == "TRUE") & (F.col("other") == "TRUE")).alias("agreed"))
 
 
+#: The bars of a generator's precision and of the share that only it finds, and the least evidence for a verdict.
+PASS_PRECISION, KILL_PRECISION, PASS_SHARE, KILL_SHARE = 0.60, 0.40, 0.30, 0.10
+LEAST_SCORED, LEAST_SCORED_REPOS = 30, 10
+LEAST_UNITS, LEAST_UNIT_REPOS, LEAST_UNIT_CHANGES = 40, 15, 20
+
+
+def found_share(pairs: DataFrame, truth: DataFrame, one: str, other: str) -> DataFrame:
+    """units, only_one, only_other, both, repos, changes, measurable, share of pairs (id, unit, repo, change, generators, exact)
+    judged by truth (id, agreed): units with a true pair that is not exact, by which of two generators found them; share is
+    that of the first alone, null without units."""
+    t = truth.where("agreed").select(F.col("id").alias("t"))
+    good = pairs.where("NOT exact").join(t, pairs["id"] == t["t"], "left_semi")
+    u = good.groupBy("unit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("generators")))).alias("by"))
+    n = lambda g: F.count_if(F.array_compact(F.col("by")) == F.array(F.lit(g)))
+    a = u.agg(F.count("*").alias("units"), n(one).alias("only_one"), n(other).alias("only_other")).crossJoin(good.agg(F.count_distinct("repo").alias("repos"), F.count_distinct("change").alias("changes")))
+    enough = (F.col("units") >= LEAST_UNITS) & (F.col("repos") >= LEAST_UNIT_REPOS) & (F.col("changes") >= LEAST_UNIT_CHANGES)
+    return a.select("units", "only_one", "only_other", (F.col("units") - F.col("only_one") - F.col("only_other")).alias("both"), "repos", "changes", enough.alias("measurable"), F.try_divide("only_one", "units").alias("share"))
+
+
+def share_verdict(scored: int, repos: int, precision: tuple[float | None, float | None], measurable: bool, share: tuple[float | None, float | None]) -> str:
+    """pass, kill, null or not_measurable out of the intervals of precision and share. A bar is crossed only by a whole interval;
+    either kills, both must pass."""
+    if scored < LEAST_SCORED or repos < LEAST_SCORED_REPOS:
+        return "not_measurable"
+    (p_low, p_high), (s_low, s_high) = precision, share if measurable else (None, None)
+    if (p_high is not None and p_high < KILL_PRECISION) or (s_high is not None and s_high < KILL_SHARE):
+        return "kill"
+    if not measurable:
+        return "not_measurable"
+    return "pass" if (p_low or 0.0) >= PASS_PRECISION and (s_low or 0.0) >= PASS_SHARE else "null"
+
+
+def gap_table(rows: DataFrame, top: int, full: float = 10.0) -> DataFrame:
+    """path, score, lines, share, running: the rows (path, score, lines) that cost most against a full score, by lines times
+    distance; ties by path. Shares are of the cost of all rows, 0 where there is none."""
+    cost = (F.lit(full) - F.col("score")) * F.col("lines")
+    best = rows.withColumn("cost", cost).orderBy(F.desc("cost"), "path").limit(top)
+    j = best.crossJoin(F.broadcast(rows.agg(F.sum(cost).alias("whole")))).withColumn("share", F.coalesce(F.try_divide("cost", "whole"), F.lit(0.0)))
+    w = Window.orderBy(F.desc("cost"), "path").rowsBetween(Window.unboundedPreceding, 0)  # over top rows
+    return j.select("path", "score", "lines", "share", F.sum("share").over(w).alias("running"))
+
+
 def sibling_reach(nodes: DataFrame, reach: DataFrame, min_siblings: int = 6, band: tuple[float, float] = (0.2, 0.8), min_side: int = 2) -> DataFrame:
     """package, siblings, reaching, targets, kind: of packages with min_siblings modules or more, the sets of siblings that reach
     the same targets outside the package. kind is fired where the set's share lies in band with min_side on either side,

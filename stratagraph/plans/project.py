@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behavior, contracts, graph, resolve, rules
+from ..operators import behavior, census, contracts, graph, resolve, rules
 from ..operators import dsm as matrix
 from ..sources import config, gitlog, snapshot, tree
 from .iterate import cut
@@ -237,7 +237,10 @@ class Project:
             moved = {k: score[k] - was[k] for k in ("overall", "modularity", "acyclicity", "depth", "equality", "complexity")}
         items = contracts.diff_items({k: d.withColumn("members", F.split("members", ",")) if k == "cycles" else d for k, d in diffs.items()})
         parts = {k: v for k, v in moved.items() if k != "overall"}
-        return diffs | {"score": moved, "regressions": contracts.diff_summary(items, self.risk(), parts, top_n, "added"), "improvements": contracts.diff_summary(items, self.risk(), parts, top_n, "resolved")}
+        counts = {k: (n.get("added", 0), n.get("resolved", 0)) for k, n in ((k, {r["change"]: r["count"] for r in d.groupBy("change").count().collect()}) for k, d in diffs.items())}
+        violated = tuple(sum(counts[k][i] for k in ("violations", "sdp", "reach") if k in counts) for i in (0, 1))
+        line = contracts.headline({"cycles": counts["cycles"], "violations": violated}, moved)
+        return diffs | {"headline": line, "score": moved, "regressions": contracts.diff_summary(items, self.risk(), parts, top_n, "added"), "improvements": contracts.diff_summary(items, self.risk(), parts, top_n, "resolved")}
 
     def strict(self, path: str) -> dict:
         """Whether cycles, violations or weaker rules are new against the snapshot at path: refused (why no verdict is possible, or
@@ -279,8 +282,9 @@ class Project:
         log = gitlog.python_changes(gitlog.commits(self.spark, self.log))
         return behavior.fold_renames(log, gitlog.renames(log)).select("commit_id", F.col("path").alias("file")).distinct()
 
-    def hotspots(self, top_n: int = 20) -> DataFrame:
-        _at_least(top_n, 1, "top_n")
+    def hotspots(self, top_n: int | None = 20) -> DataFrame:
+        """The top_n files that are both complex and often changed; None gives all, in no order."""
+        _at_least(1 if top_n is None else top_n, 1, "top_n")
         n = behavior.file_counts(self.changes()).select(F.col("file").alias("f"), F.col("n").alias("churn"))
         j = self.nodes.join(n, self.nodes["path"] == n["f"]).select(F.col("node").alias("module"), "cc_sum", "churn")
         return behavior.hotspots(j, top_n)
@@ -293,7 +297,7 @@ class Project:
         return behavior.coupling(c, self.edges, min_support, min_confidence, max_files).orderBy(F.desc("confidence"), F.desc("support"), "a", "b")
 
     def refactor(self, min_risk: float = 0.15) -> DataFrame:
-        return behavior.refactor_priorities(self.hotspots(1_000_000), self.risk(), min_risk).orderBy(F.desc("priority"), F.desc("risk"), F.desc("hotspot"), "module")
+        return behavior.rationale(behavior.refactor_priorities(self.hotspots(None), self.risk(), min_risk)).orderBy(F.desc("priority"), F.desc("risk"), F.desc("hotspot"), "module")
 
     @cached_property
     def functions(self) -> DataFrame:
@@ -333,6 +337,45 @@ class Project:
             "propagation_delta": mean(after) - mean(self.edges),
         }
 
+    def conventions(self, top_n: int = 10, include_tests: bool = False) -> dict:
+        """What a project repeats by habit, each part as its first top_n rows and how many there are in all: naming and base
+        families, shared constants, registries, helpers, mirrored classes, consumers, gates and errors, gaps in documentation
+        and in what is exported, and how modules were set apart."""
+        _at_least(top_n, 1, "top_n")
+        roots = cut(census.shadow_roots(self.nodes))
+        parts = self.facts.join(roots, (F.col("qualname") == roots["root"]) | F.startswith(F.col("qualname"), F.concat(roots["root"], F.lit("."))), "left")
+        kind = census.partition_of(F.col("qualname"), F.col("root").isNotNull())
+        marked = cut(parts.withColumn("kind", kind).drop("root").dropDuplicates(["qualname"]))
+        f = marked.where(F.col("kind").isin(*(("censused", "test") if include_tests else ("censused",)))).drop("kind")
+        cls = contracts.classes(f)
+        fns = f.select(F.col("qualname").alias("module"), F.explode("functions").alias("f")).select("module", "f.name")
+        assigned = f.select(F.col("qualname").alias("module"), F.explode("assigned").alias("a")).where("a.ctor IS NOT NULL").select("module", "a.ctor", "a.name")
+        bases = cls.select(F.col("name").alias("cls"), F.explode("bases").alias("b")).select("cls", F.element_at(F.split("b", r"\."), -1).alias("base"))
+        local = bases.join(cls.select(F.col("name").alias("own")).distinct(), F.col("base") == F.col("own"), "left_semi")
+        lineage = graph.closure(local.select(F.col("base").alias("src"), F.col("cls").alias("dst")).where("src <> dst"))
+        members = cut(lineage.select(F.col("src").alias("grp"), F.col("dst").alias("name")).unionByName(lineage.select(F.col("src").alias("grp"), F.col("src").alias("name"))).distinct())
+        exported = f.select(F.col("qualname").alias("place"), F.explode("assigned").alias("a")).where("a.name = '__all__'").select("place", F.explode("a.listed").alias("name"))
+        defined = cls.select("module", "name").unionByName(fns)
+        used = f.select(F.col("qualname").alias("importer"), F.explode("imports").alias("i")).select("importer", F.col("i.module").alias("source"), F.explode("i.names").alias("x")).select("importer", "source", F.col("x.name").alias("name"))
+        homes = defined.groupBy(F.col("name").alias("d")).agg(F.collect_set("module").alias("in"))
+        at = used.join(homes, used["name"] == homes["d"]).withColumn("home", F.when(F.array_contains("in", F.col("source")), F.col("source")).when(F.size("in") == 1, F.get("in", F.lit(0))))
+        gates = f.select(F.col("qualname").alias("module"), F.explode("gates").alias("g")).select("module", "g.*")
+        parts = {
+            "naming": census.families(cls.select(census.camel_suffix(F.col("name")).alias("family"), "module")).orderBy(F.desc("members"), "family"),
+            "bases": members.groupBy("grp").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "grp"),
+            "constants": contracts.shared_constants(f).orderBy(F.desc("n"), "name"),
+            "registries": census.registries(assigned).orderBy(F.desc("entries"), "ctor"),
+            "helpers": census.helper_families(fns).orderBy(F.desc(F.size("surfaces")), "module", "stem"),
+            "mirrored": census.mirrored_families(cls.select("module", "name")).orderBy(F.desc(F.size("surfaces")), "name"),
+            "consumers": census.consumers(at.where("home IS NOT NULL AND home <> importer").select("home", "name", "importer")).orderBy(F.desc("importers"), "home", "name"),
+            "gates": gates.where("category = 'gate'").orderBy("module", "function", "kind", "control"),
+            "errors": gates.where("category = 'error'").orderBy("module", "function", "kind", "control"),
+            "export_gaps": census.coverage_gaps(members, exported).orderBy(F.desc(F.size("missing")), "place", "grp"),
+            "doc_gaps": census.doc_gaps(members, tree.docs(self.spark, self.root)).orderBy(F.desc(F.size("missing")), "place", "grp"),
+        }
+        held = {r["kind"]: r["count"] for r in marked.groupBy("kind").count().collect()}
+        return {k: {"rows": df.limit(top_n), "total": df.count()} for k, df in parts.items()} | {"partition": held}
+
     def brief(self) -> dict:
         """What holds in this project: layers, rules, whether it is acyclic, and its riskiest modules."""
         return {"layers": self.config.layers, "forbid": self.config.forbid, "required": self.config.required, "acyclic": self.cycles().isEmpty(), "risks": [tuple(r) for r in contracts.top_risks(self.risk()).select("node", F.round("risk", 6)).collect()]}

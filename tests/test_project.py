@@ -88,7 +88,7 @@ def test_check(project):
 def test_history_of_changes(project):
     assert {(r.module, r.churn) for r in project.hotspots().collect()} == {("app.core", 6), ("app.util", 8)}
     assert project.coupling(min_support=5).count() == 0  # an edge joins the two
-    assert project.refactor().count() > 0
+    assert {r.why.split(" (")[0] for r in project.refactor().collect()} <= {"complex and often changed", "central and unstable", "Below both bounds; ranked by what little there is."} and project.refactor().count() > 0
 
 
 def test_simulate_equals_an_edit(project):
@@ -255,6 +255,7 @@ def test_strict_finds_what_is_new(spark, project, later, tmp_path):
     assert not gone["passed"] and "no longer cover 1" in gone["refused"]
     d = Project(spark, str(later), RULES).diff(at)
     assert d["score"] == {} and "sdp" not in d and [(r.change) for r in d["cycles"].orderBy("change").collect()] == ["added", "resolved"]
+    assert d["headline"] == "no score to compare; cycles +1/-1"
     assert d["regressions"].first().kind == "cycles" and d["improvements"].first().kind == "cycles"
 
 
@@ -410,3 +411,28 @@ def test_gaps_in_documentation(spark):
     named = spark.createDataFrame([("docs", n) for n in "ABEFG"] + [("web", "A"), ("web", "B")], "place string, name string")
     assert [tuple(r) for r in census.doc_gaps(members, named).collect()] == [("docs", "Base", 3, 2, ["C"])]
     assert {(r.place, r.grp, tuple(r.missing)) for r in census.coverage_gaps(members, named).collect()} == {("docs", "Base", ("C", "_D")), ("web", "Base", ("C", "_D"))}
+
+
+def test_conventions(project):
+    c = project.conventions(5)
+    assert c["partition"] == {"censused": 6, "test": 1}
+    assert [(r.grp, r.members) for r in c["bases"]["rows"].collect()] == [("Base", 3), ("Disk", 2)] and c["bases"]["total"] == 2
+    assert [(r.name, r.n) for r in c["constants"]["rows"].collect()] == [("KIND", 2)]
+    assert {(r.home, r.name, r.importers) for r in c["consumers"]["rows"].collect()} == {("app.core", "run", 2)} and c["gates"]["total"] == 0
+    with pytest.raises(ValueError):
+        project.conventions(0)
+
+
+def test_shares_and_verdicts(spark):
+    from stratagraph.operators import research as r
+
+    rows = [(f"p{k}", f"u{k % 40}", f"r{k % 16}", f"c{k % 20}", ["A"] if k % 40 < 10 else ["B"] if k % 40 < 30 else ["A", "B"], False) for k in range(80)] + [("e", "ux", "rx", "cx", ["B"], True)]
+    pairs = spark.createDataFrame(rows, "id string, unit string, repo string, change string, generators array<string>, exact boolean")
+    truth = spark.createDataFrame([(x[0], True) for x in rows], "id string, agreed boolean")
+    got = r.found_share(pairs, truth, "B", "A").first()
+    assert (got.units, got.only_one, got.only_other, got.both, got.repos, got.changes, got.measurable, got.share) == (40, 20, 10, 10, 16, 20, True, 0.5)
+    assert r.found_share(pairs.limit(0), truth, "B", "A").first().share is None
+    v = lambda p, m, s, n=30: r.share_verdict(n, 10, p, m, s)
+    assert [v((0.7, 0.8), True, (0.4, 0.5)), v((0.2, 0.39), False, (None, None)), v((0.7, 0.8), True, (0.0, 0.05)), v((0.5, 0.8), True, (0.4, 0.5)), v((0.7, 0.8), False, (0.4, 0.5)), v((0.7, 0.8), True, (0.4, 0.5), 29)] == ["pass", "kill", "kill", "null", "not_measurable", "not_measurable"]
+    table = r.gap_table(spark.createDataFrame([("a", 9.0, 100), ("b", 5.0, 10), ("c", 10.0, 999)], "path string, score double, lines long"), 2).collect()
+    assert [(x.path, round(x.share, 6), round(x.running, 6)) for x in table] == [("a", round(100 / 150, 6), round(100 / 150, 6)), ("b", round(50 / 150, 6), 1.0)]
