@@ -125,4 +125,5 @@ def bpe_digests(docs: DataFrame, path: str | None = None, text: str = "text") ->
 
 
 def op8_bpe(spark, sf_dir):
+    """Every document with the number and digest of its ids and the digest of the bytes they decode to."""
     return bpe_digests(table(spark, sf_dir, "documents"))

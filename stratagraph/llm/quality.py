@@ -170,5 +170,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> Data
 
 
 def op4_quality(spark, sf_dir):
+    """Every document with its quality score, learnt from labels of documents that are not held out, and whether it passes the cut."""
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
