@@ -25,7 +25,7 @@ from . import words
 from .common import Scratch, give_back, shuffle_partitions, table, text_col
 from .seating import draw_tables
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
 END = np.uint64(0xE2D5E2D5E2D5E2D5)
 #: Answers are whole multiples of 1 / FINE: log10 probabilities to 2e-6, whose upper bytes pack well.
 FINE = float(1 << 18)
