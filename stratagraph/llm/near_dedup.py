@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ RADIUS = 23
 _SYMBOLS = CHUNKS * WIDTH
 #: Most of the links at the threshold itself that may lie beyond the radius.
 MISSED = 1e-5
+#: Classes into which the sizes fall that a set can be linked with.
+SIZE_CLASSES = 12
 _SEEDS = words.mix(np.arange(1, _SYMBOLS + 1, dtype=np.uint64))[:, None]
 _ODD = (words.mix(np.arange(1001, 1001 + _SYMBOLS, dtype=np.uint64)) | np.uint64(1))[:, None]
 
@@ -182,6 +184,52 @@ def _full_sets(docs: DataFrame, k: int, text: str) -> DataFrame:
     return _source(docs, text).mapInArrow(run, "f_n long, f_a long, f_b long, shingles array<long>")
 
 
+def _across(held: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b, a_comp, b_comp for all rows of held (rep, n, comp) that a link of percent joins across components, and some that it
+    does not; sets (rep, shingles) holds their sets.
+
+    In an order of all shingles the first that two sets share stands so early in both that what comes after it suffices for the
+    overlap that their sizes n, m ask for, (n + m) * percent / (100 + percent). Shingles of one component only come first, as
+    no pair shares them, then those of fewest holders. So what a large group has in common comes last, and of its members only
+    those meet that share something rare besides.
+
+    A set is filed at its first shingles under the class of its own size, and looks up those of its own and of smaller sizes,
+    for each class as far as that asks for. At each shingle rows of the component that has most of them do not meet each other.
+    """
+    step = SIZE_CLASSES / log(100 / min(percent, 99))
+    spread = held.join(sets.withColumnRenamed("rep", "s_rep"), F.col("rep") == F.col("s_rep")).select("rep", "n", "comp", F.explode("shingles").alias("s"))
+    shared = spread.groupBy("s").agg(F.count("*").alias("holders"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s", "holders")
+    shared = scratch.write(shared, "shared")
+    spread = join_counted(spread, ["s"], shared, "holders", held.agg(F.sum("n")).first()[0], "rep").where("holders IS NOT NULL")
+    ranked = spread.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("holders", "s"))).alias("ranked"))
+    ranked = ranked.withColumn("u", F.col("n") - F.size("ranked")).where(f"100 * (n - u) >= {percent} * n")
+    ranked = scratch.write(ranked, "ranked")
+
+    def size_class(size):
+        return F.floor(F.log(size) * step).cast("int")
+
+    def first(df: DataFrame, other: str) -> DataFrame:
+        reach = F.expr(f"cast(greatest(0, n - ({percent} * (n + {other}) + {99 + percent}) div {100 + percent} + 1 - u) AS int)")
+        df = df.select("rep", "n", "u", "comp", "class", "small", F.posexplode(F.slice("ranked", F.lit(1), reach)).alias("at", "x"))
+        return df.select("rep", "n", "u", "comp", "class", "small", (F.col("u") + F.col("at") + 1).alias("at"), F.col("x.s").alias("s"))
+
+    filed = first(ranked.withColumn("class", size_class(F.col("n"))).withColumn("small", F.lit(True)), "n")
+    least = F.expr(f"({percent} * n + 99) div 100")
+    sought = ranked.withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.col("n"))))).withColumn("small", F.lit(False))
+    # The least size of the class, or less by a rounding error.
+    sought = sought.withColumn("lo", F.greatest(least, F.floor(F.exp(F.col("class") / step) * (1 - 1e-9))))
+    rows = scratch.write(filed.unionByName(first(sought, "lo")), "filed")
+    most = rows.groupBy("s", "class", "comp").agg(F.count("*").alias("c")).groupBy("s", "class").agg(F.sum("c").alias("of"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("most"))
+    most = scratch.write(most.where("comps > 1").drop("comps"), "most")
+    rows = join_counted(rows, ["s", "class"], most, "of", rows.count(), "rep").where("most IS NOT NULL")
+    # Part 1: filed rows of all other components and all that seek; part 2: those of the most frequent one and the others that seek.
+    a = rows.where("small").select("s", "class", F.expr("if(comp = most, 2, 1)").alias("part"), F.col("rep").alias("a"), "n", "u", F.col("comp").alias("a_comp"), "at")
+    b = rows.where("NOT small").select("s", "class", F.explode(F.expr("if(comp = most, array(1), array(1, 2))")).alias("part"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("b_comp"), F.col("at").alias("b_at"))
+    pairs = a.join(b, ["s", "class", "part"]).where("a_comp <> b_comp AND (n < m OR n = m AND a < b)")
+    pairs = pairs.where(f"{100 + percent} * (1 + least(n - at, m - b_at)) >= {percent} * (n + m)")
+    return pairs.where(f"100 * least(n - u, m - v) >= {percent} * greatest(n + v, m + u)").select("a", "b", "a_comp", "b_comp").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str = "text", pivot_rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -195,9 +243,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     shingles the intersection is at most min(n - u, m - v) and the union at least max(n + v, m + u). Sets and pairs that
     can't reach percent by that go. Within a key no list of all pairs is made: a pivot for each key is compared with its
     members and confirmed links join components; keys whose members are one component by then are done. The first pivot is
-    the member that shares most keys with most others, which of a group of edits is the text they were made from. What is
-    left after pivot_rounds pivots is compared across components as far as the bound allows a link, each pair at the first of
-    the keys that it shares, so no candidate pair between different components goes unconfirmed.
+    the member that shares most keys with most others, which of a group of edits is the text they were made from. Sets with
+    keys that are left after pivot_rounds pivots are compared across components where they share one of their rarest shingles,
+    as any two that are linked do (_across), so no linked candidate pair between different components goes unconfirmed.
 
     Null, empty and word-less texts have an empty set and are linked with nothing. A text of fewer than k words is one
     shingle. Rows that repeat a doc_id with different texts are linked through that id. A row without a doc_id is linked like
@@ -215,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     cut = layout(percent)
     keys = _keys(classes, *cut)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("k"), "members")
-    rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members"), F.min("slot").alias("slot")), "rows")
+    rows = scratch.write(keys.join(shared, keys["key"] == shared["k"]).groupBy("key", "rep").agg(F.max("members").alias("members")), "rows")
     involved = rows.select(F.col("rep").alias("i_rep")).distinct()
     involved = scratch.write(classes.join(involved, classes["rep"] == involved["i_rep"]).select("rep", "least", *alike), "involved")
     n_involved = involved.count()
@@ -235,13 +283,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
     marked = sets.select(F.col("rep").alias("id"), F.size("shingles").cast("long").alias("n")).join(own, F.col("id") == own["owner"], "left").join(worth, F.col("id") == worth["w_rep"])
     marked = marked.select("id", "n", F.coalesce("u", F.lit(0)).alias("u"), "worth").where(f"100 * (n - u) >= {percent} * n")
     marked = scratch.write(marked, "marked")
-    live_rows = rows.join(marked, rows["rep"] == marked["id"]).select("key", "slot", "rep", "n", "u", "worth")
+    live_rows = rows.join(marked, rows["rep"] == marked["id"]).select("key", "rep", "n", "u", "worth")
     rows = scratch.write(live_rows, "live")
     comp = scratch.write(marked.select("id", F.col("id").alias("comp")), "comp")
     close = f"100 * least(n - u, m - v) >= {percent} * greatest(n + v, m + u)"
 
     def labelled() -> DataFrame:
-        return rows.join(comp, rows["rep"] == comp["id"]).select("key", "slot", "rep", "n", "u", "worth", "comp")
+        return rows.join(comp, rows["rep"] == comp["id"]).select("key", "rep", "n", "u", "worth", "comp")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("rep").alias("a_rep"), F.col("shingles").alias("a_set"))
@@ -258,15 +306,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, text: str =
         open_keys = scratch.write(open_keys, f"open{r}")
         if open_keys.isEmpty():
             break
-        last = r == pivot_rounds
         left = live.join(open_keys, live["key"] == open_keys["k"])
-        if last:
-            planes = _planes(classes.join(marked, classes["rep"] == marked["id"], "left_semi"), *cut)
-            mine = left.select("key", "slot", "rep", "n", "u", "comp").join(planes, F.col("rep") == planes["p_rep"])
-            mine = scratch.write(mine.drop("p_rep"), "left")
-            other = mine.select(F.col("key").alias("k"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("b_comp"), F.col("planes").alias("b_planes"))
-            left = mine.join(other, (mine["key"] == other["k"]) & (mine["comp"] < other["b_comp"])).where(_first_slot("slot", "planes", "b_planes", *cut))
-        pairs = left.where(F.col("comp") != F.col("b_comp")).where(close).select(F.col("rep").alias("a"), "b", F.col("comp").alias("a_comp"), "b_comp").distinct()
+        if r == pivot_rounds:
+            held = scratch.write(left.select("rep", "n", "comp").distinct(), "left")
+            pairs = _across(held, sets, percent, scratch)
+        else:
+            pairs = left.where(F.col("comp") != F.col("b_comp")).where(close).select(F.col("rep").alias("a"), "b", F.col("comp").alias("a_comp"), "b_comp").distinct()
         pairs = scratch.write(pairs, f"pairs{r}")
         scratch.drop_table(live)
         if pairs.isEmpty():
