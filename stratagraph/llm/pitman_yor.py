@@ -27,6 +27,8 @@ from .seating import draw_tables
 
 BLOCK_TOKENS = 1_500_000
 END = np.uint64(0xE2D5E2D5E2D5E2D5)
+#: Pairs that are worked on at once where each stands for itself, so that intermediate numbers take little memory.
+_SLICE = 1 << 18
 #: Answers are whole multiples of 1 / FINE: log10 probabilities to 2e-6, whose upper bytes pack well.
 FINE = float(1 << 18)
 
@@ -47,6 +49,21 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them: as np.unique has them, in half its memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.empty(len(keys), np.bool_)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys = keys[new]
+    place = np.cumsum(new, dtype=np.int32)
+    place -= 1
+    out = np.empty(len(order), np.int32)
+    out[order] = place
+    return keys, out
+
+
 def _owner_edges(values: np.ndarray, owners: int) -> np.ndarray:
     edges = np.array([(k << 64) // owners for k in range(1, owners)], np.uint64)
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
@@ -65,10 +82,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
         at, k, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def block():
-            tokens = np.concatenate([x[3] for x in held])
-            vocab, ids, n_of = np.unique(tokens, return_inverse=True, return_counts=True)
+            vocab, ids = distinct(np.concatenate([x[3] for x in held]))
             # Frequent words get small numbers.
-            order = np.argsort(-n_of, kind="stable")
+            order = np.argsort(-np.bincount(ids, minlength=len(vocab)), kind="stable")
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
             vocab, ids = vocab[order], place[ids]
@@ -129,8 +145,9 @@ def _word_owners(blocks: DataFrame, owners: int) -> DataFrame:
     return asked.groupBy("owner").applyInPandas(answer, "block long, owner int, counts binary, numbers binary, types long, tokens long")
 
 
-def _pairs(row, told: pd.DataFrame, n_tokens: int, buckets: int):
-    """A block's counts by word, its distinct pairs in order of their owners, where owners begin and each token's pair."""
+def _pairs(row, told: pd.DataFrame, n_tokens: int, buckets: int, answered: bool) -> dict:
+    """A block's counts and numbers by word, and its distinct pairs in order of their owners: before they are answered the words
+    of each, its count in training and where owners begin, afterwards each token's pair."""
     sizes, train, vocab, ids = _tokens(row)
     told = told.sort_values("owner")
     by_hash, counts, number = np.argsort(vocab), np.empty(len(vocab), np.int64), np.empty(len(vocab), np.int64)
@@ -138,20 +155,29 @@ def _pairs(row, told: pd.DataFrame, n_tokens: int, buckets: int):
     number[by_hash] = np.concatenate([unpack(x, np.int64) for x in told["numbers"]])
     before = np.empty(len(ids), np.int64)
     before[0], before[1:] = np.flatnonzero(vocab == END)[0], ids[:-1]
-    keys, inverse = np.unique(before << 32 | ids, return_inverse=True)
-    u, w = keys >> 32, keys & 0xFFFFFFFF
+    before <<= 32
+    before |= ids
+    keys, inverse = distinct(before)
+    del before
+    seen = None if answered else np.bincount(inverse[train], minlength=len(keys)).astype(np.int32)
+    if not answered:
+        del inverse, ids
     # A hot context has so many pieces that each holds about 1/(4 * buckets) of all tokens at most.
-    pieces = np.maximum(-(-counts[u] * 4 * buckets // max(n_tokens, 1)), 1)
-    hot = pieces > 1
-    with np.errstate(over="ignore"):
-        piece = words.mix(number[w].astype(np.uint64)) % pieces.astype(np.uint64)
-        mixed = words.mix(number[u].astype(np.uint64) + piece * np.uint64(0x9E3779B97F4A7C15))
-    bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    seen = np.bincount(inverse[train], minlength=len(keys))
-    return {"sizes": sizes, "ids": ids, "counts": counts, "u": number[u][order], "w": number[w][order], "c": seen[order], "cu": counts[u][order], "hot": hot[order], "at": np.searchsorted(bucket[order], np.arange(buckets + 1)), "pair": rank[inverse]}
+    pieces = np.maximum(-(-counts * 4 * buckets // max(n_tokens, 1)), 1).astype(np.uint64)
+    mixed, bucket = words.mix(number.astype(np.uint64)), np.empty(len(keys), np.int32)
+    for i in range(0, len(keys), _SLICE):
+        u, w = keys[i : i + _SLICE] >> 32, keys[i : i + _SLICE] & 0xFFFFFFFF
+        with np.errstate(over="ignore"):
+            bucket[i : i + _SLICE] = words.mix(number[u].astype(np.uint64) + mixed[w] % pieces[u] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    if answered:
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return {"sizes": sizes, "ids": ids, "counts": counts, "pair": rank[inverse]}
+    at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    del bucket
+    keys = keys[order]
+    return {"counts": counts, "number": number, "hot": pieces > 1, "u": (keys >> 32).astype(np.int32), "w": keys.astype(np.int32), "c": seen[order], "at": at}
 
 
 def root_shares(c: np.ndarray, lam: float, d: float, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +189,9 @@ def root_shares(c: np.ndarray, lam: float, d: float, rng) -> tuple[np.ndarray, n
 
 def seat_contexts(c: np.ndarray, u: np.ndarray, parent: np.ndarray, aux: np.ndarray, d: float, rng) -> np.ndarray:
     """Tables of each (context, dish): c customers in context u, aux by context, parent the root's drawn share of the dish."""
-    return draw_tables(c, aux[u] * parent, d, rng)
+    lam = aux[u]
+    lam *= parent
+    return draw_tables(c, lam, d, rng)
 
 
 def predictive(c: np.ndarray, t: np.ndarray, u: np.ndarray, tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, d: float, strength: float) -> np.ndarray:
@@ -181,9 +209,10 @@ def _column(pdf: pd.DataFrame, name: str, kind) -> np.ndarray:
 def _gather(pdf: pd.DataFrame) -> dict:
     """A bucket's contexts, words and distinct pairs out of the blocks' parts, where u comes once a run of n pairs."""
     ulist, first, of = np.unique(_column(pdf, "u", np.int64), return_index=True, return_inverse=True)
-    pu = of.repeat(_column(pdf, "n", np.int32))
-    wlist, pw = np.unique(_column(pdf, "w", np.int64), return_inverse=True)
-    keys, inverse = np.unique(pu.astype(np.int64) << 32 | pw, return_inverse=True)
+    wlist, keys = distinct(_column(pdf, "w", np.int64))
+    keys = keys.astype(np.int64)
+    keys |= (of << 32).repeat(_column(pdf, "n", np.int32))
+    keys, inverse = distinct(keys)
     return {"ulist": ulist, "first": first, "wlist": wlist, "keys": keys, "inverse": inverse}
 
 
@@ -209,13 +238,14 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
     floor = 1.0 / (types + 1)
 
     def ask(key, mine: pd.DataFrame, words_of: pd.DataFrame) -> pd.DataFrame:
-        p = _pairs(mine.iloc[0], words_of, tokens, buckets)
+        p = _pairs(mine.iloc[0], words_of, tokens, buckets, answered=False)
         give_back()
         rows = []
         for k, (i, j) in enumerate(zip(p["at"][:-1], p["at"][1:], strict=True)):
             if j > i:  # pairs of one context stand together
                 runs = i + np.concatenate([[0], np.flatnonzero(np.diff(p["u"][i:j])) + 1])
-                rows.append((k, key[0], pack(p["u"][runs]), pack(np.diff(runs, append=j).astype(np.int32)), pack(p["w"][i:j]), pack(p["c"][i:j]), pack(p["cu"][runs]), pack(p["hot"][runs])))
+                u = p["u"][runs]
+                rows.append((k, key[0], pack(p["number"][u]), pack(np.diff(runs, append=j).astype(np.int32)), pack(p["number"][p["w"][i:j]]), pack(p["c"][i:j].astype(np.int64)), pack(p["counts"][u]), pack(p["hot"][u])))
         return pd.DataFrame(rows, columns=["bucket", "block", "u", "n", "w", "c", "cu", "hot"])
 
     small = blocks.select("block", "sizes", "train", "vocab", "ids")
@@ -272,7 +302,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
         def run(key, mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             row, rng = mine.iloc[0], np.random.default_rng([seed, sweep, key[0]])
             ulist, cu, wlist = unpack(row["ulist"], np.int64), unpack(row["cu"], np.int64), unpack(row["wlist"], np.int64)
-            pu, pw, c, hot = np.arange(len(ulist)).repeat(unpack(row["pu"], np.int32)), unpack(row["pw"], np.int32), unpack(row["c"], np.int64), unpack(row["hot"], np.uint8).astype(bool)
+            pu, pw, c, hot = np.arange(len(ulist), dtype=np.int32).repeat(unpack(row["pu"], np.int32)), unpack(row["pw"], np.int32), unpack(row["c"], np.int64), unpack(row["hot"], np.uint8).astype(bool)
             t = unpack(row["t"], np.int32).astype(np.int64)
             rest, share, by_owner = np.empty(len(wlist)), np.empty(len(wlist)), np.argsort(wlist % owners, kind="stable")
             said = told[told["owner"] >= 0].sort_values("owner")
@@ -286,8 +316,10 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
             total = unpack(row["total"], np.float32)
             if count:  # of the seating as it is: its tables are the customers that the root answered for
                 parent = (rest + (root_strength + root_d * root["tables"]) * floor) / (root_strength + root["customers"])
-                p = predictive(c, t, pu, tables, cu, parent[pw], d, strength)
-                total = (total if len(total) else 0) + p.astype(np.float32)
+                total = total.copy() if len(total) else np.zeros(len(c), np.float32)
+                for i in range(0, len(c), _SLICE):
+                    k = slice(i, i + _SLICE)
+                    total[k] += predictive(c[k], t[k], pu[k], tables, cu, parent[pw[k]], d, strength).astype(np.float32)
             if not last:
                 aux = rng.standard_gamma(strength / d + tables)
                 # All pieces of a context have one number.
@@ -332,7 +364,7 @@ def score_documents(docs: DataFrame, text: str = "text", d: float = 0.8, strengt
 
     def finish(key, mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         row, said = mine.iloc[0], got["logp"].notna()
-        p = _pairs(row, got[~said], tokens, buckets)
+        p = _pairs(row, got[~said], tokens, buckets, answered=True)
         logp = np.concatenate([unpack(x, np.int32) for x in got[said].sort_values("owner")["logp"]]) / -FINE
         first = np.cumsum(p["sizes"]) - p["sizes"]
         base = np.log10((p["counts"] + 1) / (tokens + types + 1))

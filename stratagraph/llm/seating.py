@@ -109,24 +109,29 @@ def _mode(c: np.ndarray, log_lam: np.ndarray, d: float) -> np.ndarray:
     return low
 
 
+def _log(lam: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(lam, 1e-300))
+
+
 def draw_tables(c: np.ndarray, lam: np.ndarray, d: float, rng) -> np.ndarray:
     """Tables of dishes with c customers (0: none), each drawn with weight (d lam)^t S_d(c, t)."""
     out = np.minimum(c, 1).astype(np.int64)
-    log_lam = np.log(np.maximum(lam, 1e-300))
-    order = np.argsort(c, kind="stable")
+    # Most dishes have one customer, and so one table.
+    order = np.flatnonzero(c > 1)
+    order = order[np.argsort(c[order], kind="stable")]
     ordered = c[order]
     table = log_stirling(d)
-    at, end = int(np.searchsorted(ordered, 2)), int(np.searchsorted(ordered, SMALL, "right"))
+    at, end = 0, int(np.searchsorted(ordered, SMALL, "right"))
     while at < end:
         n = int(ordered[at])
         stop = min(int(np.searchsorted(ordered, n, "right")), at + max(1, 1_000_000 // n))
         k = order[at:stop]
         # d^t goes with lam: the weight of t is lam^t (d^t S).
-        out[k] = 1 + _pick(log_lam[k, None] * np.arange(1, n + 1) + table[n, 1 : n + 1], rng)
+        out[k] = 1 + _pick(_log(lam[k])[:, None] * np.arange(1, n + 1) + table[n, 1 : n + 1], rng)
         at = stop
     k = order[end:]
     if len(k):
-        cust, mode = c[k].astype(np.float64), _mode(c[k].astype(np.float64), log_lam[k], d)
+        cust, mode = c[k].astype(np.float64), _mode(c[k].astype(np.float64), _log(lam[k]), d)
         reach = np.ceil(12 * np.sqrt(mode) + 24)
         k, cust, mode, reach = (x[np.argsort(reach, kind="stable")] for x in (k, cust, mode, reach))
         at = 0
@@ -137,7 +142,7 @@ def draw_tables(c: np.ndarray, lam: np.ndarray, d: float, rng) -> np.ndarray:
             part, width = slice(at, stop), reach[stop - 1]
             t = mode[part, None] + np.arange(-width, width + 1)
             inside = (t >= 1) & (t <= cust[part, None])
-            both = [np.broadcast_to(x[part, None], t.shape) for x in (cust, log_lam[k])]
+            both = [np.broadcast_to(x[part, None], t.shape) for x in (cust, _log(lam[k]))]
             logits = np.where(inside, log_weight(both[0].copy(), np.clip(t, 1, both[0]), both[1], d), -np.inf)
             out[k[part]] = (mode[part] - width + _pick(logits, rng)).astype(np.int64)
             at = stop

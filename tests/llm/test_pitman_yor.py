@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from stratagraph.llm import pitman_yor as hpy
 from stratagraph.llm import seating
@@ -191,3 +193,44 @@ def test_reruns_agree_and_empty(spark):
     assert hpy.score_documents(docs.limit(0)).count() == 0
     only = hpy.score_documents(frame(spark, [(k, "few words", "a") for k in range(60) if held_out(k)])).collect()
     assert only and all(r.n_known == 0 and r.train_tokens == 0 for r in only)
+
+
+def peak(body):
+    """What the body returns and the most bytes of arrays it held at once."""
+    tracemalloc.start()
+    out = body()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_bodies_hold_few_copies_of_a_block():
+    """A block's pairs and an owner's hold some 40 bytes a token or pair at their peak; whole intermediate arrays took about twice that."""
+    rng, n, types = np.random.default_rng(9), 400_000, 60_000
+    ids = np.minimum(rng.zipf(1.3, n) - 1, types - 1).astype(np.int32)
+    ids[:types] = np.arange(types)
+    vocab = rng.permutation(np.unique(rng.integers(1, 1 << 62, types + 100).astype(np.uint64))[:types])
+    vocab[0] = hpy.END
+    c = np.bincount(ids, minlength=types)[np.argsort(vocab)]
+    row = {"sizes": hpy.pack(np.full(n // 200, 200)), "train": hpy.pack(np.ones(n // 200, np.uint8)), "vocab": hpy.pack(vocab), "ids": hpy.pack(ids)}
+    told = pd.DataFrame({"owner": [0], "counts": [hpy.pack(c)], "numbers": [hpy.pack(rng.permutation(types))]})
+    asked, most = peak(lambda: hpy._pairs(row, told, n, 8, answered=False))
+    small = types * 60
+    assert most < 40 * n + small
+    placed, most = peak(lambda: hpy._pairs(row, told, n, 8, answered=True))
+    assert most < 40 * n + small
+    # Each token's pair is that of its word and the one before it, and pairs of one owner stand together.
+    before = np.concatenate([[0], ids[:-1]])
+    assert (asked["u"][placed["pair"]] == before).all() and (asked["w"][placed["pair"]] == ids).all()
+    assert (np.bincount(placed["pair"]) == asked["c"]).all() and asked["at"][-1] == len(asked["c"])
+    u, m = asked["number"][asked["u"]], len(asked["u"])
+    runs = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1])
+    part = {"u": hpy.pack(u[runs]), "n": hpy.pack(np.diff(runs, append=m).astype(np.int32)), "w": hpy.pack(asked["number"][asked["w"]])}
+    g, most = peak(lambda: hpy._gather(pd.DataFrame([part, part])))
+    assert most < 55 * 2 * m
+    assert len(g["keys"]) == m and (np.bincount(g["inverse"]) == 2).all() and (g["wlist"][g["keys"][g["inverse"][:m]] & 0xFFFFFFFF] == asked["number"][asked["w"]]).all()
+
+
+def test_distinct_like_numpy():
+    for a in (np.zeros(0, np.int64), np.array([3, 1, 3, 2, 1]), np.array([7], np.uint64)):
+        assert all((x == y).all() for x, y in zip(hpy.distinct(a.copy()), np.unique(a, return_inverse=True), strict=True))
