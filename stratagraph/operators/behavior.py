@@ -179,22 +179,53 @@ def band_pairs(sizes: DataFrame, threshold: float = 0.85) -> DataFrame:
     return a.join(b, (F.col("ba") == F.col("bb")) & near).select("a", "b")
 
 
+#: 64-bit words of the parity bits that stand for a large bag in the join of candidates.
+WORDS = 8
+
+
 def bag_similarity(bags: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """a, b, similarity of (id, token, n): multiset Jaccard at or over threshold.
+    """a, b, similarity of (id, token, n): multiset Jaccard at or over threshold t.
 
-    A bag is the set of its token copies (token, 1) to (token, n), packed as one array of their hashes, rarest token first. A
-    pair at threshold t shares one of the size - ceil(t * size) + 1 first copies of either bag, so frequent tokens are
-    never joined with each other for candidates; candidates of fitting sizes are compared array with array.
+    A bag is the set of its token copies (token, 1) to (token, n) as hashes, rarest token first. Of a pair the bag that is not
+    larger, of size s, has o = ceil(2t / (1 + t) * s) copies in common with the other at least, so one of its s - o + 1 first
+    copies is among the S - ceil(t * S) + 1 first of the other, and two are where both have one more. Pairs whose smaller bag
+    is small meet at two such copies, others at one. Where they meet, positions and, for large bags, parity bits of all copies
+    bound what can differ, so candidates are few before they are shuffled and compared array with array.
     """
-    df = bags.groupBy(F.col("token").alias("k")).agg(F.count("*").alias("df"))
-    copies = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("df", "token", "n"))), lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["n"].cast("long")), lambda c: F.xxhash64(x["token"], c))))
-    packed = cut(bags.where("n > 0").join(df, bags["token"] == df["k"]).groupBy("id").agg(copies.alias("copies")).withColumn("size", F.size("copies").cast("long")))
-    first = (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).cast("int")
-    head = packed.select("id", "size", F.explode(F.slice("copies", F.lit(1), first)).alias("c"))
-    x, y = head.select(F.col("id").alias("a"), F.col("c").alias("t"), F.col("size").alias("sa")), head.select(F.col("id").alias("b"), F.col("c").alias("u"), F.col("size").alias("sb"))
-    pairs = x.join(y, (F.col("t") == F.col("u")) & (F.col("a") < F.col("b"))).where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("a", "b").distinct()
-    of = lambda k: packed.select(F.col("id").alias(f"i{k}"), F.col("copies").alias(f"c{k}"), F.col("size").alias(f"s{k}"))
-    pa, pb = of("a"), of("b")
+    t = threshold
+    # Sizes of the smaller bag up to which a pair meets at two copies, and up to which it may have no more than one in common.
+    small, single = int(8 / (1 - t)) if t < 1 else 1 << 30, int((1 + t) / (2 * t) + 1e-9) if t > 0 else 1 << 30
+    token = F.when(F.col("token").isNull(), F.xxhash64("id", F.lit("")))  # counts, but is like no other
+    rows = bags.where("n > 0").select("id", F.coalesce(token, F.xxhash64("token")).alias("h"), F.col("n").cast("long").alias("n"))
+    df = rows.groupBy(F.col("h").alias("k")).agg(F.count("*").alias("df"))
+    copies = rows.join(df, rows["h"] == df["k"]).select("id", "df", "h", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("c"))
+    copies = copies.select("id", "df", F.xxhash64("h", "c").alias("c"))
+    s = F.col("size")
+    packed = copies.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "c"))).alias("x")).withColumn("size", F.size("x").cast("long"))
+    bit = lambda j: lambda acc, c: F.when(F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(WORDS - 1)) == j, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc)
+    bits = F.when(s > small, F.array(*[F.aggregate("x.c", F.lit(0).cast("long"), bit(j)) for j in range(WORDS)]))
+    alone = F.size(F.filter("x", lambda v: v["df"] == 1)).alias("alone")
+    packed = cut(packed.select("id", F.col("x.c").alias("copies"), alone, "size", bits.alias("bits")))
+    # The first so many copies but those of tokens that no other bag has, which stand at the very front, with their places.
+    first = lambda count: F.filter(F.transform(F.slice("copies", F.lit(1), F.least(count, s).cast("int")), lambda c, k: F.struct(c.alias("c"), k.alias("at"))), lambda v: v["at"] >= F.col("alone"))
+    lone = lambda some: F.transform(some, lambda v: F.struct(v["c"].alias("key"), v["at"].alias("at")))
+    two = lambda some: F.flatten(F.transform(some, lambda v: F.transform(F.filter(some, lambda w: w["at"] > v["at"]), lambda w: F.struct(F.xxhash64(v["c"], w["c"]).alias("key"), v["at"].alias("at")))))
+    least, most = F.ceil(2 * t / (1 + t) * s - 1e-9), F.ceil(t * s - 1e-9)
+    none = F.array().cast("array<struct<key:bigint,at:int>>")
+    of = lambda keys, k: packed.select(F.col("id").alias(f"i{k}"), s.alias(f"s{k}"), F.col("bits").alias(f"b{k}"), F.explode(keys).alias("e")).select(f"i{k}", f"s{k}", f"b{k}", F.col("e.key").alias(f"k{k}"), F.col("e.at").alias(f"at{k}"))
+    x = of(F.when((s > single) & (s <= small), two(first(s - least + 2))).otherwise(lone(first(s - least + 1))), "x")
+    y = of(F.concat(F.when((s > small) | (most <= single), lone(first(s - most + 1))).otherwise(none), F.when((s > single) & (most <= small), two(first(s - most + 2))).otherwise(none)), "y")
+    room = F.floor((1 - t) / (1 + t) * (F.col("sx") + F.col("sy")) + 1e-9)
+    differ = sum((F.bit_count(F.get("bx", F.lit(j)).bitwiseXOR(F.get("by", F.lit(j)))) for j in range(WORDS)), F.lit(0))
+    order = (F.col("sx") < F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("ix") < F.col("iy")))
+    # What stands before the first copy that a pair shares is not shared, so at that one the places are within what may differ.
+    fits = (F.col("sx") >= t * F.col("sy") - 1e-9) & (F.col("atx") + F.col("aty") <= room) & F.coalesce(differ <= room, F.lit(True))
+    pairs = x.join(y, (F.col("kx") == F.col("ky")) & order & fits).select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"))
+    pairs = cut(pairs.distinct())
+    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    mine = packed.select("id", "copies", "size").join(F.broadcast(ids) if ids.count() <= 500_000 else ids, F.col("id") == ids["k"], "left_semi")
+    with_ = lambda k: mine.select(F.col("id").alias(f"i{k}"), F.col("copies").alias(f"c{k}"), F.col("size").alias(f"s{k}"))
+    pa, pb = with_("a"), with_("b")
     both = pairs.join(pa, pairs["a"] == pa["ia"]).join(pb, pairs["b"] == pb["ib"]).select("a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("i"), "sa", "sb")
     return both.withColumn("similarity", F.col("i") / (F.col("sa") + F.col("sb") - F.col("i"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 

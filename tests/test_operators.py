@@ -329,3 +329,32 @@ def test_clone_variants():
 
     v = research.clone_variants("def f(a):\n    return a\n")
     assert v["deleted"] is None and v["reordered"] is None and v["flipped"] is None and v["renamed"] == "def f(a_x):\n    return a_x"
+
+
+def test_large_and_small_bags_meet(spark):
+    rng = random.Random(11)
+    bags = {}
+    for i in range(70):
+        size = rng.choice([1, 2, 3, 5, 12, 38, 42, 60, 200])
+        old = bags.get(rng.randrange(i)) if i > 20 else None
+        b = list(old) if old and rng.random() < 0.7 else [f"t{rng.randrange(60)}" for _ in range(size)]
+        bags[i] = [t for t in b if rng.random() > 0.04] + [f"u{rng.randrange(500)}" for _ in range(len(b) // 20)] or b
+    df = spark.createDataFrame([(i, t, b.count(t)) for i, b in bags.items() for t in set(b)] + [(i, None, 1) for i in (1, 2)], "id long, token string, n long")
+    for floor in (0.3, 0.5, 0.8, 0.85):
+        want = {}
+        for a in bags:
+            for b in range(a):
+                low = sum(min(bags[a].count(t), bags[b].count(t)) for t in set(bags[a]))
+                share = low / (sum(len(bags[k]) + (k in (1, 2)) for k in (a, b)) - low)
+                if low and share >= floor:
+                    want[b, a] = round(share, 9)
+        assert {(r.a, r.b): round(r.similarity, 9) for r in behavior.bag_similarity(df, floor).collect()} == want and want
+
+
+def test_frequent_tokens_are_not_paired(spark, monkeypatch):
+    """Bags of two frequent tokens each, all different: 40 share each token, and no pair is a candidate."""
+    kept, cut = [], behavior.cut
+    monkeypatch.setattr(behavior, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = spark.range(40 * 40).select("id", F.explode(F.array(F.col("id") % 40, 100 + F.floor(F.col("id") / 40))).alias("token")).withColumn("n", F.lit(1).cast("long"))
+    assert behavior.bag_similarity(rows, 0.8).isEmpty()
+    assert [df.count() for df in kept] == [1600, 0]
