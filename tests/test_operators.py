@@ -358,3 +358,14 @@ def test_frequent_tokens_are_not_paired(spark, monkeypatch):
     rows = spark.range(40 * 40).select("id", F.explode(F.array(F.col("id") % 40, 100 + F.floor(F.col("id") / 40))).alias("token")).withColumn("n", F.lit(1).cast("long"))
     assert behavior.bag_similarity(rows, 0.8).isEmpty()
     assert [df.count() for df in kept] == [1600, 0]
+
+
+def test_near_miss_reads_candidates_once(spark, monkeypatch):
+    """Large bags that share a few rare tokens only: the parity bits leave no candidates, and edges are kept once."""
+    kept, cut = [], behavior.cut
+    monkeypatch.setattr(behavior, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = [(i, f"common{(i * 7 + k * (i + 1)) % 900}", 1) for i in range(12) for k in range(120)] + [(i, f"rare{k}", 1) for i in range(12) for k in range(4)]
+    bags = spark.createDataFrame(rows, "id long, token string, n long").groupBy("id", "token").agg(F.max("n").alias("n"))
+    f = spark.createDataFrame([(i, f"s{i}", 100) for i in range(12)], "fn_id long, shape_hash string, size long")
+    assert behavior.near_miss(f, bags, 0.85).isEmpty()
+    assert [df.count() for df in kept] == [12, 0, 0]
