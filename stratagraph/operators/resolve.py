@@ -109,7 +109,7 @@ def call_edges(facts: DataFrame, names: DataFrame, known: DataFrame) -> DataFram
 def module_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(modules, edges). modules: node, path, is_package, external, function_count, cc_sum, cc_max, cc_mean; names that are
     only imported are external. edges: src, dst, is_relative, type_checking_only, lines, kinds, call_lines, call_count."""
-    known = facts.select(F.col("qualname").alias("node"))
+    known = cut(facts.select(F.col("qualname").alias("node")))  # names only, so that facts are not parsed for each join of them
     imports = cut(_src_layout(raw_imports(facts), known))
     routed = cut(_routed(imports, known, reexports(imports, known)))
     a = import_edges(routed, longest_internal(imports, known)).select("src", "dst", "line", F.lit("import").alias("kind"), "is_relative", "type_checking", F.lit(False).alias("is_call"))

@@ -7,9 +7,11 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.paths import is_conventional_test
 
@@ -120,16 +122,26 @@ def modules(found: DataFrame, root_name: str = "", roots: tuple[str, ...] = (),
 
 
 def parsed(found: DataFrame) -> DataFrame:
-    """qualname, rel_path, is_package and the facts of each module."""
+    """qualname, rel_path, is_package and the facts of each module. Sources are dealt over all cores, as one task may read
+    them all, and equal sources of a batch are parsed once."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("qualname", "rel_path", "is_package")
+    facts = to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratagraph.functions.pyparse import parse
 
-        for pdf in batches:
-            facts = [parse(bytes(c), p) for c, p in zip(pdf["content"], pdf["is_package"], strict=True)]
-            yield pd.concat([pdf[["qualname", "rel_path", "is_package"]].reset_index(drop=True), pd.DataFrame(facts)], axis=1)
+        for batch in batches:
+            seen: dict[tuple[bytes, bool], int] = {}
+            at = [seen.setdefault((c, p), len(seen)) for c, p in zip(batch["content"].to_pylist(), batch["is_package"].to_pylist(), strict=True)]
+            rows = pa.Table.from_pylist([parse(c, p) for c, p in seen], schema=facts).combine_chunks().take(pa.array(at))
+            for k, name in enumerate(names):
+                rows = rows.add_column(k, name, batch[name])
+            yield from rows.combine_chunks().to_batches()
 
-    return found.mapInPandas(run, "qualname string, rel_path string, is_package boolean, " + FACTS)
+    dealt = found.select(*names, "content").repartition(4 * found.sparkSession.sparkContext.defaultParallelism, "qualname")
+    return dealt.mapInArrow(run, "qualname string, rel_path string, is_package boolean, " + FACTS)
 
 
 def refresh(found: DataFrame, cache: DataFrame) -> DataFrame:
@@ -166,6 +178,9 @@ def synced(found: DataFrame, path: str) -> DataFrame:
 def entrypoints(facts: DataFrame, scripts: list[tuple[str, str]] | None = None) -> DataFrame:
     """qualname, reason: main guard, a module named __main__, or a declared script (name, module); the first of these reasons
     that holds."""
+    from ..plans.iterate import cut
+
+    facts = cut(facts.select("qualname", "has_main_guard"))  # parsed once, not for each reason
     a = facts.where("has_main_guard").select("qualname", F.lit(1).alias("k"), F.lit("main guard").alias("reason"))
     b = facts.where("split_part(qualname, '.', -1) = '__main__'").select("qualname", F.lit(2).alias("k"), F.lit("__main__ module").alias("reason"))
     out = a.unionByName(b)

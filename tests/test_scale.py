@@ -6,8 +6,11 @@ import random
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from stratagraph.operators import graph
 from stratagraph.plans import fixtures
+from stratagraph.sources import tree
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -46,3 +49,10 @@ def test_components_of_a_closure_without_a_join_of_it(spark):
     assert {tuple(r) for r in s.collect()} == {("a", "a", True), ("b", "a", True), ("c", "c", True), ("f", "c", True), ("d", "d", True), ("e", "e", False), ("x", "x", False)}
     plan = s._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_sources_of_one_file_are_parsed_by_all_cores(spark):
+    found = spark.range(40, numPartitions=1).select(F.concat(F.lit("p.m"), F.col("id")).alias("qualname"), F.concat(F.lit("p/m"), F.col("id"), F.lit(".py")).alias("rel_path"), F.lit(False).alias("is_package"), F.encode(F.concat(F.lit("import os\nX = 'a'\n\n\ndef f(a: int) -> int:\n    g(a)\n    if a: exit("), F.col("id") % 3, F.lit(")\n")), "UTF-8").alias("content"))
+    got = tree.parsed(found)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r.qualname, r.gates[0].code, r.functions[0].n_hinted, r.functions[0].tokens["If"], r.imports[0].module) for r in got.collect()) == sorted((f"p.m{k}", k % 3, 2, 1, "os") for k in range(40))
