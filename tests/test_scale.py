@@ -5,10 +5,9 @@ from __future__ import annotations
 import random
 
 import duckdb
-
 from pyspark.sql import functions as F
 
-from stratagraph.operators import graph
+from stratagraph.operators import graph, stats
 from stratagraph.plans import fixtures
 from stratagraph.sources import tree
 
@@ -56,3 +55,24 @@ def test_sources_of_one_file_are_parsed_by_all_cores(spark):
     got = tree.parsed(found)
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted((r.qualname, r.gates[0].code, r.functions[0].n_hinted, r.functions[0].tokens["If"], r.imports[0].module) for r in got.collect()) == sorted((f"p.m{k}", k % 3, 2, 1, "os") for k in range(40))
+
+
+def test_nearest_compares_few_pairs_as_columns(spark, monkeypatch):
+    """As pairs of columns all of a group were compared before; ties, copies and odd vectors come out as then."""
+    rng, compared, cosine = random.Random(8), [], stats.cosine
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: seen.add(1) or v, "double")
+    monkeypatch.setattr(stats, "cosine", lambda a, b: compared.append(1) or count(cosine(a, b)))
+    rows = [(i, [rng.random() - 0.5 for _ in range(6)], i % 2) for i in range(300)] + [(i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0], 1) for i in range(300, 360)]
+    rows += [(400, None, 0), (401, [0.0] * 6, 0), (402, [1.0, 2.0], 0), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, g int")
+    for k in (1, 3):
+        got = {(r.id, r.neighbour, r.similarity) for r in stats.nearest(df, df.where("id % 20 = 0"), "g", k).collect()}
+        want, vectors = set(), {i: (v, g) for i, v, g in rows}
+        like = lambda a, b: round(sum(p * q for p, q in zip(a, b)) / (sum(p * p for p in a) ** 0.5 * sum(q * q for q in b) ** 0.5), 6) if a and b and len(a) == len(b) and None not in a + b and any(a) and any(b) else None
+        for i, (v, g) in vectors.items():
+            if i % 20 == 0:
+                others = [(like(v, w), j) for j, (w, h) in vectors.items() if h == g and j != i]
+                want |= {(i, j, s) for s, j in sorted(others, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:k]}
+        assert got == want
+    assert compared and seen.value < 3_500
