@@ -7,7 +7,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from stratagraph.operators import graph, stats
+from stratagraph.operators import behavior, graph, stats
 from stratagraph.plans import fixtures
 from stratagraph.sources import tree
 
@@ -76,3 +76,12 @@ def test_nearest_compares_few_pairs_as_columns(spark, monkeypatch):
                 want |= {(i, j, s) for s, j in sorted(others, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:k]}
         assert got == want
     assert compared and seen.value < 3_500
+
+
+def test_a_band_is_spread_over_blocks(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0, 1, 2, 9, 10, 11, 40, 45, 47, 50])) for i in range(120)]
+    got = behavior.band_pairs(spark.createDataFrame(rows, "id long, size long"), block=5)
+    want = sorted((i, j) for i, s in rows for j, t in rows if s >= 0.85 * t and (s < t or (s == t and i < j)))
+    assert sorted(map(tuple, got.collect())) == want
+    assert got.rdd.glom().map(len).filter(lambda n: n > 0).count() > 20
